@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counting, packing, sharding, simhash
+from . import counting, lines, packing, secrets, sharding, simhash
 from .common import documents
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_lines(documents(spark, sf_dir).select("doc_id", "text", "source"), counts=True).drop("source")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -26,5 +30,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_best_fit_packing, op4_sharding, op5_simhash, op6_token_counts)}
-ORACLES: dict[str, str] = {}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op3_best_fit_packing, op4_sharding, op5_simhash, op6_token_counts, op10_secrets)}
+ORACLES: dict[str, str] = {"op1_line_dedup": lines.DROP_LINES_SQL}
