@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counting, lines, packing, secrets, sharding, simhash
+from . import counting, language, lines, packing, personal, secrets, sharding, simhash
+from . import quality as rules
 from .common import documents
 
 
@@ -14,6 +15,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_lines(documents(spark, sf_dir).select("doc_id", "text", "source"), counts=True).drop("source")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir)).drop("text_hash")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -30,9 +35,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(documents(spark, sf_dir))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(documents(spark, sf_dir))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return rules.quality(docs, rules.train_crf(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op3_best_fit_packing, op4_sharding, op5_simhash, op6_token_counts, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_language, op3_best_fit_packing, op4_sharding, op5_simhash, op6_token_counts, op7_personal_data, op9_quality, op10_secrets)}
 ORACLES: dict[str, str] = {"op1_line_dedup": lines.DROP_LINES_SQL}
