@@ -1,4 +1,8 @@
-"""Documents through the operators of fernwerk.llm, stage by stage."""
+"""Documents through the operators of fernwerk.llm, stage by stage.
+
+Every stage reads the whole table that the one before it wrote. All but the last return the columns of
+documents: language ID, near-duplicate removal and decontamination drop rows, line dedup shortens texts.
+"""
 
 from __future__ import annotations
 
@@ -6,30 +10,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fernwerk.llm import packing, simhash
+from fernwerk.llm import decontamination, language, lines, packing, simhash
 from fernwerk.llm.common import documents, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without a letter or of doubtful language go."""
+    return language.keep_identified(docs)
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less the lines that their source repeats on too many documents."""
+    return lines.drop_lines(docs)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     return simhash.near_dedup(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left as token sequences."""
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as token pieces with their places in sequences."""
     return packing.pack_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup), ("pack", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identified), ("line_dedup", without_boilerplate), ("simhash_near_dedup", without_copies), ("decontamination", without_benchmark), ("best_fit_packing", packed),
+]
 
-#: Tokens and fingerprints have no SQL; the stages are tested one by one.
+#: Fingerprints, the latent space and token ids have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

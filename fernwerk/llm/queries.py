@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import counting, language, lines, packing, personal, secrets, sharding, simhash
+from . import counting, decontamination, language, lines, packing, personal, secrets, sharding, simhash
 from . import quality as rules
 from .common import documents
 
@@ -39,6 +40,12 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find_personal(documents(spark, sf_dir))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.transform("items", lambda x: x["item_id"])
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), items.alias("item_ids"), F.array_max(F.transform("items", lambda x: x["share"])).alias("share"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return rules.quality(docs, rules.train_crf(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -48,5 +55,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_language, op3_best_fit_packing, op4_sharding, op5_simhash, op6_token_counts, op7_personal_data, op9_quality, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_language, op3_best_fit_packing, op4_sharding, op5_simhash, op6_token_counts, op7_personal_data, op8_decontamination, op9_quality, op10_secrets)}
 ORACLES: dict[str, str] = {"op1_line_dedup": lines.DROP_LINES_SQL}
