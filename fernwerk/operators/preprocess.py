@@ -87,7 +87,9 @@ def normalise_labels(df: DataFrame, label: str = "label", out: str = "number") -
     """(df with numbers from 0 in label order, the names); the distinct labels alone are ranked, never all rows."""
     names = df.select(F.col(label).alias("name")).filter(F.col("name").isNotNull()).distinct()
     names = names.withColumn(out, F.dense_rank().over(Window.orderBy("name")).cast("long") - 1)
-    return df.join(names, F.col(label) == F.col("name"), "left").drop("name"), names
+    marks = names.toDF("__name", "__number")
+    numbered = df.join(marks, F.col(label) == F.col("__name"), "left").withColumn(out, F.col("__number"))
+    return numbered.drop("__name", "__number"), names
 
 
 def multi_label_matrix(df: DataFrame, labels: str = "labels", out: str = "flags") -> tuple[DataFrame, list]:
