@@ -18,3 +18,16 @@ def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_every_verbatim_item_is_found(spark, sf_dir):
+    import re
+
+    from fernwerk.llm.queries import QUERIES
+
+    plain = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
+    docs = {r.doc_id: plain(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    want = {(d, i) for d, t in docs.items() for i, x in items.items() if len(x.split()) >= 8 and x in t}
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op8_decontamination"](spark, sf_dir).collect()}
+    assert want <= got and len(got - want) <= 0.1 * len(want)
