@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import ranked, text_of, written
 
-#: Parts of a shard's share that one placed item may have at most.
-GRAIN = 512
+#: A group over 1/WHOLE of a shard is split; one over 1/GRAIN of it is placed by itself, smaller ones are joined first.
+WHOLE, GRAIN = 16, 2048
 
 
 def n_words(text: Column) -> Column:
@@ -65,12 +65,12 @@ def level(items: np.ndarray, where: np.ndarray, shards: int, rigid: int = 0, rou
     return where
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, tokens: Column | None = None, grain: int = GRAIN) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, tokens: Column | None = None, whole: int = WHOLE, grain: int = GRAIN) -> DataFrame:
     """Documents in shards of nearly equal bytes, tokens and rows; law `bytes`: of these, bytes are evened out last.
 
-    A group is all documents of equal text; groups stay together unless they are over 1/grain of a
-    shard in any size: those are dealt by rank into parts of about that much. Groups of less than a
-    quarter of that are first joined by a hash of the text. So at most about 12 * grain * shards items
+    A group is all documents of equal text; groups stay together unless they are over 1/whole of a
+    shard in any size: those are dealt by rank into parts of about that much. Groups of less than 1/grain
+    are first joined by a hash of the text. So at most about (4 * grain + 3 * whole) * shards items
     with their three sums reach the driver, which places them, however many documents there are.
     A text's size is its UTF-8 bytes plus 16; null text has none but counts as the empty text. Repeated rows and null
     doc_id take places of their own. An empty table gives an empty result.
@@ -85,14 +85,15 @@ def shard_documents(docs: DataFrame, shards: int = 40, tokens: Column | None = N
     total = rows.agg(*sums).first()
     if not total["rows"]:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    most = {c: max(1.0, total[c] / shards / grain) for c in ("size", "tokens", "rows")}
+    shares = {c: max(1.0, total[c] / shards) for c in ("size", "tokens", "rows")}
     groups = rows.groupBy("g1", "g2").agg(*sums)
-    share = lambda part: F.greatest(*(F.col(c) / F.lit(m) for c, m in part.items()))
-    large = written(groups.withColumn("parts", F.ceil(share(most)).cast("int")).filter(share(most) > 0.25).select("g1", "g2", "parts", "rows"), "groups")
+    share = F.greatest(*(F.col(c) / F.lit(m) for c, m in shares.items()))
+    large = groups.filter(share * grain > 1).select("g1", "g2", F.ceil(share * whole).cast("int").alias("parts"), "rows")
+    large = written(large, "groups")
     split = large.filter((F.col("parts") > 1) & (F.col("rows") > 1)).select("g1", "g2", F.least("parts", F.col("rows").cast("int")).alias("parts"))
 
-    bins = 4 * grain * shards
-    # large groups: at most 4 * grain * shards for each of three sizes; marked rows carry the item's key
+    bins = grain * shards
+    # large groups: at most grain * shards for each of three sizes; marked rows carry the item's key
     kept = large.select("g1", "g2", F.lit(True).alias("alone"))
     marked = rows.join(kept, ["g1", "g2"], "left").join(split, ["g1", "g2"], "left")
     hot = ranked(marked.filter(F.col("parts").isNotNull()), ["g1", "g2"], ["doc_id"], "nth").withColumn("part", F.pmod(F.col("nth"), F.col("parts")).cast("int")).drop("nth")

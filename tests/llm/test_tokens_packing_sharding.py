@@ -141,7 +141,7 @@ def test_shards_are_balanced_and_gapless(odd, spark, sf_dir):
 
 def test_one_group_of_copies_is_split(spark):
     docs = spark.range(3000).selectExpr("id doc_id", "case when id % 3 = 0 then repeat('same words ', 20) else concat(repeat(cast(id as string), 30), ' x') end text")
-    rows = sharding.shard_documents(docs, shards=5, grain=32).collect()
+    rows = sharding.shard_documents(docs, shards=5, whole=8, grain=32).collect()
     load = defaultdict(int)
     for r in rows:
         load[r.shard] += r.size
