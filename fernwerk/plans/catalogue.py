@@ -448,7 +448,7 @@ def z1_loss_split(spark, sf):
     return trees.splits(rows, ["node"], trees.neg_z1_loss).select("feature", "cutoff", F.round(-F.col("gain"), 6).alias("loss"))
 
 
-PLEASANT = "d as (select l_orderkey * 10 + l_linenumber id, l_quantity x0, l_extendedprice x1, case when l_extendedprice * (1 - l_discount) > 30000 then 1.0 else 0.0 end y, 1.0::double w from lineitem)"
+DEAR = "d as (select l_orderkey * 10 + l_linenumber id, l_quantity x0, l_extendedprice x1, case when l_extendedprice * (1 - l_discount) > 30000 then 1.0 else 0.0 end y, 1.0::double w from lineitem)"
 
 
 def dear_lines(spark, sf):
@@ -457,14 +457,14 @@ def dear_lines(spark, sf):
     return assemble(rows, ["l_quantity", "l_extendedprice"]).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "features", dear.alias("label"))
 
 
-@query(f"with {PLEASANT}, {split_sql('s', 'd', LOSS)} select id, cast(case when (case when f = 0 then x0 else x1 end >= x) <> ((pt - pl) / (nt - nl) < pl / nl) then 1 else 0 end as bigint) prediction from d, s")
+@query(f"with {DEAR}, {split_sql('s', 'd', LOSS)} select id, cast(case when (case when f = 0 then x0 else x1 end >= x) <> ((pt - pl) / (nt - nl) < pl / nl) then 1 else 0 end as bigint) prediction from d, s")
 def stump(spark, sf):
     rows = dear_lines(spark, sf)
     return trees.StumpLearner().fit(rows).transform(rows).select("id", F.col("prediction").cast("long").alias("prediction"))
 
 
 def tree2_sql() -> str:
-    parts = [PLEASANT, split_sql("s", "d", GAIN), "m as (select d.*, (case when s.f = 0 then x0 else x1 end < s.x) lft from d, s)", "a as (select * from m where lft)", "b as (select * from m where not lft)"]
+    parts = [DEAR, split_sql("s", "d", GAIN), "m as (select d.*, (case when s.f = 0 then x0 else x1 end < s.x) lft from d, s)", "a as (select * from m where lft)", "b as (select * from m where not lft)"]
     parts += [split_sql("sa", "a", GAIN), split_sql("sb", "b", GAIN)]
     leaf = "case when (case when q.f = 0 then x0 else x1 end) < q.x then q.pl / q.nl else (q.pt - q.pl) / (q.nt - q.nl) end"
     return "with " + ", ".join(parts) + f" select id, round({leaf}, 6) prediction from a, sa q union all select id, round({leaf}, 6) from b, sb q"
@@ -477,7 +477,7 @@ def tree_depth2(spark, sf):
 
 
 def boost_sql(rounds: int = 2) -> str:
-    parts = [PLEASANT, "n as (select cast(count(*) as double) n from d)", "d0 as (select id, x0, x1, y, 1 / n w, 0.0::double v, 0.0::double total from d, n)"]
+    parts = [DEAR, "n as (select cast(count(*) as double) n from d)", "d0 as (select id, x0, x1, y, 1 / n w, 0.0::double v, 0.0::double total from d, n)"]
     for r in range(rounds):
         parts.append(split_sql(f"s{r}", f"d{r}", LOSS))
         parts.append(f"p{r} as (select d.*, case when (case when f = 0 then x0 else x1 end >= x) <> ((pt - pl) / (nt - nl) < pl / nl) then 1.0 else 0.0 end h from d{r} d, s{r})")
