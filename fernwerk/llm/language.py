@@ -105,7 +105,7 @@ def likelihoods(docs: DataFrame, logs: np.ndarray, declared: str, host: str) ->
 def fused(said: DataFrame, names: list[str], smoothing: float = 10.0) -> DataFrame:
     """said with language and confidence.
 
-    What a language's pages declare, and the priors of host, suffix and all pages, are grouped counts of the
+    What a language's pages declare (the 1000 commonest declarations; others say nothing), and the priors of host, suffix and all pages, are grouped counts of the
     texts' own best languages. A host's prior is smoothed towards its suffix's, that one, with what a
     country suffix suggests, towards that of all pages, each by `smoothing` pages.
     """

@@ -306,7 +306,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
         stays, (rows["t1"] == stays["t1"]) & (rows["t2"] == stays["t2"]) & rows["doc_id"].eqNullSafe(stays["least"]), "left_anti"
     )
     gone = written(gone.distinct(), "gone")
-    repeated = rows.groupBy("doc_id", "t1", "t2").count().filter("count > 1").isEmpty() is False
+    repeated = not rows.groupBy("doc_id", "t1", "t2").count().filter("count > 1").isEmpty()
     names = docs.columns
     k1, k2 = "__t1", "__t2"
     text = text_of()
