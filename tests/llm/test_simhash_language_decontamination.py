@@ -202,7 +202,7 @@ def test_lcs_against_the_table():
 def test_basis_spans_a_small_matrix(spark):
     text = [" ".join(words(64, s)) for s in range(3)]
     weight = np.ones(decontamination.FEATURES, np.float32)
-    basis = decontamination.latent_basis(spark.createDataFrame([(t,) for t in text], "text string"), weight, 9)
+    basis = decontamination.latent_basis(spark.createDataFrame([(bytearray(decontamination.word_ids(t).tobytes()),) for t in text], "ids binary"), weight, 9)
     rows = [v for t in text for v in decontamination.sparse_rows(decontamination.passages(decontamination.word_ids(t)), weight)]
     a = np.zeros((len(rows), decontamination.FEATURES))
     for k, (b, v) in enumerate(rows):
