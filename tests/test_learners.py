@@ -128,7 +128,7 @@ def test_many_classes(spark):
     df = frame(spark, x, y)
     for base in (tasks.Svm(), trees.StumpLearner()):
         assert share(compose.OneAgainstOne(base).fit(df).transform(df)) > 0.9
-    for wrapper in (compose.OneAgainstRest(tasks.RbfSvm(8.0)), compose.Ecoc(tasks.RbfSvm(8.0)), compose.Ecoc(tasks.RbfSvm(8.0), probability=True), compose.MultiTree(tasks.Svm())):
+    for wrapper in (compose.OneAgainstRest(tasks.RbfSvm(8.0)), compose.Ecoc(tasks.RbfSvm(8.0)), compose.Ecoc(tasks.RbfSvm(8.0), probability=True), compose.MultiTree(tasks.RbfSvm(8.0))):
         assert share(wrapper.fit(df).transform(df)) > 0.9, wrapper
 
 
