@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of, written
@@ -46,21 +46,19 @@ def suffix_of(host: Column) -> Column:
 def train(docs: DataFrame, declared: str = "lang", sample: int = 400) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (one row each) of triples, from at most `sample` declared texts of each of the 64 commonest languages.
 
-    The texts are those with the smallest hashes of their text. The last row, of UNKNOWN, gives every bucket the same.
+    The texts are different ones with the smallest hashes. The last row, of UNKNOWN, gives every bucket the same.
     """
-    known = docs.filter(F.col(declared).isNotNull() & F.col("text").isNotNull())
-    names = sorted(r[0] for r in known.groupBy(F.col(declared).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").limit(64).collect() if r[0] != UNKNOWN)
-    hashed = known.select(F.col(declared).cast("string").alias("l"), F.xxhash64("text").alias("h"))
-    ends = {}
-    for name in names:
-        some = hashed.filter(F.col("l") == name).groupBy("h").count().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-        ends[name] = some
+    l = F.col(declared).cast("string")  # noqa: E741
+    known = docs.filter(F.col(declared).isNotNull() & F.col("text").isNotNull()).select(l.alias("l"), "text")
+    sizes = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).filter(F.col("l") != UNKNOWN).orderBy(F.desc("n"), "l").limit(64).collect()}
+    names = sorted(sizes)
     if not names:
         return [UNKNOWN], np.full((1, BUCKETS), -np.log(BUCKETS))
-    within = F.lit(False)
-    for name, end in ends.items():
-        within = within | ((F.col("l") == name) & (F.col("h") <= end))
-    rows = known.select(F.col(declared).cast("string").alias("l"), F.xxhash64("text").alias("h"), "text").filter(within).dropDuplicates(["l", "h"])
+    # hashes below a bound that leaves some more than needed; of these the smallest
+    bounds = F.create_map(*(x for n in names for x in (F.lit(n), F.lit(min(1.0, 3.0 * (sample + 20) / sizes[n])))))
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
+    few = known.withColumn("h", place).filter(F.col("h") < F.element_at(bounds, F.col("l"))).dropDuplicates(["l", "h"])
+    rows = few.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).filter(F.col("k") <= sample)
 
     def count(batches):
         found = {n: np.zeros(BUCKETS, np.int64) for n in names}
