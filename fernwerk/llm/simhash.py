@@ -16,6 +16,8 @@ from .components import components
 
 #: Fingerprints of a bucket that are compared in one task at once; larger buckets are dealt out.
 BUCKET = 1024
+#: Rows of keys that are broadcast at most (24 bytes each); beyond, tables are joined by shuffling.
+BROADCAST_KEYS = 500_000
 #: Hashes of a text's shingles that are kept to tell the similarity of two texts.
 SKETCH = 256
 
@@ -274,12 +276,17 @@ def alike(pairs: DataFrame, similarity: float, size: int = SKETCH) -> DataFrame:
     return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(work, "a long, b long")
 
 
+def sent(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if its rows are few enough."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.95, pivots: int = 8) -> DataFrame:
     """docs without all but one document of each group of near copies; columns unchanged.
 
     Near copies share at least `similarity` of their shingles of `words` words. At that similarity a bit of a
     SimHash differs with probability p = acos(2s / (1 + s)) / pi. Tables sample as many of its 128 bits as
-    keep buckets of unrelated texts small, two more than the logarithm of their number, and there are as
+    keep buckets of unrelated texts small: 20, and beyond 8 million texts so many that a bucket has eight on average. There are as
     many tables as find a pair at the very limit with about the given recall (closer pairs are found more surely; pairs
     linked through others need not be). Pivots discard what differs by more than p plus three standard deviations;
     shingle sketches decide. Null text counts as empty. Equal texts are near copies, thus of all empty
@@ -290,12 +297,13 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
     nodes = written(with_pivots(texts.select(F.monotonically_increasing_id().alias("node"), "*"), 2, pivots), "nodes")
     n = max(2, nodes.count())
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = max(12, math.ceil(math.log2(n)) + 2)
+    bits = max(20, math.ceil(math.log2(n)) - 3)
     tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** bits))
     most = round(128 * p + 3 * math.sqrt(128 * p * (1 - p)))
     found = written(links(nodes, random_masks(tables, bits, 2), most, 2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
     ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known = nodes.join(ends, "node").select("node", "t1", "t2").join(rows.select("t1", "t2", "sketch"), ["t1", "t2"]).groupBy("node").agg(F.first("sketch").alias("sketch"))
+    wanted = sent(written(nodes.join(ends, "node").select("node", "t1", "t2"), "ends"))
+    known = rows.select("t1", "t2", "sketch").join(wanted, ["t1", "t2"]).groupBy("node").agg(F.first("sketch").alias("sketch"))
     known = written(known, "known")
     pairs = found.join(known.toDF("a", "sketch_a"), "a").join(known.toDF("b", "sketch_b"), "b")
     roots = components(alike(pairs, similarity))
@@ -311,7 +319,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
     k1, k2 = "__t1", "__t2"
     text = text_of()
     keyed = docs.withColumn(k1, F.xxhash64(text)).withColumn(k2, F.xxhash64(F.lit("other"), text))
-    drop = gone.toDF("__doc", k1, k2)
+    drop = sent(gone.toDF("__doc", k1, k2))
     kept = keyed.join(drop, [keyed[k1] == drop[k1], keyed[k2] == drop[k2], keyed["doc_id"].cast("long").eqNullSafe(drop["__doc"])], "left_anti")
     if repeated:
         kept = kept.dropDuplicates(["doc_id", k1, k2])
