@@ -115,14 +115,20 @@ def bucket_links(rows: DataFrame, words: int, most: int) -> DataFrame:
 
     rows: bucket (long), side (0; or 1 and 2, then only pairs across are compared), node (long), f0 to
     f{words-1}, pivots. A bucket has about 2 * BUCKET rows at most. Of its links a spanning forest is given, the closest first, so a bucket of n rows gives
-    fewer than n.
+    fewer than n. If rows have a root (long), all pairs of different roots are given instead.
     """
-    names = ["bucket", "side", "node", *(f"f{k}" for k in range(words)), "pivots"]
+    rooted = "root" in rows.columns
+    names = ["bucket", "side", "node", *(f"f{k}" for k in range(words)), "pivots", *(["root"] if rooted else [])]
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def bucket(part, out) -> None:
-        node, side, f, pivots = part
+        node, side, f, pivots, root = part
         a, b = close_pairs(f, pivots.astype(np.int16), most, side if side.max() > 0 else None)
+        if root is not None:
+            apart = root[a] != root[b]
+            out[0].extend(node[a[apart]])
+            out[1].extend(node[b[apart]])
+            return
         for x, y in forest(a, b, len(node)):
             out[0].append(node[x])
             out[1].append(node[y])
@@ -147,6 +153,7 @@ def bucket_links(rows: DataFrame, words: int, most: int) -> DataFrame:
         sizes = np.diff(np.append(starts, len(keys)))
         node = table.column("node").to_numpy()
         side = table.column("side").to_numpy()
+        root = table.column("root").to_numpy() if rooted else None
         f = np.stack([table.column(f"f{k}").to_numpy() for k in range(words)], axis=1).view(np.uint64)
         pivots = np.frombuffer(b"".join(table.column("pivots").to_pylist()), np.uint8).reshape(len(keys), -1)
         out: tuple[list, list] = ([], [])
@@ -154,10 +161,11 @@ def bucket_links(rows: DataFrame, words: int, most: int) -> DataFrame:
         near = np.abs(pivots[two].astype(np.int16) - pivots[two + 1].astype(np.int16)).max(axis=1, initial=0) <= most
         two = two[near & ((side[two] == 0) | (side[two] != side[two + 1]))]
         two = two[distances(f[two], f[two + 1]) <= most]
+        two = two[root[two] != root[two + 1]] if rooted else two
         out[0].extend(node[two])
         out[1].extend(node[two + 1])
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            bucket((node[s : s + n], side[s : s + n], f[s : s + n], pivots[s : s + n]), out)
+            bucket((node[s : s + n], side[s : s + n], f[s : s + n], pivots[s : s + n], root[s : s + n] if rooted else None), out)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
 
     return rows.select(*names).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "a long, b long")
@@ -191,13 +199,13 @@ def with_pivots(prints: DataFrame, words: int, pivots: int) -> DataFrame:
 def links(prints: DataFrame, masks: list[tuple[int, ...]], most: int, words: int = 1) -> DataFrame:
     """Links (a, b) between nodes whose fingerprints differ in at most `most` bits and agree under a mask.
 
-    prints: node, f0.., pivots; a written table, one row for each node. Bits that agree under a mask make a
+    prints: node, f0.., pivots, and root if only pairs of different roots are wanted, then all of them; a written table, one row for each node. Bits that agree under a mask make a
     bucket. Buckets of more than BUCKET rows are dealt by a hash into blocks of about that size, and each
     pair of blocks is a bucket of its own, so that no task holds more and no link is lost.
     """
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
     keys = [F.xxhash64(F.lit(t), *(F.col(f"f{k}").bitwiseAND(signed(m)) for k, m in enumerate(mask))) for t, mask in enumerate(masks)]
-    rows = prints.select(F.explode(F.array(*keys)).alias("bucket"), "node", *(f"f{k}" for k in range(words)), "pivots")
+    rows = prints.select(F.explode(F.array(*keys)).alias("bucket"), "node", *(f"f{k}" for k in range(words)), "pivots", *(["root"] if "root" in prints.columns else []))
     large = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET), "large")
     rows = rows.withColumn("side", F.lit(0))
     if large.isEmpty():
@@ -281,6 +289,21 @@ def sent(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def linked(nodes: DataFrame, masks: list[tuple[int, ...]], most: int) -> DataFrame:
+    """The different links of nodes, a written table, a < b."""
+    return written(links(nodes, masks, most, 2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
+
+
+def confirmed(found: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Of links (a, b) between nodes, those with at least this similarity by the sketches in rows; a written table."""
+    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = sent(written(nodes.join(ends, "node").select("node", "t1", "t2"), "ends"))
+    known = rows.select("t1", "t2", "sketch").join(wanted, ["t1", "t2"]).groupBy("node").agg(F.first("sketch").alias("sketch"))
+    known = written(known, "known")
+    pairs = found.join(known.toDF("a", "sketch_a"), "a").join(known.toDF("b", "sketch_b"), "b")
+    return written(alike(pairs, similarity), "alike")
+
+
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.95, pivots: int = 8) -> DataFrame:
     """docs without all but one document of each group of near copies; columns unchanged.
 
@@ -289,7 +312,8 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
     keep buckets of unrelated texts small: 20, and beyond 8 million texts so many that a bucket has eight on average. There are as
     many tables as find a pair at the very limit with about the given recall (closer pairs are found more surely; pairs
     linked through others need not be). Pivots discard what differs by more than p plus three standard deviations;
-    shingle sketches decide. Null text counts as empty. Equal texts are near copies, thus of all empty
+    shingle sketches decide. Candidates of a bucket are first a spanning forest; where a link of it is refused, all
+    candidate pairs that are not yet joined are tested too, so none is lost to the forest. Null text counts as empty. Equal texts are near copies, thus of all empty
     texts one stays. The row with the smallest doc_id stays (null last).
     """
     rows = written(sketches(docs, words), "sketches")
@@ -300,13 +324,19 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
     bits = max(20, math.ceil(math.log2(n)) - 3)
     tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** bits))
     most = round(128 * p + 3 * math.sqrt(128 * p * (1 - p)))
-    found = written(links(nodes, random_masks(tables, bits, 2), most, 2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = sent(written(nodes.join(ends, "node").select("node", "t1", "t2"), "ends"))
-    known = rows.select("t1", "t2", "sketch").join(wanted, ["t1", "t2"]).groupBy("node").agg(F.first("sketch").alias("sketch"))
-    known = written(known, "known")
-    pairs = found.join(known.toDF("a", "sketch_a"), "a").join(known.toDF("b", "sketch_b"), "b")
-    roots = components(alike(pairs, similarity))
+    masks = random_masks(tables, bits, 2)
+    found = linked(nodes, masks, most)
+    edges = confirmed(found, nodes, rows, similarity)
+    if edges.count() < found.count():
+        # a refused link may have stood in for others: what candidates join but edges don't is compared in all pairs
+        roots = components(edges).toDF("node", "root")
+        torn = components(found).toDF("node", "whole").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        torn = written(torn, "torn")
+        wholes = torn.groupBy("whole").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("whole")
+        again = written(nodes.join(torn.join(wholes, "whole").select("node", "root"), "node"), "again")
+        more = linked(again, masks, most).join(found, ["a", "b"], "left_anti")
+        edges = edges.union(confirmed(written(more, "more"), nodes, rows, similarity))
+    roots = components(edges)
     group = nodes.select("node", "t1", "t2", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = group.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "t1", "t2")).alias("best"))
     stays = written(best.select("best.least", "best.t1", "best.t2"), "stays")

@@ -114,6 +114,33 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert got.filter("doc_id is null").count() == 1
 
 
+def plain_groups(texts, n=5, s=0.8):
+    """Number of classes over pairs that share s of their shingles, by comparing all pairs."""
+    sets = [set(zip(*(x.split()[k:] for k in range(n)), strict=False)) for x in texts]
+    up = list(range(len(texts)))
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= s * (len(sets[i]) + len(sets[j]) - both):
+                p, q = top(i), top(j)
+                up[max(p, q)] = min(p, q)
+    return len({top(k) for k in range(len(texts))})
+
+
+def test_refused_links_do_not_hide_others(spark):
+    base = words(200, 77)
+    texts = [" ".join(edited(base, 2 + k % 3, 4000 + k)) for k in range(150)]
+    got = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    want = plain_groups(texts)
+    assert want <= got <= want + 3  # a spanning forest of unverified pairs alone leaves about ten more
+
+
 def test_similarity_is_exact_on_short_texts(spark):
     a, b = " ".join(words(60, 1)), " ".join(edited(words(60, 1), 2, 5))
     docs = spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string")
