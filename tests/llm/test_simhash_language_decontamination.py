@@ -215,6 +215,14 @@ def test_benchmark_passages_are_found(spark, monkeypatch):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [*range(30), 300, 301, 303]
 
 
+def test_items_in_a_third_of_the_rows_are_found(spark):
+    item = " ".join(words(30, 7001))
+    rows = [(k, " ".join(words(150, 7100 + k))) for k in range(40)]
+    rows += [(100 + k, rows[0][1] + " " + item) for k in range(14)] + [(200 + k, " ".join([*words(90, 7300 + k), item, *words(40, 7400 + k)])) for k in range(6)]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"), rank=32).collect()
+    assert sorted(r.doc_id for r in got if r["items"]) == [*range(100, 114), *range(200, 206)]
+
+
 def test_lcs_against_the_table():
     r = random.Random(2)
     for _ in range(100):
