@@ -53,11 +53,11 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("secret").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_repositories: int = 3) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", most_repositories: int | None = None) -> DataFrame:
     """Spans of secrets for each row, and how many of them only one owner has.
 
     Candidates of the base kinds always stay. A candidate is live-looking if one owner alone has it, in
-    at most most_repositories repositories; what several owners have is a copied example (n_copied). The
+    however many repositories (at most most_repositories, if that is given); what several owners have is a copied example (n_copied). The
     kind `live`, long mixed-case strings with digits outside base spans, is added only where live-looking. Null text counts as empty; a null owner or
     repository is one of its own. Repeated rows are scanned as they come.
     """
@@ -72,7 +72,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     rows = written(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", F.array_sort(F.concat("base", apart)).alias("all")), "secrets")
 
     each = rows.select("row", "doc_id", "owner", "repository", F.explode("all").alias("s")).select("row", "doc_id", "owner", "repository", "s", F.col("s.secret").alias("secret"))
-    judged = each.join(ownership(each), "secret").withColumn("alone", (F.col("owners") == 1) & (F.col("repositories") <= most_repositories))
+    judged = each.join(ownership(each), "secret").withColumn("alone", (F.col("owners") == 1) & (F.lit(True) if most_repositories is None else F.col("repositories") <= most_repositories))
     judged = judged.filter((F.col("s.kind") < 3) | F.col("alone"))
     some = judged.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("s")).alias("all"),

@@ -49,6 +49,14 @@ def test_copied_secrets_are_not_live(spark):
     assert got[10].n_live == 1 and got[10].spans == "assign:0:25" and len(got) == 7
 
 
+def test_copies_within_an_owner_stay_live(spark):
+    key = "Ab3dEf6hIj9kLm2nOp5qRs8tUv"
+    rows = [(k, f"see {key} here", "owner") for k in range(6)] + [(10 + k, f"page {k} password=qqqqwwwwrrrrtttt", "owner") for k in range(6)]
+    got = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 12 and all(r.n_live == 1 and r.n_copied == 0 for r in got)
+    assert all(r.spans == "live:4:30" for r in got if r.doc_id < 10)
+
+
 def luhn(d):
     return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
 
