@@ -44,27 +44,27 @@ def suffix_of(host: Column) -> Column:
 
 
 def train(docs: DataFrame, declared: str = "lang", sample: int = 400) -> tuple[list[str], np.ndarray]:
-    """Languages and log probabilities (one row each) of triples, from at most `sample` declared texts of each of the 64 commonest languages.
+    """Languages and log probabilities (one row each) of triples, from at most `sample` declared texts of every declared language.
 
     The texts are different ones with the smallest hashes. The last row, of UNKNOWN, gives every bucket the same.
     """
     l = F.col(declared).cast("string")  # noqa: E741
-    known = docs.filter(F.col(declared).isNotNull() & F.col("text").isNotNull()).select(l.alias("l"), "text")
-    sizes = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count(F.lit(1)).alias("n")).filter(F.col("l") != UNKNOWN).orderBy(F.desc("n"), "l").limit(64).collect()}
-    names = sorted(sizes)
+    known = docs.filter(F.col(declared).isNotNull() & F.col("text").isNotNull()).select(l.alias("l"), "text").filter(F.col("l") != UNKNOWN)
+    # hashes below a bound that leaves some more than needed, by the number of different texts; of these the smallest
+    sizes = known.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("text"), 0.05).alias("n"))
+    bounds = written(sizes.select("l", F.least(F.lit(1.0), 3.0 * (sample + 20) / F.greatest("n", F.lit(1))).alias("bound")), "bounds")
+    names = sorted(r["l"] for r in bounds.select("l").collect())
     if not names:
         return [UNKNOWN], np.full((1, BUCKETS), -np.log(BUCKETS))
-    # hashes below a bound that leaves some more than needed; of these the smallest
-    bounds = F.create_map(*(x for n in names for x in (F.lit(n), F.lit(min(1.0, 3.0 * (sample + 20) / sizes[n])))))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
-    few = known.withColumn("h", place).filter(F.col("h") < F.element_at(bounds, F.col("l"))).dropDuplicates(["l", "h"])
+    few = known.withColumn("h", place).join(F.broadcast(bounds), "l").filter(F.col("h") < F.col("bound")).select("l", "text", "h").dropDuplicates(["l", "h"])
     rows = few.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("h"))).filter(F.col("k") <= sample)
 
     def count(batches):
-        found = {n: np.zeros(BUCKETS, np.int64) for n in names}
+        found: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[name] += np.bincount(triples(text), minlength=BUCKETS)
+                found[name] = found.get(name, 0) + np.bincount(triples(text), minlength=BUCKETS)
         for name, n in found.items():
             if n.any():
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n.tobytes()], pa.binary())], names=["l", "n"])
@@ -119,16 +119,18 @@ def fused(said: DataFrame, names: list[str], smoothing: float = 10.0) -> DataFra
     codes = F.create_map(*(F.lit(x) for kv in COUNTRIES.items() for x in kv)) if COUNTRIES else None
     hint = F.element_at(codes, F.col("suffix"))
     mass = [F.col(f"c{k}") + smoothing * float(base[k]) + F.when(hint == name, COUNTRY).otherwise(0.0) for k, name in enumerate(names)]
-    whole = sum(mass[1:], mass[0])
-    by_suffix = by_suffix.select(F.col("suffix").alias("__s"), F.array(*(m / whole for m in mass)).alias("of_suffix"))
+    total_of = lambda each: F.aggregate(F.array(*each), F.lit(0.0), lambda a, x: a + x)
+    whole = total_of(mass)
+    by_suffix = by_suffix.withColumn("whole", whole).select(F.col("suffix").alias("__s"), F.array(*(m / F.col("whole") for m in mass)).alias("of_suffix"))
     joined = by_host.join(by_suffix, F.col("suffix") == F.col("__s"))
-    seen = sum((F.col(f"c{k}") for k in range(1, size)), F.col("c0"))
-    prior = F.array(*(F.log((F.col(f"c{k}") + smoothing * F.col("of_suffix")[k]) / (seen + smoothing)) for k in range(size)))
+    seen = total_of([F.col(f"c{k}") for k in range(size)])
+    joined = joined.withColumn("seen", seen)
+    prior = F.array(*(F.log((F.col(f"c{k}") + smoothing * F.col("of_suffix")[k]) / (F.col("seen") + smoothing)) for k in range(size)))
     hosts = written(joined.select(F.col("host").alias("__host"), prior.alias("prior")), "hosts")
     if hosts.count() <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
 
-    marks = said.filter(F.col("declared").isNotNull() & (F.col("n") > 0)).groupBy("declared").agg(*counts()).orderBy(F.desc(sum((F.col(f"c{k}") for k in range(1, size)), F.col("c0"))), "declared").limit(1000).collect()
+    marks = said.filter(F.col("declared").isNotNull() & (F.col("n") > 0)).groupBy("declared").agg(*counts()).orderBy(F.desc(seen), "declared").limit(1000).collect()
     tags = sorted({r["declared"] for r in marks} | set(names))
     table = np.full((len(tags), size), 0.5)
     for r in marks:
@@ -137,11 +139,11 @@ def fused(said: DataFrame, names: list[str], smoothing: float = 10.0) -> DataFra
         if name in tags and name != UNKNOWN:
             table[tags.index(name), k] += 5
     table = np.log(table / table.sum(axis=0))
-    says = F.create_map(*(x for t, row in zip(tags, table, strict=True) for x in (F.lit(t), F.array(*map(F.lit, row.tolist())))))
+    says = said.sparkSession.createDataFrame([(t, row.tolist()) for t, row in zip(tags, table, strict=True)], "__tag string, says array<double>")
     none = F.array(*[F.lit(0.0)] * size)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    score = add(add(F.col("said"), F.coalesce(F.col("prior"), none)), F.coalesce(F.element_at(says, F.col("declared")), none))
-    out = said.join(hosts, F.col("host").eqNullSafe(F.col("__host")), "left").withColumn("score", score)
+    score = add(add(F.col("said"), F.coalesce(F.col("prior"), none)), F.coalesce(F.col("says"), none))
+    out = said.join(hosts, F.col("host").eqNullSafe(F.col("__host")), "left").join(F.broadcast(says), F.col("declared") == F.col("__tag"), "left").withColumn("score", score)
     top = F.array_max("score")
     out = out.withColumn("confidence", 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - top)))
     return out.withColumn("language", F.element_at(F.array(*map(F.lit, names)), F.array_position("score", top).cast("int")))

@@ -179,6 +179,22 @@ def test_host_prior_decides_what_a_text_cannot(spark):
     assert (got[100], got[101]) == ("aa", "bb")
 
 
+def test_every_declared_language_is_trained(spark):
+    letter = lambda seed: random.Random(seed).choice("abcdefghijklmnopqrstuvwxyz")
+    made = {f"l{k:02}": ["".join(letter(10000 * k + 100 * i + j) for j in range(6)) for i in range(12)] for k in range(70)}
+    text = lambda x, i: " ".join(random.Random(i).choices(made[x], k=30))
+    rows = [(100 * k + i, text(x, i), x, f"{x}.example") for k, x in enumerate(made) for i in range(4 if k < 64 else 3)]
+    got = {r.doc_id: r.language for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[d] == x for d, _, x, _ in rows)
+
+
+def test_copies_do_not_thin_the_training_texts(spark):
+    rows = [(sentence("aa", k), "aa") for k in range(12)]
+    frame = lambda r: spark.createDataFrame(r, "text string, lang string")
+    want, got = language.train(frame(rows)), language.train(frame(rows + rows[:1] * 20000))
+    assert want[0] == got[0] and np.allclose(want[1], got[1])
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert language.identify(none).collect() == [] and language.keep_identified(none).collect() == []
