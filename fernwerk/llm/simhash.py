@@ -18,7 +18,7 @@ from .components import components
 BUCKET = 1024
 #: Rows of keys that are broadcast at most (24 bytes each); beyond, tables are joined by shuffling.
 BROADCAST_KEYS = 500_000
-#: Hashes of a text's shingles that are kept to tell the similarity of two texts.
+#: Hashes of a text's shingles that are kept to discard pairs of texts that are far apart.
 SKETCH = 256
 
 
@@ -259,29 +259,52 @@ def sketches(docs: DataFrame, words: int, size: int = SKETCH) -> DataFrame:
 
 
 def alike(pairs: DataFrame, similarity: float, size: int = SKETCH) -> DataFrame:
-    """Of pairs (a, b, sketch_a, sketch_b), those (a, b) with at least this Jaccard similarity.
+    """Of pairs (a, b, sketch_a, sketch_b), those (a, b, sure) that can have at least this Jaccard similarity.
 
-    Exact if together the texts have no more than `size` shingles, else estimated on the `size` smallest of all.
+    Sure, and exact, if neither text has `size` shingles. Else it is estimated on the `size` smallest of all, and
+    pairs that are not five standard errors below the similarity are given, not sure.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+    margin = 5 * math.sqrt(similarity * (1 - similarity) / size)
 
     def work(batches):
         for batch in batches:
-            keep = []
+            keep, sure = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 z = np.sort(np.concatenate([x, y]))
                 twin = z[1:] == z[:-1]
                 union = z[np.append(True, ~twin)] if len(z) else z
                 both = z[1:][twin]
-                if max(len(x), len(y)) >= size:
+                exact = max(len(x), len(y)) < size
+                if not exact:
                     union = union[:size]
                     both = both[both <= union[-1]]
-                keep.append(len(both) >= similarity * len(union))
+                keep.append(len(both) >= (similarity - (0 if exact else margin)) * len(union))
+                sure.append(exact)
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=schema)
+            yield pa.RecordBatch.from_arrays([x.filter(mask) for x in (batch.column(0), batch.column(1), pa.array(sure, pa.bool_()))], schema=schema)
+
+    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(work, "a long, b long, sure boolean")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, shingles: array of the different hashes) of the wanted texts (node, t1, t2, least), each from the row of doc_id least."""
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def work(batches):
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                whole = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), whole], schema=schema)
 
-    return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(work, "a long, b long")
+    text = text_of()
+    read = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("other"), text).alias("h2"), text.alias("text"))
+    same = (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2")) & F.col("d").eqNullSafe(F.col("least"))
+    return read.join(wanted, same).select("node", "text").mapInArrow(work, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
 def sent(keys: DataFrame) -> DataFrame:
@@ -294,14 +317,26 @@ def linked(nodes: DataFrame, masks: list[tuple[int, ...]], most: int) -> DataFra
     return written(links(nodes, masks, most, 2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
 
 
-def confirmed(found: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Of links (a, b) between nodes, those with at least this similarity by the sketches in rows; a written table."""
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = sent(written(nodes.join(ends, "node").select("node", "t1", "t2"), "ends"))
+def confirmed(found: DataFrame, docs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of links (a, b) between nodes, those with at least this similarity, exactly; a written table.
+
+    The sketches in rows discard; what they leave open is decided on all shingles of the two texts.
+    """
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = sent(written(nodes.join(ends(found), "node").select("node", "t1", "t2"), "ends"))
     known = rows.select("t1", "t2", "sketch").join(wanted, ["t1", "t2"]).groupBy("node").agg(F.first("sketch").alias("sketch"))
     known = written(known, "known")
     pairs = found.join(known.toDF("a", "sketch_a"), "a").join(known.toDF("b", "sketch_b"), "b")
-    return written(alike(pairs, similarity), "alike")
+    judged = written(alike(pairs, similarity), "alike")
+    sure, open_ = judged.filter("sure").select("a", "b"), judged.filter(~F.col("sure")).select("a", "b")
+    if open_.isEmpty():
+        return sure
+    wanted = sent(written(nodes.join(ends(open_), "node").select("node", "t1", "t2", "least"), "ends"))
+    sets = written(shingle_sets(docs, wanted, words), "shingles")
+    both = open_.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    sizes = both.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).alias("n"), (F.size("of_a") + F.size("of_b")).alias("all"))
+    exact = sizes.filter(F.col("n") >= similarity * (F.col("all") - F.col("n"))).select("a", "b")
+    return sure.union(written(exact, "exact"))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.95, pivots: int = 8) -> DataFrame:
@@ -312,7 +347,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
     keep buckets of unrelated texts small: 20, and beyond 8 million texts so many that a bucket has eight on average. There are as
     many tables as find a pair at the very limit with about the given recall (closer pairs are found more surely; pairs
     linked through others need not be). Pivots discard what differs by more than p plus three standard deviations;
-    shingle sketches decide. Candidates of a bucket are first a spanning forest; where a link of it is refused, all
+    shingle sketches discard, and all shingles decide. Candidates of a bucket are first a spanning forest; where a link of it is refused, all
     candidate pairs that are not yet joined are tested too, so none is lost to the forest. Null text counts as empty. Equal texts are near copies, thus of all empty
     texts one stays. The row with the smallest doc_id stays (null last).
     """
@@ -326,7 +361,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
     most = round(128 * p + 3 * math.sqrt(128 * p * (1 - p)))
     masks = random_masks(tables, bits, 2)
     found = linked(nodes, masks, most)
-    edges = confirmed(found, nodes, rows, similarity)
+    edges = confirmed(found, docs, nodes, rows, words, similarity)
     if edges.count() < found.count():
         # a refused link may have stood in for others: what candidates join but edges don't is compared in all pairs
         roots = components(edges).toDF("node", "root")
@@ -335,7 +370,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
         wholes = torn.groupBy("whole").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("whole")
         again = written(nodes.join(torn.join(wholes, "whole").select("node", "root"), "node"), "again")
         more = linked(again, masks, most).join(found, ["a", "b"], "left_anti")
-        edges = edges.union(confirmed(written(more, "more"), nodes, rows, similarity))
+        edges = edges.union(confirmed(written(more, "more"), docs, nodes, rows, words, similarity))
     roots = components(edges)
     group = nodes.select("node", "t1", "t2", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = group.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "t1", "t2")).alias("best"))

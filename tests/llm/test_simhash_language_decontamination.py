@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fernwerk.llm import components, decontamination, language, simhash
 
@@ -151,6 +152,21 @@ def test_similarity_is_exact_on_short_texts(spark):
     assert simhash.alike(pair, j - 1e-9).count() == 1 and simhash.alike(pair, j + 1e-9).count() == 0
 
 
+def test_similarity_of_long_texts_is_exact(spark):
+    docs, want = [], []
+    for k in range(24):
+        base = words(1200, 8000 + k)
+        texts = [" ".join(base), " ".join(edited(base, 24 + k % 5, 8100 + k))]
+        want += [2 * k] if plain_groups(texts) == 1 else [2 * k, 2 * k + 1]
+        docs += [(2 * k + i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = simhash.sketches(docs, 5).withColumn("node", F.col("doc_id"))
+    nodes = rows.select("node", "t1", "t2", F.col("doc_id").alias("least"))
+    found = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(24)], "a long, b long")
+    joined = {r.a for r in simhash.confirmed(found, docs, nodes, rows, 5, 0.8).collect()}
+    assert 4 <= len(joined) <= 20 and joined == {d for d in range(0, 48, 2) if d + 1 not in want}
+
+
 # -- language -----------------------------------------------------------------------------------------
 
 LANGUAGES = {"aa": "the and of thing with her", "bb": "der und nicht eine schule über", "cc": "què lès où étrange façon"}
