@@ -312,6 +312,23 @@ def sent(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def tables_for(p: float, bits: int, most: int, recall: float, width: int = 128) -> int:
+    """How many tables of `bits` sampled bits find a pair with this recall, if each of `width` bits differs with probability p.
+
+    All tables sample the same bits, so the chance is averaged over the number d of bits that do differ, of which at
+    most `most` are allowed: 1 - (1 - C(width - d, bits) / C(width, bits)) ^ tables.
+    """
+    d = np.arange(most + 1)
+    share = np.array([math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in d])
+    agree = np.array([math.comb(width - k, bits) / math.comb(width, bits) for k in d])
+    if recall >= share.sum():
+        raise ValueError(f"recall {recall} is out of reach with at most {most} differing bits")
+    tables = 1
+    while (share * (1 - (1 - agree) ** tables)).sum() < recall:
+        tables += 1
+    return tables
+
+
 def linked(nodes: DataFrame, masks: list[tuple[int, ...]], most: int) -> DataFrame:
     """The different links of nodes, a written table, a < b."""
     return written(links(nodes, masks, most, 2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
@@ -357,8 +374,8 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
     n = max(2, nodes.count())
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = max(20, math.ceil(math.log2(n)) - 3)
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** bits))
     most = round(128 * p + 3 * math.sqrt(128 * p * (1 - p)))
+    tables = tables_for(p, bits, most, recall)
     masks = random_masks(tables, bits, 2)
     found = linked(nodes, masks, most)
     edges = confirmed(found, docs, nodes, rows, words, similarity)

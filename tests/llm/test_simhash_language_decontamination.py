@@ -134,6 +134,21 @@ def plain_groups(texts, n=5, s=0.8):
     return len({top(k) for k in range(len(texts))})
 
 
+def test_recall_at_the_limit(spark):
+    texts, near = [], 0
+    for k in range(400):
+        base = words(200, 20000 + k)
+        pair = [" ".join(base), " ".join(edited(base, 4, 21000 + k))]
+        sets = [set(zip(*(x.split()[j:] for j in range(5)), strict=False)) for x in pair]
+        similarity = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        if 0.8 <= similarity <= 0.85:
+            near += 1
+            texts += pair
+    got = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    print("recall", near, (2 * near - got) / near)
+    assert near > 200 and (2 * near - got) / near >= 0.93
+
+
 def test_refused_links_do_not_hide_others(spark):
     base = words(200, 77)
     texts = [" ".join(edited(base, 2 + k % 3, 4000 + k)) for k in range(150)]
