@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; where it is unset, as in tests, an own one."""
-    setting = spark.conf.get("spark.checkpoint.dir", None)
-    if setting:
-        return setting.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fernwerk-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir; where it is unset, the warehouse."""
+    setting = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (setting or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+#: Paths of the tables written in each open scratch(), the innermost last.
+_open: list[list[str]] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -28,9 +26,57 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/fernwerk-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written inside are deleted at the end, but for those put into the list it gives, which an outer scratch() then holds.
+
+    To be left only when nothing is read from the others any more.
+    """
+    keep: list[DataFrame] = []
+    _open.append([])
+    try:
+        yield keep
+    finally:
+        mine = _open.pop()
+        stays = [f.rsplit("/", 1)[0] for df in keep for f in df.inputFiles()]
+        jvm = spark.sparkContext._jvm
+        for path in mine:
+            name = path.rsplit("/", 1)[1]
+            if any(s.endswith(name) for s in stays):
+                if _open:
+                    _open[-1].append(path)
+                continue
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """name, or name with underscores after it until no table has such a column, whatever its case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """docs less the rows whose doc_id and text hash are in gone (doc_id, text_hash: a written table of distinct rows); columns unchanged.
+
+    gone is broadcast up to `most` rows (16 bytes each); beyond, both sides are shuffled by doc_id and text together.
+    """
+    key, doc, other = (free_name(n, docs) for n in ("__key", "__gone_doc", "__gone_hash"))
+    gone = gone.select(F.col("doc_id").cast("long").alias(doc), F.col("text_hash").alias(other))
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    marked = docs.withColumn(key, F.xxhash64(text_of()))
+    same = (F.col(key) == F.col(other)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc))
+    return marked.join(gone, same, "left_anti").drop(key)
+
+
 def salts(spark: SparkSession) -> int:
     """Into how many parts a key's rows are dealt before they are ranked: it grows with the shuffle partitions."""
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -43,7 +89,7 @@ def ranked(df: DataFrame, keys: Sequence[str], by: Sequence[str], name: str) ->
     then shifted by the rows of the parts before it, so that a key with a third of all rows is no one
     task's work. Rows that agree in keys and `by` get neighbouring ranks in any order.
     """
-    part, first = f"__{name}_part", f"__{name}_first"
+    part, first = free_name(f"__{name}_part", df), free_name(f"__{name}_first", df)
     dealt = df.withColumn(part, F.pmod(F.xxhash64(*by), F.lit(salts(df.sparkSession))).cast("int"))
     whole = [*keys, part]
     firsts = dealt.groupBy(*whole).agg(F.count(F.lit(1)).alias(first))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import free_name, scratch, text_of, written
 from .components import components
 
 #: Fingerprints of a bucket that are compared in one task at once; larger buckets are dealt out.
@@ -218,6 +218,19 @@ def links(prints: DataFrame, masks: list[tuple[int, ...]], most: int, words: int
     return bucket_links(dealt.withColumn("side", side).withColumn("bucket", bucket), words, most)
 
 
+def spread(rows: DataFrame, named: DataFrame, key: str, often: int = 10_000) -> DataFrame:
+    """rows joined with named, which has each key once. Keys of more than `often` rows, at most rows / often of them, are joined by broadcast.
+
+    So neither a fingerprint that very many rows share (that of empty texts, say) nor a group of copies is one task's work.
+    """
+    hot = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > often).join(named, key).drop("n"), "hot")
+    n = hot.count()
+    if not n or n > BROADCAST_KEYS:
+        return rows.join(named, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def simhash_components(docs: DataFrame, words: int = 3, most: int = 2, pivots: int = 32) -> DataFrame:
     """Each row's fingerprint and its class under links of at most `most` (1 to 3) differing bits.
 
@@ -234,8 +247,8 @@ def simhash_components(docs: DataFrame, words: int = 3, most: int = 2, pivots: i
     by_print = nodes.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     by_print = written(by_print, "roots")
     classes = by_print.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = by_print.filter(F.col("root").isNotNull()).join(classes, "root").select("f", "component_id")
-    return rows.join(named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(spread(by_print.filter(F.col("root").isNotNull()).select("root", "f"), classes, "root").select("f", "component_id"), "named")
+    return spread(rows, named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def sketches(docs: DataFrame, words: int, size: int = SKETCH) -> DataFrame:
@@ -249,7 +262,7 @@ def sketches(docs: DataFrame, words: int, size: int = SKETCH) -> DataFrame:
                 h = shingle_hashes(text, words)
                 one.append(fingerprint(h))
                 two.append(fingerprint((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)))
-                kept.append(np.unique((h >> np.uint64(32)).astype(np.uint32))[:size].tobytes())
+                kept.append(np.unique(h)[:size].tobytes())
             prints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *prints, pa.array(kept, pa.binary())], schema=schema)
 
@@ -271,7 +284,7 @@ def alike(pairs: DataFrame, similarity: float, size: int = SKETCH) -> DataFrame:
         for batch in batches:
             keep, sure = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 z = np.sort(np.concatenate([x, y]))
                 twin = z[1:] == z[:-1]
                 union = z[np.append(True, ~twin)] if len(z) else z
@@ -368,6 +381,22 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
     candidate pairs that are not yet joined are tested too, so none is lost to the forest. Null text counts as empty. Equal texts are near copies, thus of all empty
     texts one stays. The row with the smallest doc_id stays (null last).
     """
+    with scratch(docs.sparkSession) as keep:
+        stays, repeated = representatives(docs, words, similarity, recall, pivots)
+        keep.append(stays)
+    k1, k2, doc, other = (free_name(n, docs) for n in ("__t1", "__t2", "__doc", "__other"))
+    text = text_of()
+    keyed = docs.withColumn(k1, F.xxhash64(text)).withColumn(k2, F.xxhash64(F.lit("other"), text))
+    drop = sent(stays.toDF(doc, f"{other}1", f"{other}2"))
+    same = (F.col(k1) == F.col(f"{other}1")) & (F.col(k2) == F.col(f"{other}2")) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc))
+    kept = keyed.join(drop, same, "left_anti")
+    if repeated:
+        kept = kept.dropDuplicates(["doc_id", k1, k2])
+    return kept.drop(k1, k2)
+
+
+def representatives(docs: DataFrame, words: int, similarity: float, recall: float, pivots: int) -> tuple[DataFrame, bool]:
+    """For near_dedup: (doc_id, t1, t2) of the rows that go, as a written table, and whether rows repeat."""
     rows = written(sketches(docs, words), "sketches")
     texts = written(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.first("f0").alias("f0"), F.first("f1").alias("f1")), "texts")
     nodes = written(with_pivots(texts.select(F.monotonically_increasing_id().alias("node"), "*"), 2, pivots), "nodes")
@@ -397,12 +426,4 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
     )
     gone = written(gone.distinct(), "gone")
     repeated = not rows.groupBy("doc_id", "t1", "t2").count().filter("count > 1").isEmpty()
-    names = docs.columns
-    k1, k2 = "__t1", "__t2"
-    text = text_of()
-    keyed = docs.withColumn(k1, F.xxhash64(text)).withColumn(k2, F.xxhash64(F.lit("other"), text))
-    drop = sent(gone.toDF("__doc", k1, k2))
-    kept = keyed.join(drop, [keyed[k1] == drop[k1], keyed[k2] == drop[k2], keyed["doc_id"].cast("long").eqNullSafe(drop["__doc"])], "left_anti")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id", k1, k2])
-    return kept.select(*(F.col(f"`{c}`") for c in names))
+    return gone, repeated

@@ -233,7 +233,8 @@ def test_empty_tables(spark):
     benchmark = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
     assert decontamination.contaminated(none, benchmark).collect() == []
     some = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
-    assert decontamination.contaminated(some, benchmark.limit(0)).first()["items"] == []
+    assert decontamination.contaminated(some, benchmark.limit(0)).collect() == []
+    assert decontamination.drop_contaminated(some, benchmark.limit(0)).count() == 1
 
 
 # -- decontamination ----------------------------------------------------------------------------------
@@ -255,9 +256,9 @@ def test_benchmark_passages_are_found(spark, monkeypatch):
         by = defaultdict(list)
         for d, found in got:
             by[d].append(found)
+        assert set(by) == {302, None, *(100 + k for k, _ in items)}
         assert all(by[100 + k] == [[k]] for k, _ in items)
-        assert all(by[k] == [[]] for k in [*range(30), 300, 301, 303])
-        assert by[302] == [[0], [0]] and by[None] == [[1]] and len(got) == len(rows)
+        assert by[302] == [[0], [0]] and by[None] == [[1]]
     kept = decontamination.drop_contaminated(docs, benchmark, rank=32)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [*range(30), 300, 301, 303]
 
@@ -281,12 +282,72 @@ def test_lcs_against_the_table():
         assert decontamination.lcs(a, b) == t[-1][-1]
 
 
+def test_verification_compares_words_not_buckets():
+    seen, pair = {}, None
+    for k in range(4000):
+        a = f"{k * k * 7919:x}{"qrstuv"[k % 6]}".encode()
+        if (b := seen.setdefault(decontamination.ids_of([a])[0], a)) != a:
+            pair = a.decode(), b.decode()
+            break
+    item = " ".join([pair[0]] * 6 + words(6, 3))
+    block = decontamination.Block([(1, item, np.zeros((1, 4), np.float16).tobytes())], 4, 8)
+    other = decontamination.words_of(" ".join([pair[1]] * 6 + words(6, 3)))
+    assert block.possible(decontamination.ids_of(other).tolist(), 0, 0, 8, 0.6)
+    assert block.judged(other, 0, 0, 8, 0.8, 0.6, 2.0) is None and block.judged(decontamination.words_of(item), 0, 0, 8, 0.8, 0.6, 2.0) == (1.0, 1.0)
+
+
+def test_repeated_words_and_short_items(spark):
+    items = [(1, "a " * 16 + "b c"), (2, "quince marmalade forever"), (3, "quince marmalade forever jam"), (4, "walrus")]
+    rows = [(1, " ".join(words(60, 1)) + " a" * 16), (2, " ".join([*words(40, 2), "Quince marmalade, forever jam!", *words(9, 3)])), (3, "quince marmalade jam forever"), (4, "walrus " * 20), (5, "quince marmalade forever jam")]
+    docs = spark.createDataFrame(rows + [(k, " ".join(words(50, k))) for k in range(20, 60)], "doc_id long, text string")
+    got = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), rank=32).collect()
+    assert sorted((r.doc_id, i.item_id) for r in got for i in r["items"]) == [(1, 1), (2, 3), (5, 3)]
+
+
+def test_recall_of_paraphrases_against_all_passages(spark, sf_dir):
+    """Items with up to 35 % of their words replaced, by the latent search and by judging every passage for every item."""
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()][:150]
+    pool = [w for _, t in docs for w in t.split()]
+    rows, r = list(docs), random.Random(4)
+    for k in range(300):
+        text = [w if r.random() > (0, 0.1, 0.2, 0.3, 0.35)[k % 5] else r.choice(pool) for w in items[k % len(items)][1].split()]
+        host = docs[k % len(docs)][1].split()[:200]
+        at = r.randrange(len(host) + 1)
+        rows.append((10000 + k, " ".join([*host[:at], *text, *host[at:]])))
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x.doc_id, i.item_id) for x in got for i in x["items"]}
+    block = decontamination.Block([(i, t, np.zeros((1, 1), np.float16).tobytes()) for i, t in items], 1, 8)
+    want = set()
+    for d, t in rows:
+        own = decontamination.words_of(t)
+        ids = decontamination.ids_of(own).tolist()
+        for k, (i, _) in enumerate(items):
+            if any(block.possible(ids, k, s, 8, 0.6) and block.judged(own, k, s, 8, 0.8, 0.6, 0.8) for s in range(0, max(1, len(own) - decontamination.STEP), decontamination.STEP)):
+                want.add((d, i))
+    print("recall", len(want), len(got & want) / len(want))
+    assert len(want) > 150 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_clashing_names_and_long_texts(spark):
+    item = " ".join(words(30, 7001))
+    long = " ".join(words(70000, 5))
+    rows = [(1, item), (2, long + " " + item), (3, long), (4, None), (5, "")]
+    docs = spark.createDataFrame([(d, t, "k", 7, "h", 1.0) for d, t in rows], "doc_id long, text string, __key string, __gone_hash int, __T1 string, __key_ double")
+    kept = decontamination.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), rank=16)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r["__key"], r["__gone_hash"]) for r in kept.collect()) == [(3, "k", 7), (4, "k", 7), (5, "k", 7)]
+    one = simhash.near_dedup(docs)
+    assert one.columns == docs.columns and sorted((r.doc_id, r["__T1"]) for r in one.collect()) == [(1, "h"), (2, "h"), (4, "h")]
+
+
 def test_basis_spans_a_small_matrix(spark):
     text = [" ".join(words(64, s)) for s in range(3)]
     weight = np.ones(decontamination.FEATURES, np.float32)
-    basis = decontamination.latent_basis(spark.createDataFrame([(bytearray(decontamination.word_ids(t).tobytes()),) for t in text], "ids binary"), weight, 9)
+    known, vectors = decontamination.latent_vectors(spark.createDataFrame([(bytearray(decontamination.word_ids(t).tobytes()),) for t in text], "ids binary"), weight, 9)
+    basis, _ = decontamination.unfolded(known, vectors)
     rows = [v for t in text for v in decontamination.sparse_rows(decontamination.passages(decontamination.word_ids(t)), weight)]
     a = np.zeros((len(rows), decontamination.FEATURES))
     for k, (b, v) in enumerate(rows):
         a[k, b] = v
-    assert np.allclose((a @ basis).T @ (a @ basis), np.eye(9), atol=1e-3)  # each direction divided by its singular value
+    gram = (a @ basis).T @ (a @ basis)
+    assert np.allclose(gram / gram.trace() * 9, np.eye(9), atol=5e-3)  # each direction divided by its singular value, all to one scale
