@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -12,6 +13,7 @@ def spark():
 
     session = (
         SparkSession.builder.master("local[4]")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="fernwerk-tests-"))
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
