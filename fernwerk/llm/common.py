@@ -77,6 +77,28 @@ def without_rows(docs: DataFrame, gone: DataFrame, most: int = 1_000_000) -> Dat
     return marked.join(gone, same, "left_anti").drop(key)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "left", small: bool | None = None, most: int = 500_000, often: int = 100_000) -> DataFrame:
+    """rows joined with table, which has each value of key (null is a value) once; no other column may be in both.
+
+    The table is broadcast if it is small: up to `most` rows, unless the caller knows better. Beyond, both are shuffled, and a key of over `often` rows (at
+    most rows / often keys) is dealt into parts of about that many: its row of the table is copied to each, so that
+    no hot key is one task's work. rows is read twice then.
+    """
+    if small is None:
+        small = table.count() <= most
+    other, salt, parts = (free_name(n, rows, table) for n in ("__other", "__salt", "__parts"))
+    named = table.withColumnRenamed(key, other)
+    if small:
+        return rows.join(F.broadcast(named), rows[key].eqNullSafe(named[other]), how).drop(other)
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > often)
+    hot = F.broadcast(written(hot.select(F.col(key).alias(f"{other}_"), F.ceil(F.col("n") / often).cast("int").alias(parts)), "hot"))
+    n = F.coalesce(F.col(parts), F.lit(1))
+    dealt = rows.join(hot, rows[key].eqNullSafe(hot[f"{other}_"]), "left").withColumn(salt, F.pmod(F.monotonically_increasing_id(), n).cast("int")).drop(f"{other}_", parts)
+    copied = named.join(hot, named[other].eqNullSafe(hot[f"{other}_"]), "left").withColumn(f"{salt}_", F.explode(F.sequence(F.lit(0), n - 1))).drop(f"{other}_", parts)
+    same = F.col(f"`{key}`").eqNullSafe(F.col(other)) & (F.col(salt) == F.col(f"{salt}_"))
+    return dealt.join(copied, same, how).drop(other, salt, f"{salt}_")
+
+
 def salts(spark: SparkSession) -> int:
     """Into how many parts a key's rows are dealt before they are ranked: it grows with the shuffle partitions."""
     return max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))

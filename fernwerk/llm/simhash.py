@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, scratch, text_of, written
+from .common import free_name, looked_up, scratch, text_of, written
 from .components import components
 
 #: Fingerprints of a bucket that are compared in one task at once; larger buckets are dealt out.
@@ -218,19 +218,6 @@ def links(prints: DataFrame, masks: list[tuple[int, ...]], most: int, words: int
     return bucket_links(dealt.withColumn("side", side).withColumn("bucket", bucket), words, most)
 
 
-def spread(rows: DataFrame, named: DataFrame, key: str, often: int = 10_000) -> DataFrame:
-    """rows joined with named, which has each key once. Keys of more than `often` rows, at most rows / often of them, are joined by broadcast.
-
-    So neither a fingerprint that very many rows share (that of empty texts, say) nor a group of copies is one task's work.
-    """
-    hot = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > often).join(named, key).drop("n"), "hot")
-    n = hot.count()
-    if not n or n > BROADCAST_KEYS:
-        return rows.join(named, key)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named, key)
-    return rows.join(F.broadcast(hot), key).unionByName(rest)
-
-
 def simhash_components(docs: DataFrame, words: int = 3, most: int = 2, pivots: int = 32) -> DataFrame:
     """Each row's fingerprint and its class under links of at most `most` (1 to 3) differing bits.
 
@@ -247,8 +234,8 @@ def simhash_components(docs: DataFrame, words: int = 3, most: int = 2, pivots: i
     by_print = nodes.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     by_print = written(by_print, "roots")
     classes = by_print.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(spread(by_print.filter(F.col("root").isNotNull()).select("root", "f"), classes, "root").select("f", "component_id"), "named")
-    return spread(rows, named, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(looked_up(by_print.filter(F.col("root").isNotNull()).select("root", "f"), classes, "root", "inner").select("f", "component_id"), "named")
+    return looked_up(rows, named, "f", "inner").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def sketches(docs: DataFrame, words: int, size: int = SKETCH) -> DataFrame:
