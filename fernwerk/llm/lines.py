@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, looked_up, written
 
-#: Broadcast the boilerplate lines of all hosts up to so many hashes (8 bytes each); beyond, join by host.
+#: Broadcast the boilerplate lines of all hosts up to so many hashes (8 bytes each); beyond, they are joined by host, hot hosts in parts.
 BROADCAST_LINES = 1_000_000
 
 
@@ -41,15 +41,14 @@ def drop_lines(docs: DataFrame, host: str = "source", ratio: float = 0.05, min_p
     """
     found = written(boilerplate(docs, host, ratio, min_pages), "boilerplate")
     size = found.agg(F.sum(F.size("boilerplate"))).first()[0] or 0
-    marks = found.toDF("__host", "__lines")
-    if size <= BROADCAST_LINES:
-        marks = F.broadcast(marks)
-    rows = docs.join(marks, docs[host].cast("string").eqNullSafe(marks["__host"]), "left")
+    of, marks, own = (free_name(n, docs) for n in ("__host", "__lines", "__mine"))
+    rows = docs.withColumn(of, F.col(f"`{host}`").cast("string"))
+    rows = looked_up(rows, found.toDF(of, marks), of, small=size <= BROADCAST_LINES)
     lines = F.split("text", "\n")
-    mine = F.array_intersect(F.transform(lines, line_hash), F.col("__lines"))
-    rows = rows.withColumn("__mine", F.when(F.col("__lines").isNotNull(), mine))
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("__mine", line_hash(x)))
-    some = F.coalesce(F.size("__mine") > 0, F.lit(False))
+    mine = F.array_intersect(F.transform(lines, line_hash), F.col(marks))
+    rows = rows.withColumn(own, F.when(F.col(marks).isNotNull(), mine))
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(own, line_hash(x)))
+    some = F.coalesce(F.size(own) > 0, F.lit(False))
     out = [F.when(some, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
     if counts:
         whole = F.coalesce(F.size(lines), F.lit(0))
