@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import looked_up, scratch, text_of, without_rows, written
 
 #: Buckets of hashed letter triples.
 BUCKETS = 1 << 14
@@ -17,8 +17,8 @@ UNKNOWN = "und"
 #: Languages of country suffixes, each worth COUNTRY pages of evidence.
 COUNTRIES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
 COUNTRY = 5.0
-#: Broadcast host priors up to so many hosts.
-BROADCAST_HOSTS = 500_000
+#: A language's own name as a declaration is worth so many pages of it.
+DECLARED = 5.0
 
 LETTER = np.array([chr(c).isalpha() for c in range(0x3000)])
 
@@ -103,7 +103,7 @@ def likelihoods(docs: DataFrame, logs: np.ndarray, declared: str, host: str) ->
 def fused(said: DataFrame, names: list[str], smoothing: float = 10.0) -> DataFrame:
     """said with language and confidence.
 
-    What a language's pages declare (the 1000 commonest declarations; others say nothing), and the priors of host, suffix and all pages, are grouped counts of the
+    What a language's pages declare, and the priors of host, suffix and all pages, are grouped counts of the
     texts' own best languages. A host's prior is smoothed towards its suffix's, that one, with what a
     country suffix suggests, towards that of all pages, each by `smoothing` pages.
     """
@@ -126,24 +126,19 @@ def fused(said: DataFrame, names: list[str], smoothing: float = 10.0) -> DataFra
     seen = total_of([F.col(f"c{k}") for k in range(size)])
     joined = joined.withColumn("seen", seen)
     prior = F.array(*(F.log((F.col(f"c{k}") + smoothing * F.col("of_suffix")[k]) / (F.col("seen") + smoothing)) for k in range(size)))
-    hosts = written(joined.select(F.col("host").alias("__host"), prior.alias("prior")), "hosts")
-    if hosts.count() <= BROADCAST_HOSTS:
-        hosts = F.broadcast(hosts)
-
-    marks = said.filter(F.col("declared").isNotNull() & (F.col("n") > 0)).groupBy("declared").agg(*counts()).orderBy(F.desc(seen), "declared").limit(1000).collect()
-    tags = sorted({r["declared"] for r in marks} | set(names))
-    table = np.full((len(tags), size), 0.5)
-    for r in marks:
-        table[tags.index(r["declared"])] += [r[f"c{k}"] for k in range(size)]
-    for k, name in enumerate(names):
-        if name in tags and name != UNKNOWN:
-            table[tags.index(name), k] += 5
-    table = np.log(table / table.sum(axis=0))
-    says = said.sparkSession.createDataFrame([(t, row.tolist()) for t, row in zip(tags, table, strict=True)], "__tag string, says array<double>")
+    hosts = written(joined.select("host", prior.alias("prior")), "hosts")
+
+    marks = said.filter(F.col("declared").isNotNull() & (F.col("n") > 0)).groupBy("declared").agg(*counts())
+    spark = said.sparkSession
+    own_tags = spark.createDataFrame([(n, *(DECLARED if j == k and n != UNKNOWN else 0.0 for j in range(size))) for k, n in enumerate(names)], ["declared", *(f"c{k}" for k in range(size))])
+    marks = written(marks.unionByName(own_tags).groupBy("declared").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(size))), "declared")
+    sums = marks.agg(F.count(F.lit(1)), *(F.sum(f"c{k}") for k in range(size))).first()
+    says = F.array(*(F.log((F.col(f"c{k}") + 0.5) / F.lit(float(sums[k + 1] + 0.5 * sums[0]))) for k in range(size)))
+    says = marks.select("declared", says.alias("says"))
     none = F.array(*[F.lit(0.0)] * size)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     score = add(add(F.col("said"), F.coalesce(F.col("prior"), none)), F.coalesce(F.col("says"), none))
-    out = said.join(hosts, F.col("host").eqNullSafe(F.col("__host")), "left").join(F.broadcast(says), F.col("declared") == F.col("__tag"), "left").withColumn("score", score)
+    out = looked_up(looked_up(said, hosts, "host"), says, "declared").withColumn("score", score)
     top = F.array_max("score")
     out = out.withColumn("confidence", 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - top)))
     return out.withColumn("language", F.element_at(F.array(*map(F.lit, names)), F.array_position("score", top).cast("int")))
@@ -170,9 +165,22 @@ def keep_identified(docs: DataFrame, **options) -> DataFrame:
 
     Rows of the same doc_id and text stay or go together: they stay if one of them is kept.
     """
-    names = docs.columns
-    judged = identify(docs, **options).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"))
-    gone = written(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")), "rejected")
-    marked = docs.withColumn("__key", F.xxhash64(text_of()))
-    same = (F.col("__key") == F.col("__hash")) & marked["doc_id"].cast("long").eqNullSafe(F.col("__doc"))
-    return marked.join(gone, same, "left_anti").select(*(F.col(f"`{c}`") for c in names))
+    with scratch(docs.sparkSession) as keep:
+        judged = identify(docs, **options).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"))
+        gone = written(judged.filter(~F.col("kept")).select("doc_id", "text_hash"), "rejected")
+        keep.append(gone)
+    return without_rows(docs, gone)
+
+
+def page_documents(pages: DataFrame, url: str = "url", html: str = "html", id: str = "page_id") -> DataFrame:
+    """(doc_id, text, lang, source) of raw pages: the markup's declared language, the address's host, and the text without markup.
+
+    Null or empty markup: empty text without a declaration; an address without a host: null.
+    """
+    page = F.coalesce(F.col(html), F.lit(""))
+    lang = F.lower(F.regexp_extract(page, "(?i)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([a-z]{2,3})", 1))
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    bare = F.regexp_replace(page, "(?is)<!--.*?-->|<(script|style|head|nav)\\b.*?</\\1\\s*>", " ")
+    bare = F.regexp_replace(F.regexp_replace(bare, "<[^>]*>", " "), "&[a-zA-Z]+;|&#[0-9]+;", " ")
+    given = lambda c: F.when(c != "", c)
+    return pages.select(F.col(id).cast("long").alias("doc_id"), F.trim(bare).alias("text"), given(lang).alias("lang"), given(host).alias("source"))

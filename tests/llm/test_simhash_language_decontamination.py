@@ -219,6 +219,105 @@ def test_every_declared_language_is_trained(spark):
     assert all(got[d] == x for d, _, x, _ in rows)
 
 
+def posterior(names, rows, smoothing=10.0):
+    """(language, confidence) of each (declared, host, suffix, n, said, best) by the formula, row by row."""
+    size = len(names)
+
+    def counted(key):
+        out = defaultdict(lambda: [0.0] * size)
+        for r in rows:
+            if r.n > 0:
+                out[key(r)][r.best] += 1
+            else:
+                out[key(r)]
+        return out
+
+    total = counted(lambda r: 0)[0]
+    base = [(total[k] + (0.01 if names[k] == language.UNKNOWN else 1.0)) / (sum(total) + size) for k in range(size)]
+    base = [b / sum(base) for b in base]
+    suffixes, hosts = counted(lambda r: r.suffix), counted(lambda r: r.host)
+    tags = counted(lambda r: r.declared if r.n > 0 else None)
+    tags.pop(None, None)
+    for k, name in enumerate(names):
+        tags[name][k] += 5 if name != language.UNKNOWN else 0
+    sums = [sum(t[k] + 0.5 for t in tags.values()) for k in range(size)]
+    out = []
+    for r in rows:
+        c = suffixes[r.suffix]
+        mass = [c[k] + smoothing * base[k] + (5.0 if language.COUNTRIES.get(r.suffix) == names[k] else 0.0) for k in range(size)]
+        h = hosts[r.host]
+        score = []
+        for k in range(size):
+            s = r.said[k] + np.log((h[k] + smoothing * mass[k] / sum(mass)) / (sum(h) + smoothing))
+            score.append(s + (np.log((tags[r.declared][k] + 0.5) / sums[k]) if r.declared in tags else 0.0))
+        top = max(score)
+        out.append((names[score.index(top)], 1 / sum(np.exp(s - top) for s in score)))
+    return out
+
+
+def wrongly_declared():
+    """Short and long texts of three languages on hosts with suffixes; a quarter declares another language, a fifth none."""
+    r, rows = random.Random(6), []
+    for k in range(900):
+        x = r.choice(list(LANGUAGES))
+        text = sentence(x, k, r.choice((1, 1, 2, 8, 30))) if r.random() > 0.25 else r.choice(("on", "te", "nu"))
+        said = r.choice([y for y in LANGUAGES if y != x]) if r.random() < 0.25 else None if r.random() < 0.2 else x
+        rows.append((k, text, said, f"site{list(LANGUAGES).index(x)}{k % 4}.{dict(aa='uk', bb='de', cc='fr')[x]}", x))
+    return rows
+
+
+def test_posterior_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language, "COUNTRIES", {"uk": "aa", "de": "bb", "fr": "cc"})
+    rows = wrongly_declared() + [(2000, "", "aa", None, "aa"), (2001, None, None, "x", "aa"), (2002, "the thing", "zz-unheard", None, "aa"), (2003, sentence("bb", 1, 30000), None, "a.uk:80", "bb")]
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    names, logs = language.train(docs)
+    said = language.likelihoods(docs, logs, "lang", "source").cache()
+    want = dict(zip([r.doc_id for r in said.collect()], posterior(names, said.collect()), strict=True))
+    got = {r.doc_id: r for r in language.fused(said, names).collect()}
+    assert all(got[d].language == w and abs(got[d].confidence - c) < 1e-9 for d, (w, c) in want.items())
+    assert got[2003].language == "bb"
+
+
+def test_evidence_together_beats_each_alone(spark, monkeypatch):
+    monkeypatch.setattr(language, "COUNTRIES", {"uk": "aa", "de": "bb", "fr": "cc"})
+    rows = wrongly_declared()
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, lang string, source string")
+    names, logs = language.train(docs)
+    said = {r.doc_id: names[int(np.argmax(r.said))] for r in language.likelihoods(docs, logs, "lang", "source").collect()}
+    fused = {r.doc_id: r.language for r in language.identify(docs).collect()}
+    right = lambda got: sum(got[d] == x for d, _, _, _, x in rows) / len(rows)
+    declared = {d: x for d, _, x, _, _ in rows}
+    print("text", right(said), "declared", right(declared), "together", right(fused))
+    assert right(fused) >= right(said) + 0.03 and right(fused) >= right(declared) + 0.2 and right(fused) > 0.9
+
+
+def test_ties_go_to_the_first_language(spark):
+    both = [(k, "abcd efgh ijkl", x, "h") for k, x in enumerate(("bb", "aa", "bb", "aa"))]
+    got = language.identify(spark.createDataFrame([*both, (9, "abcd efgh", None, None)], "doc_id long, text string, lang string, source string"))
+    assert {r.language for r in got.collect() if r.doc_id == 9} == {"aa"}
+
+
+def test_raw_pages_give_their_declarations_and_hosts(spark, sf_dir):
+    made = spark.createDataFrame([(1, "https://u@www.A.example.de:80/x?y", '<!doctype html><HTML class=x lang="de-AT"><head><title>no</title></head><body>Der <b>Text</b>&amp;<script>no()</script><!-- no --></body></html>'), (2, None, None)], "page_id long, url string, html string")
+    one, none = language.page_documents(made).orderBy("doc_id").collect()
+    assert (one.lang, one.source, one.text.split()) == ("de", "www.a.example.de", ["Der", "Text"]) and (none.text, none.lang, none.source) == ("", None, None)
+    pages = language.page_documents(spark.read.parquet(f"{sf_dir}/pages.parquet")).cache()
+    got = {r.doc_id: r.language for r in language.identify(pages).collect()}
+    real = pages.collect()
+    assert len(got) == len(real) and sum(got[r.doc_id] == r.lang for r in real) >= 0.9 * len(real)
+    assert pages.select(language.suffix_of(F.col("source")).alias("s")).distinct().count() > 1
+
+
+def test_hot_keys_are_dealt(spark):
+    from fernwerk.llm.common import looked_up
+
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k}" if k % 2 else None) for k in range(600)], "doc_id long, host string")
+    table = rows.select("host").distinct().filter("host is null or host <> 'k3'").withColumn("v", F.length("host"))
+    want = sorted(looked_up(rows, table, "host").collect(), key=lambda r: r.doc_id)
+    got = sorted(looked_up(rows, table, "host", small=False, often=20).collect(), key=lambda r: r.doc_id)
+    assert got == want and len(got) == 600
+
+
 def test_copies_do_not_thin_the_training_texts(spark):
     rows = [(sentence("aa", k), "aa") for k in range(12)]
     frame = lambda r: spark.createDataFrame(r, "text string, lang string")
