@@ -19,7 +19,11 @@ BUCKET = 1024
 #: Rows of keys that are broadcast at most (24 bytes each); beyond, tables are joined by shuffling.
 BROADCAST_KEYS = 500_000
 #: Hashes of a text's shingles that are kept to discard pairs of texts that are far apart.
-SKETCH = 256
+SKETCH = 128
+#: Words of 64 bits in the fingerprint that near_dedup samples bits from; two of them are compared.
+WIDTH = 8
+#: One text in so many shows which buckets are too large for a task; that decides how rows are dealt, never which are compared.
+SHOWN = 64
 
 
 def references(n: int, words: int) -> np.ndarray:
@@ -56,6 +60,19 @@ def fingerprint(hashes: np.ndarray) -> np.uint64:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
 
 
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """`words` words of 64 bits, each bit as in fingerprint(), of the hashes mixed anew for each word."""
+    steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * words, np.int64)
+    for k in range(0, len(hashes), 255):  # so many are counted in one byte
+        x = hashes[k : k + 255, None] + steps
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, f: long) for each row; null text counts as empty, and empty text has fingerprint 0."""
     schema = pa.schema([("doc_id", pa.int64()), ("f", pa.int64())])
@@ -117,8 +134,9 @@ def bucket_links(rows: DataFrame, words: int, most: int) -> DataFrame:
     f{words-1}, pivots. A bucket has about 2 * BUCKET rows at most. Of its links a spanning forest is given, the closest first, so a bucket of n rows gives
     fewer than n. If rows have a root (long), all pairs of different roots are given instead.
     """
-    rooted = "root" in rows.columns
-    names = ["bucket", "side", "node", *(f"f{k}" for k in range(words)), "pivots", *(["root"] if rooted else [])]
+    rooted, stored = "root" in rows.columns, "pivots" in rows.columns
+    names = ["bucket", "side", "node", *(f"f{k}" for k in range(words)), *(["pivots"] if stored else []), *(["root"] if rooted else [])]
+    refs = references(8, words)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def bucket(part, out) -> None:
@@ -155,7 +173,12 @@ def bucket_links(rows: DataFrame, words: int, most: int) -> DataFrame:
         side = table.column("side").to_numpy()
         root = table.column("root").to_numpy() if rooted else None
         f = np.stack([table.column(f"f{k}").to_numpy() for k in range(words)], axis=1).view(np.uint64)
-        pivots = np.frombuffer(b"".join(table.column("pivots").to_pylist()), np.uint8).reshape(len(keys), -1)
+        if stored:
+            pivots = np.frombuffer(b"".join(table.column("pivots").to_pylist()), np.uint8).reshape(len(keys), -1)
+        else:
+            some = np.repeat(sizes > 1, sizes)
+            pivots = np.zeros((len(keys), len(refs)), np.uint8)
+            pivots[some] = distances(f[some][:, None, :], refs[None])
         out: tuple[list, list] = ([], [])
         two = starts[sizes == 2]
         near = np.abs(pivots[two].astype(np.int16) - pivots[two + 1].astype(np.int16)).max(axis=1, initial=0) <= most
@@ -178,14 +201,10 @@ def pigeon_masks(blocks: int = 4, most: int = 2) -> list[tuple[int, ...]]:
     return [(sum(part[k] for k in chosen),) for chosen in combinations(range(blocks), blocks - most)]
 
 
-def random_masks(n: int, bits: int, words: int, seed: int = 7) -> list[tuple[int, ...]]:
-    """n masks of `bits` bits drawn from words * 64."""
+def sampled_bits(tables: int, bits: int, width: int = 64 * WIDTH, seed: int = 7) -> np.ndarray:
+    """For each table the numbers of the fingerprint's bits that it samples."""
     rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(n):
-        mask = sum(1 << int(k) for k in rng.choice(64 * words, bits, replace=False))
-        out.append(tuple(mask >> (64 * k) & (1 << 64) - 1 for k in range(words)))
-    return out
+    return np.stack([rng.choice(width, bits, replace=False) for _ in range(tables)])
 
 
 def with_pivots(prints: DataFrame, words: int, pivots: int) -> DataFrame:
@@ -199,23 +218,62 @@ def with_pivots(prints: DataFrame, words: int, pivots: int) -> DataFrame:
 def links(prints: DataFrame, masks: list[tuple[int, ...]], most: int, words: int = 1) -> DataFrame:
     """Links (a, b) between nodes whose fingerprints differ in at most `most` bits and agree under a mask.
 
-    prints: node, f0.., pivots, and root if only pairs of different roots are wanted, then all of them; a written table, one row for each node. Bits that agree under a mask make a
+    prints: node, f0.., pivots; a written table, one row for each node. Bits that agree under a mask make a
     bucket. Buckets of more than BUCKET rows are dealt by a hash into blocks of about that size, and each
     pair of blocks is a bucket of its own, so that no task holds more and no link is lost.
     """
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
     keys = [F.xxhash64(F.lit(t), *(F.col(f"f{k}").bitwiseAND(signed(m)) for k, m in enumerate(mask))) for t, mask in enumerate(masks)]
-    rows = prints.select(F.explode(F.array(*keys)).alias("bucket"), "node", *(f"f{k}" for k in range(words)), "pivots", *(["root"] if "root" in prints.columns else []))
-    large = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET), "large")
+    rows = prints.select(F.explode(F.array(*keys)).alias("bucket"), "node", *(f"f{k}" for k in range(words)), "pivots")
+    large = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET)
+    return bucket_links(dealt(rows, large), words, most)
+
+
+def dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """rows with side; those of the large buckets (bucket, n rows) dealt by a hash of their node into blocks, each pair of blocks a bucket."""
     rows = rows.withColumn("side", F.lit(0))
+    large = written(large.select("bucket", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks")), "large")
     if large.isEmpty():
-        return bucket_links(rows, words, most)
-    dealt = rows.join(large.select("bucket", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks")), "bucket", "left")
+        return rows
+    large = F.broadcast(large) if large.count() <= BROADCAST_KEYS else large
+    rows = rows.join(large, "bucket", "left")
     i, j = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("j")
-    dealt = dealt.withColumn("i", i).withColumn("j", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    rows = rows.withColumn("i", i).withColumn("j", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(None).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     side = F.when(j.isNull() | (F.col("i") == j), 0).when(F.col("i") < j, 1).otherwise(2)
     bucket = F.when(j.isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")))
-    return bucket_links(dealt.withColumn("side", side).withColumn("bucket", bucket), words, most)
+    return rows.withColumn("side", side).withColumn("bucket", bucket)
+
+
+def sampled_rows(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(bucket, node, f0, f1, and root if nodes have it) for each table of chosen bits; nodes: node, f (the wide fingerprint's bytes)."""
+    rooted = "root" in nodes.columns
+    tables, bits = chosen.shape
+    powers = (1 << np.arange(bits)).astype(np.float64)
+    first = np.arange(tables, dtype=np.int64) << 48
+
+    def work(batches):
+        for batch in batches:
+            for k in range(0, len(batch), 512):
+                part = batch.slice(k, 512)
+                node = part.column(0).to_numpy()
+                f = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(part), -1)
+                bit = np.unpackbits(f, axis=1, bitorder="little")
+                keys = (bit[:, chosen.ravel()].reshape(-1, bits) @ powers).astype(np.int64).reshape(len(part), tables) + first
+                two = f.view(np.int64)[:, :2]
+                columns = [keys.ravel(), *(np.repeat(c, tables) for c in (node, two[:, 0], two[:, 1], *([part.column(2).to_numpy()] if rooted else [])))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "node", "f0", "f1", *(["root"] if rooted else [])])
+
+    return nodes.select("node", "f", *(["root"] if rooted else [])).mapInArrow(work, "bucket long, node long, f0 long, f1 long" + ", root long" * rooted)
+
+
+def sampled_links(nodes: DataFrame, chosen: np.ndarray, most: int) -> DataFrame:
+    """Links between nodes that agree in the chosen bits of a table and differ in at most `most` of 128 bits.
+
+    Buckets that one text in SHOWN lets expect to be larger than BUCKET are dealt into blocks, as links() does.
+    """
+    shown = sampled_rows(nodes.filter(F.pmod(F.xxhash64("node"), F.lit(SHOWN)) == 0), chosen)
+    large = shown.groupBy("bucket").agg((F.count(F.lit(1)) * SHOWN).alias("n")).filter(F.col("n") > BUCKET)
+    return bucket_links(dealt(sampled_rows(nodes, chosen), large), 2, most)
 
 
 def simhash_components(docs: DataFrame, words: int = 3, most: int = 2, pivots: int = 32) -> DataFrame:
@@ -239,23 +297,21 @@ def simhash_components(docs: DataFrame, words: int = 3, most: int = 2, pivots: i
 
 
 def sketches(docs: DataFrame, words: int, size: int = SKETCH) -> DataFrame:
-    """(doc_id, t1, t2, f0, f1, sketch): hashes of the text, a fingerprint of 128 bits, and the text's `size` smallest shingle hashes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("sketch", pa.binary())])
+    """(doc_id, t1, t2, f, sketch): hashes of the text, a fingerprint of 64 * WIDTH bits, and the text's `size` smallest shingle hashes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("f", pa.binary()), ("sketch", pa.binary())])
 
     def work(batches):
         for batch in batches:
-            one, two, kept = [], [], []
+            prints, kept = [], []
             for text in batch.column(3).to_pylist():
                 h = shingle_hashes(text, words)
-                one.append(fingerprint(h))
-                two.append(fingerprint((h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)))
+                prints.append(wide_fingerprint(h, WIDTH).tobytes())
                 kept.append(np.unique(h)[:size].tobytes())
-            prints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *prints, pa.array(kept, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints, pa.binary()), pa.array(kept, pa.binary())], schema=schema)
 
     text = text_of()
     read = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("other"), text).alias("t2"), text.alias("text"))
-    return read.mapInArrow(work, "doc_id long, t1 long, t2 long, f0 long, f1 long, sketch binary")
+    return read.mapInArrow(work, "doc_id long, t1 long, t2 long, f binary, sketch binary")
 
 
 def alike(pairs: DataFrame, similarity: float, size: int = SKETCH) -> DataFrame:
@@ -312,26 +368,27 @@ def sent(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def tables_for(p: float, bits: int, most: int, recall: float, width: int = 128) -> int:
+def tables_for(p: float, bits: int, most: int, recall: float, width: int = 64 * WIDTH) -> int:
     """How many tables of `bits` sampled bits find a pair with this recall, if each of `width` bits differs with probability p.
 
-    All tables sample the same bits, so the chance is averaged over the number d of bits that do differ, of which at
-    most `most` are allowed: 1 - (1 - C(width - d, bits) / C(width, bits)) ^ tables.
+    All tables sample the same bits, so the chance 1 - (1 - C(width - d, bits) / C(width, bits)) ^ tables is averaged over
+    the number d of bits that do differ; and of the 128 compared at most `most` may.
     """
-    d = np.arange(most + 1)
-    share = np.array([math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in d])
-    agree = np.array([math.comb(width - k, bits) / math.comb(width, bits) for k in d])
-    if recall >= share.sum():
+    d = np.arange(width + 1 - bits)
+    share = np.array([math.comb(width, int(k)) * p**int(k) * (1 - p) ** (width - int(k)) for k in d])
+    agree = np.array([math.comb(width - int(k), bits) / math.comb(width, bits) for k in d])
+    passes = sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(most + 1))
+    if recall >= passes * share.sum():
         raise ValueError(f"recall {recall} is out of reach with at most {most} differing bits")
     tables = 1
-    while (share * (1 - (1 - agree) ** tables)).sum() < recall:
+    while passes * (share * (1 - (1 - agree) ** tables)).sum() < recall:
         tables += 1
     return tables
 
 
-def linked(nodes: DataFrame, masks: list[tuple[int, ...]], most: int) -> DataFrame:
+def linked(nodes: DataFrame, chosen: np.ndarray, most: int) -> DataFrame:
     """The different links of nodes, a written table, a < b."""
-    return written(links(nodes, masks, most, 2).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
+    return written(sampled_links(nodes, chosen, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
 
 
 def confirmed(found: DataFrame, docs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -356,20 +413,20 @@ def confirmed(found: DataFrame, docs: DataFrame, nodes: DataFrame, rows: DataFra
     return sure.union(written(exact, "exact"))
 
 
-def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.95, pivots: int = 8) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
     """docs without all but one document of each group of near copies; columns unchanged.
 
     Near copies share at least `similarity` of their shingles of `words` words. At that similarity a bit of a
-    SimHash differs with probability p = acos(2s / (1 + s)) / pi. Tables sample as many of its 128 bits as
+    SimHash differs with probability p = acos(2s / (1 + s)) / pi. Tables sample as many bits of a fingerprint of 512 as
     keep buckets of unrelated texts small: 20, and beyond 8 million texts so many that a bucket has eight on average. There are as
     many tables as find a pair at the very limit with about the given recall (closer pairs are found more surely; pairs
-    linked through others need not be). Pivots discard what differs by more than p plus three standard deviations;
+    linked through others need not be). In a bucket, pivots and then 128 of the bits discard what differs by more than p plus three standard deviations;
     shingle sketches discard, and all shingles decide. Candidates of a bucket are first a spanning forest; where a link of it is refused, all
     candidate pairs that are not yet joined are tested too, so none is lost to the forest. Null text counts as empty. Equal texts are near copies, thus of all empty
     texts one stays. The row with the smallest doc_id stays (null last).
     """
     with scratch(docs.sparkSession) as keep:
-        stays, repeated = representatives(docs, words, similarity, recall, pivots)
+        stays, repeated = representatives(docs, words, similarity, recall)
         keep.append(stays)
     k1, k2, doc, other = (free_name(n, docs) for n in ("__t1", "__t2", "__doc", "__other"))
     text = text_of()
@@ -382,18 +439,18 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
     return kept.drop(k1, k2)
 
 
-def representatives(docs: DataFrame, words: int, similarity: float, recall: float, pivots: int) -> tuple[DataFrame, bool]:
+def representatives(docs: DataFrame, words: int, similarity: float, recall: float) -> tuple[DataFrame, bool]:
     """For near_dedup: (doc_id, t1, t2) of the rows that go, as a written table, and whether rows repeat."""
     rows = written(sketches(docs, words), "sketches")
-    texts = written(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.first("f0").alias("f0"), F.first("f1").alias("f1")), "texts")
-    nodes = written(with_pivots(texts.select(F.monotonically_increasing_id().alias("node"), "*"), 2, pivots), "nodes")
+    texts = written(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.first("f").alias("f")), "texts")
+    nodes = written(texts.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
     n = max(2, nodes.count())
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = max(20, math.ceil(math.log2(n)) - 3)
     most = round(128 * p + 3 * math.sqrt(128 * p * (1 - p)))
     tables = tables_for(p, bits, most, recall)
-    masks = random_masks(tables, bits, 2)
-    found = linked(nodes, masks, most)
+    chosen = sampled_bits(tables, bits)
+    found = linked(nodes, chosen, most)
     edges = confirmed(found, docs, nodes, rows, words, similarity)
     if edges.count() < found.count():
         # a refused link may have stood in for others: what candidates join but edges don't is compared in all pairs
@@ -402,7 +459,7 @@ def representatives(docs: DataFrame, words: int, similarity: float, recall: floa
         torn = written(torn, "torn")
         wholes = torn.groupBy("whole").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("whole")
         again = written(nodes.join(torn.join(wholes, "whole").select("node", "root"), "node"), "again")
-        more = linked(again, masks, most).join(found, ["a", "b"], "left_anti")
+        more = linked(again, chosen, most).join(found, ["a", "b"], "left_anti")
         edges = edges.union(confirmed(written(more, "more"), docs, nodes, rows, words, similarity))
     roots = components(edges)
     group = nodes.select("node", "t1", "t2", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
