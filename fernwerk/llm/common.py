@@ -122,6 +122,13 @@ def ranked(df: DataFrame, keys: Sequence[str], by: Sequence[str], name: str) ->
     return numbered.join(firsts, whole).withColumn(name, F.col(name) + F.col(first)).drop(part, first)
 
 
+def sliced(batches, rows: int = 1024):
+    """Arrow batches in slices of at most so many rows: what a worker holds of them as Python objects stays small."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

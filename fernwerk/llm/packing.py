@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, text_of, written
+from .common import ranked, sliced, text_of, written
 from .tokens import vocabulary, word_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -27,7 +27,7 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokeniz
 
     def pieces(batches):
         bpe, width = word_bpe(path), 4 * capacity
-        for batch in batches:
+        for batch in sliced(batches):
             out = [[] for _ in fields]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = bpe.ids(text) + end

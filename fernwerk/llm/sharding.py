@@ -5,18 +5,35 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, text_of, written
+from .common import ranked, sliced, text_of, written
+from .tokens import vocabulary, word_bpe
 
-#: A group over 1/WHOLE of a shard is split; one over 1/GRAIN of it is placed by itself, smaller ones are joined first.
-WHOLE, GRAIN = 16, 2048
+#: A group of over 1/GRAIN of a shard in any size is placed by itself; smaller ones are joined, by a hash of the text, to about that much.
+GRAIN = 512
 
 
-def n_words(text: Column) -> Column:
-    """Tokens as sharding counts them unless a column says otherwise: runs without ASCII white space."""
-    return F.size(F.filter(F.split(text, "[ \\x09-\\x0D]+"), lambda w: w != "")).cast("long")
+def sized(docs: DataFrame, tokenizer: str | None) -> DataFrame:
+    """(doc_id, size, text_crc32, g1, g2, tokens) for each row: tokens as the library of the vocabulary counts them, g1 and g2 hashes of the text."""
+    path = tokenizer or vocabulary()
+    fields = [("doc_id", pa.int64()), ("size", pa.int64()), ("text_crc32", pa.int64()), ("g1", pa.int64()), ("g2", pa.int64()), ("tokens", pa.int64())]
+    schema = pa.schema(fields)
+
+    def work(batches):
+        bpe = word_bpe(path)
+        for batch in sliced(batches):
+            tokens = [len(bpe.ids(t)) // 4 for t in batch.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(tokens, pa.int64())], schema=schema)
+
+    text = text_of()
+    read = docs.select(
+        F.col("doc_id").cast("long"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
+        F.xxhash64(text).alias("g1"), F.xxhash64(F.lit("other"), text).alias("g2"), text.alias("text"),
+    )
+    return read.mapInArrow(work, "doc_id long, size long, text_crc32 long, g1 long, g2 long, tokens long")
 
 
 def place(items: np.ndarray, shards: int, rigid: int = 0) -> np.ndarray:
@@ -65,22 +82,19 @@ def level(items: np.ndarray, where: np.ndarray, shards: int, rigid: int = 0, rou
     return where
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, tokens: Column | None = None, whole: int = WHOLE, grain: int = GRAIN) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, tokenizer: str | None = None, grain: int = GRAIN) -> DataFrame:
     """Documents in shards of nearly equal bytes, tokens and rows; law `bytes`: of these, bytes are evened out last.
 
-    A group is all documents of equal text; groups stay together unless they are over 1/whole of a
-    shard in any size: those are dealt by rank into parts of about that much. Groups of less than 1/grain
-    are first joined by a hash of the text. So at most about (4 * grain + 3 * whole) * shards items
-    with their three sums reach the driver, which places them, however many documents there are.
+    A group is all documents of equal text. Groups are never torn, but for one whose bytes alone exceed a shard's share: that is
+    dealt by rank into as few parts as fit one. Groups of less than 1/grain of a shard in every size
+    are first joined by a hash of the text. So at most 4 * grain * shards items and the torn parts (2 * shards at most)
+    with their three sums reach the driver, which places them, however many documents there are: the largest first, where
+    the dot product with residual capacity is highest. level() then moves or swaps whole items while that evens out bytes, a step that
+    vector bin packing itself does not have. Tokens are those of the tokenizer.
     A text's size is its UTF-8 bytes plus 16; null text has none but counts as the empty text. Repeated rows and null
-    doc_id take places of their own. An empty table gives an empty result.
+    doc_id take places of their own. Equal products go to the first shard, equal items are placed in order of their hash. An empty table gives an empty result.
     """
-    text = text_of()
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("raw_bytes"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(text).alias("g1"), F.xxhash64(F.lit("other"), text).alias("g2"), (tokens if tokens is not None else n_words(text)).cast("long").alias("tokens"),
-    )
-    rows = written(rows.withColumn("size", F.col("raw_bytes") + 16).drop("raw_bytes"), "sizes")
+    rows = written(sized(docs, tokenizer), "sizes")
     sums: Sequence[Column] = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")]
     total = rows.agg(*sums).first()
     if not total["rows"]:
@@ -88,14 +102,14 @@ def shard_documents(docs: DataFrame, shards: int = 40, tokens: Column | None = N
     shares = {c: max(1.0, total[c] / shards) for c in ("size", "tokens", "rows")}
     groups = rows.groupBy("g1", "g2").agg(*sums)
     share = F.greatest(*(F.col(c) / F.lit(m) for c, m in shares.items()))
-    large = groups.filter(share * grain > 1).select("g1", "g2", F.ceil(share * whole).cast("int").alias("parts"), "rows")
+    large = groups.filter(share * grain > 1).select("g1", "g2", F.ceil(F.col("size") / F.lit(shares["size"])).cast("int").alias("parts"), "rows")
     large = written(large, "groups")
     split = large.filter((F.col("parts") > 1) & (F.col("rows") > 1)).select("g1", "g2", F.least("parts", F.col("rows").cast("int")).alias("parts"))
 
     bins = grain * shards
     # large groups: at most grain * shards for each of three sizes; marked rows carry the item's key
     kept = large.select("g1", "g2", F.lit(True).alias("alone"))
-    marked = rows.join(kept, ["g1", "g2"], "left").join(split, ["g1", "g2"], "left")
+    marked = rows.join(F.broadcast(kept), ["g1", "g2"], "left").join(F.broadcast(split), ["g1", "g2"], "left")  # 3 * grain * shards and 2 * shards rows at most
     hot = ranked(marked.filter(F.col("parts").isNotNull()), ["g1", "g2"], ["doc_id"], "nth").withColumn("part", F.pmod(F.col("nth"), F.col("parts")).cast("int")).drop("nth")
     rest = marked.filter(F.col("parts").isNull()).withColumn("part", F.lit(0))
     alone = F.coalesce(F.col("alone"), F.lit(False))

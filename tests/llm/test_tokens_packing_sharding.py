@@ -3,9 +3,10 @@ import struct
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from fernwerk.llm import counting, packing, sharding
+from fernwerk.llm import counting, packing, sharding, tokens
 from fernwerk.llm.tokens import vocabulary, word_bpe
 
 ODD = [
@@ -141,8 +142,56 @@ def test_shards_are_balanced_and_gapless(odd, spark, sf_dir):
 
 def test_one_group_of_copies_is_split(spark):
     docs = spark.range(3000).selectExpr("id doc_id", "case when id % 3 = 0 then repeat('same words ', 20) else concat(repeat(cast(id as string), 30), ' x') end text")
-    rows = sharding.shard_documents(docs, shards=5, whole=8, grain=32).collect()
+    rows = sharding.shard_documents(docs, shards=5, grain=32).collect()
     load = defaultdict(int)
     for r in rows:
         load[r.shard] += r.size
     assert len(rows) == 3000 and max(load.values()) - min(load.values()) < 0.01 * max(load.values())
+
+
+def test_equal_texts_stay_in_one_shard(odd, spark, sf_dir):
+    for docs, shards in ((odd, 4), (spark.read.parquet(f"{sf_dir}/documents.parquet"), 8), (spark.read.parquet(f"{sf_dir}/documents.parquet"), 40)):
+        rows = sharding.shard_documents(docs, shards=shards).collect()
+        share = sum(r.size for r in rows) / shards
+        where, size = defaultdict(set), defaultdict(int)
+        for r in rows:
+            where[r.text_crc32, r.size].add(r.shard)
+            size[r.text_crc32, r.size] += r.size
+        assert all(len(where[t]) <= max(1, -(-size[t] // share)) for t in where)
+
+
+def test_placement_is_the_plain_rule():
+    """Each item, the largest first, where the dot product with residual capacity is highest; equal products to the first shard."""
+    r = np.random.default_rng(1)
+    for kind in range(4):
+        items = r.integers(1, (4, 50, 3, 1000)[kind], (60, 3)).astype(float)
+        if kind == 2:
+            items[:] = 2.0  # nothing but ties
+        shards = 5
+        share = items.sum(axis=0) / shards
+        sizes = items / share
+        room = [[1.0] * 3 for _ in range(shards)]
+        want = [0] * len(items)
+        for k in sorted(range(len(items)), key=lambda k: (-max(sizes[k]), k)):
+            fits = [s for s in range(shards) if room[s][0] >= sizes[k][0]]
+            if fits:
+                worth = {s: sum(a * b for a, b in zip(room[s], sizes[k], strict=True)) for s in fits}
+            else:
+                fits = range(shards)
+                worth = {s: room[s][0] for s in fits}
+            top = max(worth.values())
+            want[k] = next(s for s in fits if worth[s] >= top - 1e-12)
+            room[want[k]] = [a - b for a, b in zip(room[want[k]], sizes[k], strict=True)]
+        got = sharding.place(items, shards)
+        assert kind in (0, 1, 3) or list(np.bincount(got)) == [12] * 5
+        loads = lambda where: sorted(np.bincount(where, items[:, 0], shards))
+        assert list(got) == want or np.allclose(loads(got), loads(np.array(want)))
+
+
+def test_shards_count_real_tokens(odd, spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.vocabulary())
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    got = {r.doc_id: r.tokens for r in sharding.sized(odd, None).collect()}
+    assert all(got[d] == len(library.encode(t, add_special_tokens=False).ids) for d, t in texts.items())
