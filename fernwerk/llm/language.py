@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import looked_up, scratch, text_of, without_rows, written
+from .common import looked_up, scratch, sliced, text_of, without_rows, written
 
 #: Buckets of hashed letter triples.
 BUCKETS = 1 << 14
@@ -82,7 +82,7 @@ def likelihoods(docs: DataFrame, logs: np.ndarray, declared: str, host: str) ->
     by_bucket = np.ascontiguousarray(logs.T)
 
     def work(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, said, best = [], [], []
             for text in batch.column(5).to_pylist():
                 t = triples(text)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, looked_up, scratch, text_of, written
+from .common import free_name, looked_up, scratch, sliced, text_of, written
 from .components import components
 
 #: Fingerprints of a bucket that are compared in one task at once; larger buckets are dealt out.
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("f", pa.int64())])
 
     def work(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = np.fromiter((fingerprint(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()), np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], schema=schema)
 
@@ -301,7 +301,7 @@ def sketches(docs: DataFrame, words: int, size: int = SKETCH) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("f", pa.binary()), ("sketch", pa.binary())])
 
     def work(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             prints, kept = [], []
             for text in batch.column(3).to_pylist():
                 h = shingle_hashes(text, words)

@@ -15,7 +15,7 @@ from functools import cache
 from itertools import accumulate
 
 #: Chunks kept by a worker; at about 250 bytes each.
-KEPT = 400_000
+KEPT = 120_000
 
 #: Outside: what may compose or be special white space or a number other than 0-9; dotted capital I, whose lower case is two characters.
 UNSAFE = re.compile("[^\t\n\r -~À-ÖØ-öø-įı-ķĹ-ňŊ-ž]|<\\|")

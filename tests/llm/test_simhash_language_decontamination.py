@@ -443,7 +443,8 @@ def test_basis_spans_a_small_matrix(spark):
     text = [" ".join(words(64, s)) for s in range(3)]
     weight = np.ones(decontamination.FEATURES, np.float32)
     known, vectors = decontamination.latent_vectors(spark.createDataFrame([(bytearray(decontamination.word_ids(t).tobytes()),) for t in text], "ids binary"), weight, 9)
-    basis, _ = decontamination.unfolded(known, vectors)
+    table, row = decontamination.unfolded(known, vectors)
+    basis = table[row]
     rows = [v for t in text for v in decontamination.sparse_rows(decontamination.passages(decontamination.word_ids(t)), weight)]
     a = np.zeros((len(rows), decontamination.FEATURES))
     for k, (b, v) in enumerate(rows):
