@@ -33,7 +33,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counting.token_counts(documents(spark, sf_dir))
+    return counting.token_counts(documents(spark, sf_dir), with_prefixes=True)
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

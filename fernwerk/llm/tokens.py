@@ -9,10 +9,13 @@ which normalisation cannot act across a chunk's border; the library itself does
 from __future__ import annotations
 
 import re
+import unicodedata
 from array import array
-from bisect import bisect_right
 from functools import cache
-from itertools import accumulate
+from itertools import islice
+
+import numpy as np
+import regex
 
 #: Chunks kept by a worker; at about 250 bytes each.
 KEPT = 120_000
@@ -22,6 +25,10 @@ UNSAFE = re.compile("[^\t\n\r -~À-ÖØ-öø-įı-ķĹ-ňŊ-ž]|<\\|")
 #: The vocabulary's pre-tokens, for safe characters in lower case.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ž]+|[0-9]|[^\\sa-zÀ-ž0-9]+")
 WORD_END = "</w>"
+#: What the vocabulary's patterns call white space (Python's own notion has four control characters more), and its pre-tokens for all scripts.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CHUNK = re.compile(f"[^{SPACE}]+")
+ANY_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
 
 def byte_letters() -> list[str]:
@@ -50,6 +57,7 @@ class WordBpe:
         self.inside = {t for t in self.vocab if not t.endswith(WORD_END)}
         self.at_end = {t.removesuffix(WORD_END) for t in self.vocab if t.endswith(WORD_END)}
         self.starts = {t[:n] for t in self.inside | self.at_end for n in range(1, len(t) + 1)}
+        self.special = [t["content"] for t in json.loads(self.library.to_str())["added_tokens"]]
         self.known: dict[str, bytes] = {}
         self.counted: dict[str, int] = {}
         self.fits: dict[tuple[str, str], bool] = {}
@@ -57,7 +65,7 @@ class WordBpe:
     # -- ids ----------------------------------------------------------------------------------
 
     def letters_of(self, piece: str) -> str:
-        return piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk of safe characters in lower case, as little-endian 32-bit integers."""
@@ -173,49 +181,81 @@ class WordBpe:
             self.counted[chunk] = total
         return total
 
-    def chunk_counts(self, text: str) -> list[int]:
-        """Tokens of the text up to the end of its k-th chunk of characters other than white space, for k from 0."""
-        if UNSAFE.search(text):
-            encoded = self.library.encode(text, add_special_tokens=False)
-            ends = [m.end() for m in re.finditer(r"\S+", text)]
-            token_ends = [e for _, e in encoded.offsets]
-            return [0, *(bisect_right(token_ends, e) for e in ends[:-1]), len(token_ends)] if ends else [0, len(token_ends)][: 1 + bool(token_ends)]
+    def _odd_count(self, chunk: str) -> int:
+        """Tokens of a chunk with characters that are not safe; the library encodes it once."""
+        if (got := self.counted.get(chunk)) is None:
+            got = len(self.library.encode(chunk, add_special_tokens=False).ids)
+            if len(chunk) <= 64:
+                self.counted[chunk] = got
+        return got
+
+    def chunk_counts(self, text: str) -> np.ndarray:
+        """Tokens of the text up to the end of its k-th chunk of characters other than white space, for k from 0.
+
+        White space ends every pre-token, and no normalisation acts across it, so a text's count is the sum of its chunks'.
+        """
         if len(self.counted) > KEPT:
             self.counted.clear()
-        chunks = text.lower().split()
-        found = [*map(self.counted.get, chunks)]
-        if None in found:
-            do = self._count
-            found = [do(c) if got is None else got for c, got in zip(chunks, found, strict=True)]
-        return [0, *accumulate(found)]
+        if UNSAFE.search(text):
+            found = [self._odd_count(c) if UNSAFE.search(c) else self._count(c.lower()) for c in CHUNK.findall(text)]
+        else:
+            chunks = text.lower().split()
+            found = [*map(self.counted.get, chunks)]
+            if None in found:
+                do = self._count
+                found = [do(c) if got is None else got for c, got in zip(chunks, found, strict=True)]
+        out = np.zeros(len(found) + 1, np.int32)
+        np.cumsum(np.fromiter(found, np.int32, len(found)), out=out[1:])
+        return out
+
+    def chunk_prefixes(self, chunk: str) -> list[int]:
+        """Tokens of chunk[:i] for i from 0 to the length of a chunk without white space, of any script, by piece_prefixes().
+
+        Prefixes of a chunk in composed form are composed, and lower case goes character by character, so the pre-tokens of a prefix are
+        the chunk's own, the last cut short. Only chunks that are not composed or hold a special token have their prefixes encoded.
+        """
+        if not unicodedata.is_normalized("NFC", chunk) or any(t in chunk for t in self.special):
+            return [len(self.library.encode(chunk[:i], add_special_tokens=False).ids) for i in range(len(chunk) + 1)]
+        low = [c.lower() for c in chunk]
+        at_byte, start, bytes_before = [0], 0, 0
+        counts = {0: 0}
+        for m in ANY_PIECE.finditer("".join(low)):
+            piece = m[0]
+            if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():  # cut short, it is no contraction yet
+                for k in range(1, len(piece)):
+                    counts[bytes_before + k] = start + sum(self._count(x) for x in PIECE.findall(piece[:k]))
+                start += self._count(piece)
+                counts[bytes_before + len(piece)] = start
+            else:
+                of = self.piece_prefixes(self.letters_of(piece))
+                for k in range(1, len(of)):
+                    counts[bytes_before + k] = start + of[k]
+                start += of[-1]
+            bytes_before += len(piece.encode())
+        for c in low:
+            at_byte.append(at_byte[-1] + len(c.encode()))
+        return [counts[b] for b in at_byte]
 
     def prefix_counts(self, text: str) -> list[int]:
         """Tokens of text[:i] for i from 0 to the text's length, exactly as the library counts them."""
-        if UNSAFE.search(text):
-            return [len(self.library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
         out, before = [0], 0
-        for m in re.finditer(r"[ \t\n\r]+|[^ \t\n\r]+", text):
-            chunk = m[0].lower()
-            if chunk[0] in " \t\n\r":
-                out += [before] * len(chunk)
-                continue
-            start = before
-            for p in PIECE.finditer(chunk):
-                piece = p[0]
-                if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():  # cut short, it is no contraction yet
-                    for k in range(1, len(piece)):
-                        out.append(start + sum(self._count(x) for x in PIECE.findall(piece[:k])))
-                    start += self._count(piece)
-                    out.append(start)
-                    continue
-                counts = self.piece_prefixes(self.letters_of(piece))
-                at = 0
-                for c in piece:
-                    at += len(c.encode())
-                    out.append(start + counts[at])
-                start += counts[-1]
-            before = start
-        return out
+        for m in CHUNK.finditer(text):
+            out += [before] * (m.start() + 1 - len(out))
+            counts = self.chunk_prefixes(m[0])
+            out += [before + c for c in counts[1:]]
+            before += counts[-1]
+        return out + [before] * (len(text) + 1 - len(out))
+
+    def cut(self, text: str, limit: int, counts: np.ndarray | None = None) -> int:
+        """The length of the longest prefix of at most `limit` tokens: found by its chunk's count, then by the prefixes within the chunk after it."""
+        counts = self.chunk_counts(text) if counts is None else counts
+        if counts[-1] <= limit:
+            return len(text)
+        k = int(np.searchsorted(counts, limit, side="right"))  # chunks before the k-th, from 1, fit
+        m = next(islice(CHUNK.finditer(text), k - 1, None))
+        inside = self.chunk_prefixes(m[0])
+        left = limit - int(counts[k - 1])
+        return m.start() + max(i for i, c in enumerate(inside) if c <= left)
 
 
 @cache

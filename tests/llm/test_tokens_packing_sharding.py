@@ -5,6 +5,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from fernwerk.llm import counting, packing, sharding, tokens
 from fernwerk.llm.tokens import vocabulary, word_bpe
@@ -50,11 +52,35 @@ def test_token_counts(odd):
         n = len(library_ids(text))
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 50)
         assert len(library_ids(text[: r.cut_chars])) <= 50 or r.cut_chars == 0
-        assert r.ends[-1] == len(text.rstrip()) or not text.isascii() or "<|" in text
+        assert r.prefix_tokens[-1] == n and counting.chunk_end(text, len(r.prefix_tokens) - 1) == len(text.rstrip())
     spread = counting.tokens_between(counting.token_counts(odd, with_prefixes=True).selectExpr("*", "1 i", "3 j"), "i", "j").filter("doc_id = 13").first()
     assert spread.n_between == 2
 
 
+SCRIPTS = [
+    "“curly” – dash — and… ‘quotes’ don’t", "中文字符 没有空格的一段很长的文本 混合English words", "Ελληνικά ΣΊΣΥΦΟΣ τέλος", "Привет, МИР! Ёлка’s", "עברית العربية ١٢٣ ٣", "한국어 문장 조합", "e\u0301a\u0300 cafe\u0301s x\u0323\u0307",
+    "non\u00a0breaking\u3000space\u2003em\u0085next\u2028line \x1cfile\x1fsep", "a<|endoftext|>b c<|startof d<|startoftext|>", "İstanbul ǅ ﬁ Å K", "😀👍🏽 emoji's 1½² ⅷ", "I'LL we'Re 'tis it'sé 's'é",
+]
+
+
+@pytest.mark.parametrize("text", SCRIPTS)
+def test_every_script_is_counted_by_chunks(text):
+    bpe = word_bpe(vocabulary())
+    want = [len(library_ids(text[:i])) for i in range(len(text) + 1)]
+    assert bpe.prefix_counts(text) == want
+    assert bpe.chunk_counts(text)[-1] == want[-1] and bpe.chunk_counts(f"plain {text} plain")[-1] == len(library_ids(f"plain {text} plain"))
+    for limit in range(max(want) + 1):
+        assert bpe.cut(text, limit) == max(i for i, c in enumerate(want) if c <= limit)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(list("ab 's\n!1é’ñ中Σ\u0301\u00a0<|>İß٣क्")), st.characters(codec="utf-8")), max_size=24))
+def test_any_text_is_counted_as_the_library_does(text):
+    bpe = word_bpe(vocabulary())
+    assert bpe.chunk_counts(text)[-1] == len(library_ids(text))
+    assert bpe.prefix_counts(text) == [len(library_ids(text[:i])) for i in range(len(text) + 1)]
+
+
 def check_packing(rows, docs, capacity):
     lengths, slots = defaultdict(int), defaultdict(list)
     for r in rows:
