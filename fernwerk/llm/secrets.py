@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import looked_up, text_of, written
 
 #: Kinds in their order, each pattern with the secret as group 1. Shorter runs of the last three are no match.
 PATTERNS = [
@@ -18,6 +18,9 @@ KINDS = [k for k, _ in PATTERNS]
 ASSIGNED = 12
 #: Private-use characters that mark matches; a text's own are first replaced by a third, which no pattern tells from them.
 OPEN, CLOSE, OTHER = "", "", ""
+#: Matches whose lengths are added up in one array.
+GROUP = 256
+MEASURED = "array<struct<long:bigint,whole:bigint,secret:bigint,counts:boolean>>"
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,secret:bigint>>"
 
 
@@ -28,16 +31,28 @@ def spans_of(text: Column, kind: int) -> Column:
     """
     pattern = PATTERNS[kind][1]
     parts = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}$1{CLOSE}"), OPEN)
-    first = F.struct(F.length(parts[0]).cast("long").alias("at"), F.array().cast(SPAN).alias("found"))
-
-    def step(state: Column, part: Column) -> Column:
-        piece = F.split(part, CLOSE)
-        end = state["at"] + F.length(piece[0])
-        span = F.struct(state["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.xxhash64(piece[1]).alias("secret"))
-        here = F.when(F.length(piece[1]) >= (ASSIGNED if kind == 0 else 0), F.array(span)).otherwise(F.array().cast(SPAN))
-        return F.struct((end + F.length(piece[2])).alias("at"), F.concat(state["found"], here).alias("found"))
-
-    found = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), first, step, lambda s: s["found"])
+    measured = F.transform(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        lambda part: F.transform(F.array(F.split(part, CLOSE)), lambda x: F.struct(
+            F.length(x[0]).cast("long").alias("long"), (F.length(x[0]) + F.length(x[2])).cast("long").alias("whole"), F.xxhash64(x[1]).alias("secret"), (F.length(x[1]) >= (ASSIGNED if kind == 0 else 0)).alias("counts"),
+        ))[0],
+    )
+    # lengths are added up within groups, and over groups: appending to one array for each match would take the square of their number
+    last = F.ceil(F.size(measured) / GROUP).cast("int") - 1
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda g: F.slice(measured, g * GROUP + 1, F.lit(GROUP)))
+
+    def before(state: Column, group: Column) -> Column:
+        size = F.aggregate(group, F.lit(0).cast("long"), lambda a, x: a + x["whole"])
+        return F.struct((state["at"] + size).alias("at"), F.concat(state["found"], F.array(F.struct(state["at"].alias("at"), group.alias("group")))).alias("found"))
+
+    def step(state: Column, x: Column) -> Column:
+        span = F.struct(state["at"].alias("start"), F.lit(kind).alias("kind"), (state["at"] + x["long"]).alias("end"), x["secret"].alias("secret"))
+        here = F.when(x["counts"], F.array(span)).otherwise(F.array().cast(SPAN))
+        return F.struct((state["at"] + x["whole"]).alias("at"), F.concat(state["found"], here).alias("found"))
+
+    empty = F.array().cast(f"array<struct<at:bigint,group:{MEASURED}>>")
+    placed = F.aggregate(groups, F.struct(F.length(parts[0]).cast("long").alias("at"), empty.alias("found")), before, lambda s: s["found"])
+    found = F.flatten(F.transform(placed, lambda g: F.aggregate(g["group"], F.struct(g["at"].alias("at"), F.array().cast(SPAN).alias("found")), step, lambda s: s["found"])))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
@@ -72,7 +87,8 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     rows = written(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", F.array_sort(F.concat("base", apart)).alias("all")), "secrets")
 
     each = rows.select("row", "doc_id", "owner", "repository", F.explode("all").alias("s")).select("row", "doc_id", "owner", "repository", "s", F.col("s.secret").alias("secret"))
-    judged = each.join(ownership(each), "secret").withColumn("alone", (F.col("owners") == 1) & (F.lit(True) if most_repositories is None else F.col("repositories") <= most_repositories))
+    owned = written(ownership(each), "ownership")
+    judged = looked_up(each, owned, "secret", "inner").withColumn("alone", (F.col("owners") == 1) & (F.lit(True) if most_repositories is None else F.col("repositories") <= most_repositories))
     judged = judged.filter((F.col("s.kind") < 3) | F.col("alone"))
     some = judged.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list("s")).alias("all"),
