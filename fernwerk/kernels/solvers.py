@@ -121,33 +121,40 @@ def train_svm(x, y: np.ndarray, kernel, c: float, eps: float = 1e-4) -> SvmModel
     return SvmModel(x[at] if isinstance(x, np.ndarray) else [x[i] for i in at], (a * s)[at], b, kernel)
 
 
-def fit_sigmoid(f: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, max_iters: int = 1000, min_step: float = 1e-10, sigma: float = 1e-12, eps: float = 1e-5) -> tuple[float, float]:
-    """(a, b) of p = 1 / (1 + exp(f a + b)) by Newton's method on smoothed targets; n: how often each (f, y) occurs."""
-    n = np.ones(len(f)) if n is None else n
-    yes, no = n[y > 0].sum(), n[y <= 0].sum()
-    t = np.where(y > 0, (yes + 1) / (yes + 2), 1 / (no + 2))
-    a, b = 0.0, math.log((no + 1) / (yes + 1))
-    loss = lambda a, b: float((n * (np.logaddexp(0, f * a + b) - (1 - t) * (f * a + b))).sum())
-    now = loss(a, b)
-    for _ in range(max_iters):
-        p = 1 / (1 + np.exp(np.clip(f * a + b, -700, 700)))
-        d, v = n * (t - p), n * p * (1 - p)
-        g1, g2 = (f * d).sum(), d.sum()
-        if abs(g1) < eps and abs(g2) < eps:
+def fit_sigmoid(f: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, rounds: int = 200, tol: float = 1e-12) -> tuple[float, float]:
+    """(a, b) of p = 1 / (1 + exp(f a + b)) of greatest likelihood under targets drawn in from 0 and 1; n: how often each (f, y) occurs.
+
+    Newton steps on two unknowns, with as much added to the Hessian's diagonal as makes the loss fall; it ends when a step promises less
+    than `tol` of the loss. Scores are scaled first, so that the damping means the same for any of them.
+    """
+    n = np.ones(len(f)) if n is None else np.asarray(n, float)
+    yes = n[y > 0].sum()
+    no = n.sum() - yes
+    aim = np.where(y > 0, 1 / (yes + 2), 1 - 1 / (no + 2))  # of sigma(f a + b), which is 1 - p
+    scale = max(float(np.abs(f).max(initial=0)), 1e-300)
+    x = np.stack([np.asarray(f, float) / scale, np.ones(len(f))])
+
+    def loss(w: np.ndarray) -> float:
+        z = w @ x
+        return float(n @ (np.logaddexp(0, z) - aim * z))
+
+    w, damping = np.array([0.0, math.log((no + 1) / (yes + 1))]), 1e-6
+    now = loss(w)
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(w @ x, -700, 700)))
+        slope = x @ (n * (q - aim))
+        bend = (x * (n * q * (1 - q))) @ x.T
+        step = np.linalg.solve(bend + damping * max(np.trace(bend), 1e-12) * np.eye(2), slope)
+        if slope @ step <= tol * (1 + now):
             break
-        h11, h22, h12 = (f * f * v).sum() + sigma, v.sum() + sigma, (f * v).sum()
-        det = h11 * h22 - h12 * h12
-        da, db = -(h22 * g1 - h12 * g2) / det, -(h11 * g2 - h12 * g1) / det
-        slope, step = g1 * da + g2 * db, 1.0
-        while step >= min_step:
-            new = loss(a + step * da, b + step * db)
-            if new < now + 1e-4 * step * slope:
-                a, b, now = a + step * da, b + step * db, new
-                break
-            step /= 2
+        new = loss(w - step)
+        if new < now:
+            w, now, damping = w - step, new, max(damping / 10, 1e-12)
         else:
-            break
-    return a, b
+            damping *= 10
+            if damping > 1e12:
+                break
+    return float(w[0] / scale), float(w[1])
 
 
 # -- perceptron, self-organising map ----------------------------------------------------------------

@@ -10,24 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import dot, doubles, lit_vector
 from ..kernels.solvers import lasso_gram
 from .base import Fitted, Learner
-
-
-def summed(df: DataFrame, part, size: int) -> np.ndarray:
-    """The sum over batches of part(batch), vectors of `size`, added up within tasks before a row for each reaches the driver."""
-
-    def work(batches):
-        total = None
-        for b in batches:
-            if len(b):
-                got = part(b)
-                total = got if total is None else total + got
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
-
-    out = np.zeros(size)
-    for r in df.mapInArrow(work, "v array<double>").toLocalIterator():
-        out += np.array(r["v"])
-    return out
+from .sums import summed
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def confusion_matrix(df: DataFrame, real: str = "real", predicted: str = "predicted", whole: bool = False) -> DataFrame:
-    """(real, predicted, n); whole adds the cells of 0 between the classes of real."""
+def confusion_matrix(df: DataFrame, real: str = "real", predicted: str = "predicted", whole: bool = False, labels: list | None = None) -> DataFrame:
+    """(real, predicted, n); whole adds the cells of 0 between all classes that are real or predicted (or those of `labels`, a larger set)."""
     cells = df.groupBy(F.col(real).alias("real"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
     if not whole:
         return cells
-    names = df.select(F.col(real).alias("real")).distinct()
+    names = cells.select("real").union(cells.select("predicted"))
+    if labels is not None:
+        names = names.union(df.sparkSession.createDataFrame([(x,) for x in labels], names.schema))
+    names = names.filter(F.col("real").isNotNull()).distinct()
     every = names.join(F.broadcast(names.select(F.col("real").alias("predicted"))), F.lit(True))
-    return every.join(cells, ["real", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    grid = every.join(cells, ["real", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return grid.union(cells.filter(F.col("real").isNull() | F.col("predicted").isNull()))
 
 
 def accuracy(df: DataFrame, real: str = "real", predicted: str = "predicted") -> DataFrame:

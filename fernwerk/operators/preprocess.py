@@ -101,8 +101,10 @@ def multi_label_matrix(df: DataFrame, labels: str = "labels", out: str = "flags"
 def sample_to_2min(df: DataFrame, label: str = "label", id: str = "id") -> DataFrame:
     """Of every class the first rows by id, at most twice as many as the smallest class has."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg((2 * F.min("n")).alias("__most"))
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(label).orderBy(id)))
-    return ranked.join(F.broadcast(sizes), F.col("__rank") <= F.col("__most")).drop("__rank", "__most")
+    from .folds import rank_within
+
+    ranked = rank_within(df, [label], [id], "__nth")
+    return ranked.join(F.broadcast(sizes), F.col("__nth") < F.col("__most")).drop("__nth", "__most")
 
 
 class FilterFeatures(Fitted):

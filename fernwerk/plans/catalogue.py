@@ -355,7 +355,7 @@ def kmeans_seuclidean(spark, sf):
 @query()
 def kmeans_mahalanobis(spark, sf):
     got, _ = cluster.kmeans(embeddings(spark, sf), 4, "mahalanobis", max_iter=20, seed=1)
-    return got.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return got.select("id", "cluster")
 
 
 @query()
@@ -664,7 +664,9 @@ def linear_independence(spark, sf):
 
 @query()
 def sda(spark, sf):
-    return spark.createDataFrame([(f, k) for k, f in enumerate(select.sda(embeddings(spark, sf)))], "feature int, place int")
+    """Which columns of an order line tell how large the order is."""
+    rows = lines(spark, sf, "l_discount", "l_extendedprice", "l_tax", "l_quantity").withColumn("label", F.floor(F.col("features")[3] / 10).cast("int"))
+    return spark.createDataFrame([(f, k) for k, f in enumerate(select.sda(rows))], "feature int, place int")
 
 
 @query()
