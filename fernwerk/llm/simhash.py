@@ -132,21 +132,16 @@ def bucket_links(rows: DataFrame, words: int, most: int) -> DataFrame:
 
     rows: bucket (long), side (0; or 1 and 2, then only pairs across are compared), node (long), f0 to
     f{words-1}, pivots. A bucket has about 2 * BUCKET rows at most. Of its links a spanning forest is given, the closest first, so a bucket of n rows gives
-    fewer than n. If rows have a root (long), all pairs of different roots are given instead.
+    fewer than n.
     """
-    rooted, stored = "root" in rows.columns, "pivots" in rows.columns
-    names = ["bucket", "side", "node", *(f"f{k}" for k in range(words)), *(["pivots"] if stored else []), *(["root"] if rooted else [])]
+    stored = "pivots" in rows.columns
+    names = ["bucket", "side", "node", *(f"f{k}" for k in range(words)), *(["pivots"] if stored else [])]
     refs = references(8, words)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def bucket(part, out) -> None:
-        node, side, f, pivots, root = part
+        node, side, f, pivots = part
         a, b = close_pairs(f, pivots.astype(np.int16), most, side if side.max() > 0 else None)
-        if root is not None:
-            apart = root[a] != root[b]
-            out[0].extend(node[a[apart]])
-            out[1].extend(node[b[apart]])
-            return
         for x, y in forest(a, b, len(node)):
             out[0].append(node[x])
             out[1].append(node[y])
@@ -171,7 +166,6 @@ def bucket_links(rows: DataFrame, words: int, most: int) -> DataFrame:
         sizes = np.diff(np.append(starts, len(keys)))
         node = table.column("node").to_numpy()
         side = table.column("side").to_numpy()
-        root = table.column("root").to_numpy() if rooted else None
         f = np.stack([table.column(f"f{k}").to_numpy() for k in range(words)], axis=1).view(np.uint64)
         if stored:
             pivots = np.frombuffer(b"".join(table.column("pivots").to_pylist()), np.uint8).reshape(len(keys), -1)
@@ -184,11 +178,10 @@ def bucket_links(rows: DataFrame, words: int, most: int) -> DataFrame:
         near = np.abs(pivots[two].astype(np.int16) - pivots[two + 1].astype(np.int16)).max(axis=1, initial=0) <= most
         two = two[near & ((side[two] == 0) | (side[two] != side[two + 1]))]
         two = two[distances(f[two], f[two + 1]) <= most]
-        two = two[root[two] != root[two + 1]] if rooted else two
         out[0].extend(node[two])
         out[1].extend(node[two + 1])
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            bucket((node[s : s + n], side[s : s + n], f[s : s + n], pivots[s : s + n], root[s : s + n] if rooted else None), out)
+            bucket((node[s : s + n], side[s : s + n], f[s : s + n], pivots[s : s + n]), out)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
 
     return rows.select(*names).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "a long, b long")
@@ -245,8 +238,7 @@ def dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
 
 
 def sampled_rows(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """(bucket, node, f0, f1, and root if nodes have it) for each table of chosen bits; nodes: node, f (the wide fingerprint's bytes)."""
-    rooted = "root" in nodes.columns
+    """(bucket, node, f0, f1) for each table of chosen bits; nodes: node, f (the wide fingerprint's bytes)."""
     tables, bits = chosen.shape
     powers = (1 << np.arange(bits)).astype(np.float64)
     first = np.arange(tables, dtype=np.int64) << 48
@@ -260,10 +252,10 @@ def sampled_rows(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
                 bit = np.unpackbits(f, axis=1, bitorder="little")
                 keys = (bit[:, chosen.ravel()].reshape(-1, bits) @ powers).astype(np.int64).reshape(len(part), tables) + first
                 two = f.view(np.int64)[:, :2]
-                columns = [keys.ravel(), *(np.repeat(c, tables) for c in (node, two[:, 0], two[:, 1], *([part.column(2).to_numpy()] if rooted else [])))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "node", "f0", "f1", *(["root"] if rooted else [])])
+                columns = [keys.ravel(), *(np.repeat(c, tables) for c in (node, two[:, 0], two[:, 1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "node", "f0", "f1"])
 
-    return nodes.select("node", "f", *(["root"] if rooted else [])).mapInArrow(work, "bucket long, node long, f0 long, f1 long" + ", root long" * rooted)
+    return nodes.select("node", "f").mapInArrow(work, "bucket long, node long, f0 long, f1 long")
 
 
 def sampled_links(nodes: DataFrame, chosen: np.ndarray, most: int) -> DataFrame:
@@ -413,6 +405,72 @@ def confirmed(found: DataFrame, docs: DataFrame, nodes: DataFrame, rows: DataFra
     return sure.union(written(exact, "exact"))
 
 
+def verified_links(rows: DataFrame, most: int, similarity: float) -> DataFrame:
+    """Links (a, b) with at least this similarity that join what is joined by such links within each bucket.
+
+    rows: bucket, side, node, root, f and shingles. Pairs of different roots that differ in at most `most` of 128 bits are tested on all their shingles, the
+    closest first, unless links found before have joined them; so a bucket of n rows gives fewer than n links.
+    """
+    refs = references(8, 2)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def bucket(table) -> tuple[list[int], list[int]]:
+        node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
+        f = np.frombuffer(b"".join(table.column("f").to_pylist()), np.uint64).reshape(len(node), -1)[:, :2]
+        a, b = close_pairs(f, distances(f[:, None, :], refs[None]), most, side if side.max() > 0 else None)
+        apart = root[a] != root[b]
+        if not apart.any():
+            return [], []
+        column = table.column("shingles").combine_chunks()
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = column[k].values.to_numpy()
+            return sets[k]
+
+        _, start = np.unique(root, return_inverse=True)
+        up = list(range(int(start.max()) + 1))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        one, two = [], []
+        for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            p, q = top(int(start[x])), top(int(start[y]))
+            if p == q:
+                continue
+            v, w = shingles(x), shingles(y)
+            if min(len(v), len(w)) < similarity * max(len(v), len(w)):
+                continue
+            n = len(np.intersect1d(v, w, assume_unique=True))
+            if n >= similarity * (len(v) + len(w) - n):
+                up[max(p, q)] = min(p, q)
+                one.append(int(node[x]))
+                two.append(int(node[y]))
+        return one, two
+
+    def work(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            keys = table.column("bucket").to_numpy()
+            starts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
+            for s, t in zip(starts, starts[1:], strict=False):
+                yield links_of(table.slice(s, t - s))
+            rest = table.slice(starts[-1])
+        if rest is not None and len(rest):
+            yield links_of(rest)
+
+    def links_of(table):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in bucket(table)], schema=schema)
+
+    return rows.select("bucket", "side", "node", "root", "f", "shingles").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "a long, b long")
+
+
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
     """docs without all but one document of each group of near copies; columns unchanged.
 
@@ -421,8 +479,8 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
     keep buckets of unrelated texts small: 20, and beyond 8 million texts so many that a bucket has eight on average. There are as
     many tables as find a pair at the very limit with about the given recall (closer pairs are found more surely; pairs
     linked through others need not be). In a bucket, pivots and then 128 of the bits discard what differs by more than p plus three standard deviations;
-    shingle sketches discard, and all shingles decide. Candidates of a bucket are first a spanning forest; where a link of it is refused, all
-    candidate pairs that are not yet joined are tested too, so none is lost to the forest. Null text counts as empty. Equal texts are near copies, thus of all empty
+    shingle sketches discard, and all shingles decide. Candidates of a bucket are first a spanning forest; where a link of it is refused, the classes that candidates join are
+    taken together, in blocks of BUCKET texts, and their pairs that are not yet joined are tested there, so none is lost to the forest. Null text counts as empty. Equal texts are near copies, thus of all empty
     texts one stays. The row with the smallest doc_id stays (null last).
     """
     with scratch(docs.sparkSession) as keep:
@@ -458,9 +516,11 @@ def representatives(docs: DataFrame, words: int, similarity: float, recall: floa
         torn = components(found).toDF("node", "whole").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         torn = written(torn, "torn")
         wholes = torn.groupBy("whole").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("whole")
-        again = written(nodes.join(torn.join(wholes, "whole").select("node", "root"), "node"), "again")
-        more = linked(again, chosen, most).join(found, ["a", "b"], "left_anti")
-        edges = edges.union(confirmed(written(more, "more"), docs, nodes, rows, words, similarity))
+        again = written(nodes.join(torn.join(wholes, "whole"), "node"), "again")
+        sets = shingle_sets(docs, sent(written(again.select("node", "t1", "t2", "least"), "ends")), words)
+        held = written(again.join(sets, "node").select(F.col("whole").alias("bucket"), "node", "root", "f", "shingles"), "held")
+        large = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET)
+        edges = edges.union(written(verified_links(dealt(held, large), most, similarity), "more"))
     roots = components(edges)
     group = nodes.select("node", "t1", "t2", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = group.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "t1", "t2")).alias("best"))
