@@ -510,9 +510,9 @@ def representatives(docs: DataFrame, words: int, similarity: float, recall: floa
     chosen = sampled_bits(tables, bits)
     found = linked(nodes, chosen, most)
     edges = confirmed(found, docs, nodes, rows, words, similarity)
+    roots = components(edges)
     if edges.count() < found.count():
         # a refused link may have stood in for others: what candidates join but edges don't is compared in all pairs
-        roots = components(edges).toDF("node", "root")
         torn = components(found).toDF("node", "whole").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         torn = written(torn, "torn")
         wholes = torn.groupBy("whole").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("whole")
@@ -520,8 +520,9 @@ def representatives(docs: DataFrame, words: int, similarity: float, recall: floa
         sets = shingle_sets(docs, sent(written(again.select("node", "t1", "t2", "least"), "ends")), words)
         held = written(again.join(sets, "node").select(F.col("whole").alias("bucket"), "node", "root", "f", "shingles"), "held")
         large = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET)
-        edges = edges.union(written(verified_links(dealt(held, large), most, similarity), "more"))
-    roots = components(edges)
+        more = written(verified_links(dealt(held, large), most, similarity), "more")
+        if not more.isEmpty():
+            roots = components(roots.toDF("a", "b").union(more))
     group = nodes.select("node", "t1", "t2", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = group.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "t1", "t2")).alias("best"))
     stays = written(best.select("best.least", "best.t1", "best.t2"), "stays")
