@@ -85,17 +85,17 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(work, "doc_id long, f long")
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-    """Of edges (a, b) among n nodes, in this order, those that join what was not joined."""
-    up = list(range(n))
+def forest(a: np.ndarray, b: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of edges (a, b) among nodes, in this order, those that join what was not joined; part: each node's number (0, 1, ...), alike for those that are joined from the start."""
+    up = list(range(int(part.max()) + 1))
 
     def top(x: int) -> int:
         while up[x] != x:
             up[x] = x = up[up[x]]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = top(x), top(y)
+    for x, y, p, q in zip(a.tolist(), b.tolist(), part[a].tolist(), part[b].tolist(), strict=True):
+        p, q = top(p), top(q)
         if p != q:
             up[max(p, q)] = min(p, q)
             yield x, y
@@ -131,18 +131,21 @@ def bucket_links(rows: DataFrame, words: int, most: int) -> DataFrame:
     """Links (a, b) that hold together what differs by at most `most` bits within each bucket.
 
     rows: bucket (long), side (0; or 1 and 2, then only pairs across are compared), node (long), f0 to
-    f{words-1}, pivots. A bucket has about 2 * BUCKET rows at most. Of its links a spanning forest is given, the closest first, so a bucket of n rows gives
-    fewer than n.
+    f{words-1}, pivots, and root, if it is known what is joined already: nodes of one root are not linked again. A bucket has about 2 * BUCKET rows at most. Of its
+    links a spanning forest is given, the closest first, so a bucket of n rows (of n roots) gives fewer than n.
     """
-    stored = "pivots" in rows.columns
-    names = ["bucket", "side", "node", *(f"f{k}" for k in range(words)), *(["pivots"] if stored else [])]
+    stored, rooted = "pivots" in rows.columns, "root" in rows.columns
+    names = ["bucket", "side", "node", *(f"f{k}" for k in range(words)), *(["pivots"] if stored else []), *(["root"] if rooted else [])]
     refs = references(8, words)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def bucket(part, out) -> None:
-        node, side, f, pivots = part
+        node, root, side, f, pivots = part
+        known = np.unique(root, return_inverse=True)[1]
+        if not known.any():  # one root
+            return
         a, b = close_pairs(f, pivots.astype(np.int16), most, side if side.max() > 0 else None)
-        for x, y in forest(a, b, len(node)):
+        for x, y in forest(a, b, known):
             out[0].append(node[x])
             out[1].append(node[y])
 
@@ -165,6 +168,7 @@ def bucket_links(rows: DataFrame, words: int, most: int) -> DataFrame:
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(starts, len(keys)))
         node = table.column("node").to_numpy()
+        root = table.column("root").to_numpy() if rooted else node
         side = table.column("side").to_numpy()
         f = np.stack([table.column(f"f{k}").to_numpy() for k in range(words)], axis=1).view(np.uint64)
         if stored:
@@ -176,12 +180,12 @@ def bucket_links(rows: DataFrame, words: int, most: int) -> DataFrame:
         out: tuple[list, list] = ([], [])
         two = starts[sizes == 2]
         near = np.abs(pivots[two].astype(np.int16) - pivots[two + 1].astype(np.int16)).max(axis=1, initial=0) <= most
-        two = two[near & ((side[two] == 0) | (side[two] != side[two + 1]))]
+        two = two[near & (root[two] != root[two + 1]) & ((side[two] == 0) | (side[two] != side[two + 1]))]
         two = two[distances(f[two], f[two + 1]) <= most]
         out[0].extend(node[two])
         out[1].extend(node[two + 1])
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            bucket((node[s : s + n], side[s : s + n], f[s : s + n], pivots[s : s + n]), out)
+            bucket((node[s : s + n], root[s : s + n], side[s : s + n], f[s : s + n], pivots[s : s + n]), out)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
 
     return rows.select(*names).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(work, "a long, b long")
@@ -238,7 +242,7 @@ def dealt(rows: DataFrame, large: DataFrame) -> DataFrame:
 
 
 def sampled_rows(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """(bucket, node, f0, f1) for each table of chosen bits; nodes: node, f (the wide fingerprint's bytes)."""
+    """(bucket, node, root, f0, f1) for each table of chosen bits; nodes: node, root, f (the wide fingerprint's bytes)."""
     tables, bits = chosen.shape
     powers = (1 << np.arange(bits)).astype(np.float64)
     first = np.arange(tables, dtype=np.int64) << 48
@@ -247,19 +251,19 @@ def sampled_rows(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
         for batch in batches:
             for k in range(0, len(batch), 512):
                 part = batch.slice(k, 512)
-                node = part.column(0).to_numpy()
-                f = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(part), -1)
+                node, root = part.column(0).to_numpy(), part.column(1).to_numpy()
+                f = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(part), -1)
                 bit = np.unpackbits(f, axis=1, bitorder="little")
                 keys = (bit[:, chosen.ravel()].reshape(-1, bits) @ powers).astype(np.int64).reshape(len(part), tables) + first
                 two = f.view(np.int64)[:, :2]
-                columns = [keys.ravel(), *(np.repeat(c, tables) for c in (node, two[:, 0], two[:, 1]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "node", "f0", "f1"])
+                columns = [keys.ravel(), *(np.repeat(c, tables) for c in (node, root, two[:, 0], two[:, 1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "node", "root", "f0", "f1"])
 
-    return nodes.select("node", "f").mapInArrow(work, "bucket long, node long, f0 long, f1 long")
+    return nodes.select("node", "root", "f").mapInArrow(work, "bucket long, node long, root long, f0 long, f1 long")
 
 
 def sampled_links(nodes: DataFrame, chosen: np.ndarray, most: int) -> DataFrame:
-    """Links between nodes that agree in the chosen bits of a table and differ in at most `most` of 128 bits.
+    """Links between nodes of different root that agree in the chosen bits of a table and differ in at most `most` of 128 bits.
 
     Buckets that one text in SHOWN lets expect to be larger than BUCKET are dealt into blocks, as links() does.
     """
@@ -479,7 +483,8 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
     keep buckets of unrelated texts small: 20, and beyond 8 million texts so many that a bucket has eight on average. There are as
     many tables as find a pair at the very limit with about the given recall (closer pairs are found more surely; pairs
     linked through others need not be). In a bucket, pivots and then 128 of the bits discard what differs by more than p plus three standard deviations;
-    shingle sketches discard, and all shingles decide. Candidates of a bucket are first a spanning forest; where a link of it is refused, the classes that candidates join are
+    shingle sketches discard, and all shingles decide. Tables are searched in two rounds, the square root of them first: the second searches only for
+    links between different classes of the first, so a large group is not linked anew by each table. Candidates of a bucket are first a spanning forest; where a link of it is refused, the classes that candidates join are
     taken together, in blocks of BUCKET texts, and their pairs that are not yet joined are tested there, so none is lost to the forest. Null text counts as empty. Equal texts are near copies, thus of all empty
     texts one stays. The row with the smallest doc_id stays (null last).
     """
@@ -508,12 +513,22 @@ def representatives(docs: DataFrame, words: int, similarity: float, recall: floa
     most = round(128 * p + 3 * math.sqrt(128 * p * (1 - p)))
     tables = tables_for(p, bits, most, recall)
     chosen = sampled_bits(tables, bits)
-    found = linked(nodes, chosen, most)
+    first = math.isqrt(tables)
+    found = linked(nodes.withColumn("root", F.col("node")), chosen[:first], most)
     edges = confirmed(found, docs, nodes, rows, words, similarity)
-    roots = components(edges)
-    if edges.count() < found.count():
+    roots = written(components(edges), "classes")
+    refused = edges.count() < found.count()
+    candidates = found.union(roots.select("node", "root"))
+    if first < tables:
+        classed = nodes.select("node", "f").join(sent(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = linked(written(classed, "classed"), chosen[first:], most)
+        edges = confirmed(found, docs, nodes, rows, words, similarity)
+        refused = refused or edges.count() < found.count()
+        candidates = candidates.union(found)
+        roots = written(components(roots.toDF("a", "b").union(edges)), "classes")
+    if refused:
         # a refused link may have stood in for others: what candidates join but edges don't is compared in all pairs
-        torn = components(found).toDF("node", "whole").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        torn = components(candidates).toDF("node", "whole").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         torn = written(torn, "torn")
         wholes = torn.groupBy("whole").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("whole")
         again = written(nodes.join(torn.join(wholes, "whole"), "node"), "again")
