@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
-from functools import cache
+from functools import cache, cached_property
 from itertools import islice
 
 import numpy as np
@@ -42,26 +42,41 @@ class WordBpe:
     """A vocabulary file of the tokenizers library, byte-level with word ends."""
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
 
+        self.path = path
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.letters = byte_letters()
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.vocab = model["vocab"]
-        pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        self.rank = {pair: k for k, pair in enumerate(pairs)}
-        self.inside = {t for t in self.vocab if not t.endswith(WORD_END)}
-        self.at_end = {t.removesuffix(WORD_END) for t in self.vocab if t.endswith(WORD_END)}
-        self.starts = {t[:n] for t in self.inside | self.at_end for n in range(1, len(t) + 1)}
-        self.special = [t["content"] for t in json.loads(self.library.to_str())["added_tokens"]]
         self.known: dict[str, bytes] = {}
         self.counted: dict[str, int] = {}
         self.fits: dict[tuple[str, str], bool] = {}
 
+    # -- what only prefix counts need, read when they are first asked for -----------------------------
+
+    def _file(self) -> dict:
+        import json
+
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)
+
+    @cached_property
+    def rank(self) -> dict[tuple[str, str], int]:
+        pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in self._file()["model"]["merges"])
+        return {pair: k for k, pair in enumerate(pairs)}
+
+    @cached_property
+    def parts(self) -> tuple[set[str], set[str], set[str]]:
+        """Beginnings of tokens, tokens inside a word, and tokens at its end without the mark."""
+        vocab = self._file()["model"]["vocab"]
+        inside = {t for t in vocab if not t.endswith(WORD_END)}
+        at_end = {t.removesuffix(WORD_END) for t in vocab if t.endswith(WORD_END)}
+        return {t[:n] for t in inside | at_end for n in range(1, len(t) + 1)}, inside, at_end
+
+    @cached_property
+    def special(self) -> list[str]:
+        return [t["content"] for t in self._file()["added_tokens"]]
+
     # -- ids ----------------------------------------------------------------------------------
 
     def letters_of(self, piece: str) -> str:
@@ -127,7 +142,7 @@ class WordBpe:
         Thus of all tokens that end at i just one fits the last token before it, known by then; one
         pass over the letters finds all counts, without encoding any prefix again.
         """
-        size, starts, inside, at_end, fit = len(letters), self.starts, self.inside, self.at_end, self._fit
+        size, fit, (starts, inside, at_end) = len(letters), self._fit, self.parts
         last: list[str | None] = [None] * (size + 1)
         inner, whole = [0] * (size + 1), [0] * (size + 1)
         last[0] = ""
@@ -147,7 +162,7 @@ class WordBpe:
 
     def piece_count(self, letters: str) -> int:
         """piece_prefixes(letters)[-1]; word ends are tried at the last letter only."""
-        size, starts, inside, at_end, fit = len(letters), self.starts, self.inside, self.at_end, self._fit
+        size, fit, (starts, inside, at_end) = len(letters), self._fit, self.parts
         last: list[str | None] = [None] * (size + 1)
         inner = [0] * (size + 1)
         last[0] = ""
