@@ -451,3 +451,11 @@ def test_basis_spans_a_small_matrix(spark):
         a[k, b] = v
     gram = (a @ basis).T @ (a @ basis)
     assert np.allclose(gram / gram.trace() * 9, np.eye(9), atol=5e-3)  # each direction divided by its singular value, all to one scale
+
+
+def test_known_classes_are_not_linked_again(spark):
+    rows = [(1, 0, k, 0, 0, r) for k, r in enumerate([0, 0, 0, 3, 3, 5])] + [(2, 0, 0, 0, 0, 0), (2, 0, 1, 0, 0, 0), (3, 0, 2, 0, 0, 0), (3, 0, 3, 0, 0, 3)]
+    got = simhash.bucket_links(spark.createDataFrame(rows, "bucket long, side int, node long, f0 long, f1 long, root long"), 2, 40).collect()
+    root = [0, 0, 0, 3, 3, 5]
+    assert len(got) == 3 and all(root[r.a] != root[r.b] for r in got)  # two that join the three classes of bucket 1, one of bucket 3
+    assert {root[x] for r in got for x in (r.a, r.b)} == {0, 3, 5}
