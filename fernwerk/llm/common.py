@@ -44,15 +44,24 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     finally:
         mine = _open.pop()
         stays = [f.rsplit("/", 1)[0] for df in keep for f in df.inputFiles()]
-        jvm = spark.sparkContext._jvm
         for path in mine:
             name = path.rsplit("/", 1)[1]
             if any(s.endswith(name) for s in stays):
                 if _open:
                     _open[-1].append(path)
                 continue
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            removed(spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        removed(table.sparkSession, folder)
 
 
 def free_name(name: str, *tables: DataFrame) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import counting, decontamination, language, lines, negatives, packing, personal, secrets, sharding, simhash
+from . import centroids, counting, decontamination, forest, language, lines, negatives, packing, personal, secrets, sharding, simhash
 from . import quality as rules
 from .common import documents
 
@@ -59,5 +59,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_language, op3_best_fit_packing, op4_sharding, op5_simhash, op6_token_counts, op7_personal_data, op8_decontamination, op9_quality, op10_secrets, op11_hard_negatives)}
-ORACLES: dict[str, str] = {"op1_line_dedup": lines.DROP_LINES_SQL, "op11_hard_negatives": negatives.HARD_NEGATIVES_SQL}
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.sort_means(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_language, op3_best_fit_packing, op4_sharding, op5_simhash, op6_token_counts, op7_personal_data, op8_decontamination, op9_quality, op10_secrets, op11_hard_negatives, op12_nearest_neighbours, op13_sort_means)}
+ORACLES: dict[str, str] = {"op1_line_dedup": lines.DROP_LINES_SQL, "op11_hard_negatives": negatives.HARD_NEGATIVES_SQL, "op13_sort_means": centroids.sort_means_sql()}
