@@ -24,7 +24,13 @@ def starts(kept: DataFrame, k: int, seed: int) -> np.ndarray:
     """The k vectors of least sha256 of `seed:id`, in order of it; of one id in order of components."""
     first = kept.select(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256).alias("h"), "x")
     rows = first.orderBy(F.col("h").asc_nulls_last(), "x").limit(k).collect()
-    return np.array([r["x"] for r in rows], np.int64)
+    return whole(np.array([r["x"] for r in rows]))
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    if np.abs(x).max(initial=0) >= MOST_COMPONENT:
+        raise ValueError(f"components must be below {MOST_COMPONENT} after scaling")
+    return x.astype(np.int64)
 
 
 def scan(x: np.ndarray, before: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +66,7 @@ def assigned(blocks: DataFrame, centroids: np.ndarray, name: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(len(batch)):
-                x = rows_of(batch, r).astype(np.int64)
-                if np.abs(x).max(initial=0) >= MOST_COMPONENT:
-                    raise ValueError(f"components must be below {MOST_COMPONENT} after scaling")
+                x = whole(rows_of(batch, r))
                 at, near = scan(x, batch.column("cluster")[r].values.to_numpy(), shared.value)
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v)) for v in (at, near)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(r, 1) for c in ("x", "x_width", "id")), *lists], names=["x", "x_width", "id", "cluster", "distance"])
