@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -79,6 +80,13 @@ def packed(df: DataFrame, size: int, group: Sequence[str] = (), x: str = "x") ->
     return df.mapInArrow(work, schema)
 
 
+def numbers(column: pa.Array) -> np.ndarray:
+    """A column's values, or numbers in the same order where it has nulls (which come first) or isn't numeric."""
+    if column.null_count or not (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+        return pc.rank(column, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def best(q: np.ndarray, order: Sequence[np.ndarray], k: int, unique: bool = False) -> np.ndarray:
     """Places of the first k entries of each q by the arrays in order, the first of them most weighty. unique: entries equal in all of them count once."""
     if not len(q):
@@ -114,7 +122,7 @@ def merged(df: DataFrame, by: Sequence[str], k: int, order: Sequence[str], desce
 
     def cut(parts: list[dict[str, pa.Array]]) -> dict[str, pa.Array]:
         whole = {c: pa.concat_arrays([p[c] for p in parts]) for c in arrays}
-        number = lambda c: whole[c].to_numpy(zero_copy_only=False)
+        number = lambda c: numbers(whole[c])
         at = pa.array(best(number("q"), [-number(c) if c in descending else number(c) for c in order], k, unique))
         return {c: v.take(at) for c, v in whole.items()}
 

@@ -2,41 +2,76 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, doubles, polynomial, rbf, sqdist
+from ..functions.vectors import dot, doubles, sqdist
 from .base import Fitted, Learner
+from .blocks import best, least, merged, numbers, opened, packed, rows_of
 
-#: Bytes of features that are sent to the executors at once; more goes in blocks.
-BLOCK_BYTES = 64_000_000
+#: Bytes of features in a block of the base and of the queries; rows of a tile of distances.
+BASE_BYTES, QUERY_BYTES, TILE = 2_000_000, 1_000_000, 256
+#: Blocks of the base whose results a task merges before it hands them on.
+BAND = 64
 #: Up to so many bytes a side of an explicit pair table is broadcast.
 BROADCAST_BYTES = 64_000_000
 
+#: Of two matrices with a row for each example, the value of every pair.
+PairValue = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 
 def matrix_bytes(df: DataFrame, features: str) -> int:
     row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("d")).first()
     return 8 * row["n"] * (row["d"] or 0)
 
 
-def pairs(x: DataFrame, y: DataFrame | None, value: Callable[[Column, Column], Column], out: str = "d", features: str = "features", id: str = "id") -> DataFrame:
-    """(i, j, out) for every row i of x and j of y (or x). The result itself has all pairs; the smaller side is broadcast if its size allows."""
-    a = x.select(F.col(id).alias("i"), doubles(features).alias("__a"))
+def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both with zeros up to the wider one's columns."""
+    width = max(a.shape[1], b.shape[1])
+    return tuple(np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
+
+
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances, from differences, so that near pairs keep their digits."""
+    out = np.zeros((len(a), len(b)))
+    for u, v in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        d = u[:, None] - v[None, :]
+        out += d * d
+    return out
+
+
+def pairs(x: DataFrame, y: DataFrame | None, value: PairValue, out: str = "d", features: str = "features", id: str = "id") -> DataFrame:
+    """(i, j, out) for every row i of x and j of y (or x). The result itself has all pairs; rows meet in blocks, and a task makes a tile of them at a time.
+
+    Rows without features have no pairs; a shorter vector ends in zeros.
+    """
     other = x if y is None else y
-    b = other.select(F.col(id).alias("j"), doubles(features).alias("__b"))
-    b = F.broadcast(b) if matrix_bytes(other, features) <= BROADCAST_BYTES else b
-    return a.crossJoin(b).select("i", "j", value(F.col("__a"), F.col("__b")).alias(out))
+    of = lambda df, name: df.select(F.col(id).alias(name), doubles(features).alias("x")).filter("x is not null")
+    a = packed(of(x, "i").repartition(x.sparkSession.sparkContext.defaultParallelism), TILE)
+    b = packed(of(other, "j"), 8 * TILE).select("j", F.col("x").alias("y"), F.col("x_width").alias("y_width"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                p, q = same_width(rows_of(batch, r), rows_of(batch, r, "y"))
+                i, j = (batch.column(c)[r].values for c in ("i", "j"))
+                for at in range(0, len(p), 16):
+                    part = p[at : at + 16]
+                    row, column = np.indices((len(part), len(q))).reshape(2, -1)
+                    yield pa.RecordBatch.from_arrays([i.take(pa.array(row + at)), j.take(pa.array(column)), pa.array(value(part, q).ravel())], names=["i", "j", out])
+
+    kinds = [df.schema[id].dataType.simpleString() for df in (x, other)]
+    return a.select("i", "x", "x_width").crossJoin(b).mapInArrow(work, f"i {kinds[0]}, j {kinds[1]}, {out} double")
 
 
 def pdist(x: DataFrame, y: DataFrame | None = None, distance: str = "euclidean2", **columns) -> DataFrame:
     if distance not in ("euclidean2", "euclidean"):
         raise ValueError(f"unknown distance {distance!r}")
-    return pairs(x, y, sqdist if distance == "euclidean2" else lambda a, b: F.sqrt(sqdist(a, b)), **columns)
+    return pairs(x, y, squared if distance == "euclidean2" else lambda a, b: np.sqrt(squared(a, b)), **columns)
 
 
 def plike(x: DataFrame, sigma2: float | None = None, **columns) -> DataFrame:
@@ -48,15 +83,15 @@ def plike(x: DataFrame, sigma2: float | None = None, **columns) -> DataFrame:
 
 
 def rbf_kernel(x: DataFrame, y: DataFrame | None, sigma: float, beta: float = 1.0) -> DataFrame:
-    return pairs(x, y, lambda a, b: rbf(a, b, sigma, beta), "k")
+    return pairs(x, y, lambda a, b: beta * np.exp(-squared(a, b) / sigma), "k")
 
 
 def polynomial_kernel(x: DataFrame, y: DataFrame | None, degree: float, c: float = 1.0) -> DataFrame:
-    return pairs(x, y, lambda a, b: polynomial(a, b, degree, c), "k")
+    return pairs(x, y, lambda a, b: (a @ b.T + c) ** degree, "k")
 
 
 def dot_kernel(x: DataFrame, y: DataFrame | None = None) -> DataFrame:
-    return pairs(x, y, dot, "k")
+    return pairs(x, y, lambda a, b: a @ b.T, "k")
 
 
 def precomputed_kernel(rows: DataFrame, columns: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -64,92 +99,114 @@ def precomputed_kernel(rows: DataFrame, columns: DataFrame, matrix: DataFrame) -
     return matrix.join(rows.select(F.col("id").alias("i")), "i", "left_semi").join(columns.select(F.col("id").alias("j")), "j", "left_semi")
 
 
-def blocks(df: DataFrame, columns: Sequence[str], features: str):
-    """The rows in id order as numpy blocks of bounded size, one at a time through the driver."""
-    held, size = [], 0
-    for r in df.select(*columns, doubles(features).alias("__v")).orderBy(columns[0]).toLocalIterator():
-        held.append(r)
-        size += 8 * len(r["__v"])
-        if size >= BLOCK_BYTES:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def fingerprint(features: Column) -> list[Column]:
+    """128 bits of an array of doubles, equal for equal ones: what stands for a row of features where its id may be null or not its own."""
+    v = F.transform(features, lambda x: x + F.lit(0.0))  # -0.0 is 0.0
+    return [F.xxhash64(v), F.xxhash64(F.lit("second"), v)]
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, features: str = "features", id: str = "id", label: str = "label") -> DataFrame:
-    """(q, rank from 1, id, label, d): the k rows of base nearest to each query, by squared distance and id.
+def nearest_records(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """Records (block, q, d, id, label, the queries' columns as arrays but x): the k rows of base (id, label, x) nearest to each of queries (x, ..), q being its number in the block.
 
-    base goes to the executors in blocks of bounded size, each query keeps the k best of each block, and the best of those
-    are ranked: no pair beyond k for each block leaves a task.
+    Both are dealt into blocks of bounded bytes, the base by a hash of its rows. Every block of queries goes to each number of a base block; a task measures
+    one pair of blocks at a time and leaves the k best of each query; those are merged over the blocks of the base, BAND of them at a time where
+    there are more. Distances are equal for equal rows wherever they lie; of equal ones the smaller id comes first, null before all.
     """
-    q = queries.select(F.col(id).alias("q"), doubles(features).alias("v"))
-    id_kind, label_kind = base.schema[id].dataType, base.schema[label].dataType
-    found = None
-    for held in blocks(base, [id, label], features):
-        ids, labels = [r[0] for r in held], [r[1] for r in held]
-        shared = base.sparkSession.sparkContext.broadcast((np.array(ids), labels, np.array([r["__v"] for r in held])))
-
-        def best(batches, shared=shared):
-            ids, labels, x = shared.value
-            for batch in batches:
-                out: list[list] = [[], [], [], []]
-                v = batch.column(1)
-                v = v.values.to_numpy().reshape(len(v), -1)
-                norm = (x * x).sum(axis=1)
-                for at in range(0, len(v), 256):
-                    part = v[at : at + 256]
-                    rough = norm - 2 * part @ x.T
+    kept = base.filter("x is not null")
+    n, width = kept.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    row = 8 * max(width or 1, 1)
+    size, parts = max(BASE_BYTES // row, 1), -(-n * row // BASE_BYTES) or 1
+    others = [c for c in queries.columns if c != "x"]
+    dealt = kept.withColumn("part", F.pmod(F.xxhash64("id", "x"), F.lit(parts)).cast("int"))
+    blocks = packed(dealt.repartition("part").sortWithinPartitions("part", "id", "x"), size, ["part"]).select("part", "id", "label", F.col("x").alias("y"), F.col("x_width").alias("y_width"))
+    asking = packed(queries.filter("x is not null").repartition(*others, "x").sortWithinPartitions(*others, "x"), max(QUERY_BYTES // row, 1))
+    both = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(blocks, "part")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                a, b = same_width(rows_of(batch, r), rows_of(batch, r, "y"))
+                norm = (b * b).sum(axis=1)
+                found = [np.zeros((3, 0))]
+                for at in range(0, len(a), TILE):
+                    part = a[at : at + TILE]
                     own = (part * part).sum(axis=1)
-                    edge = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-                    slack = 1e-9 * (1 + np.abs(own) + norm.max(initial=0))
-                    for row in range(len(part)):  # the few within rounding of the k-th are measured exactly
-                        near = np.flatnonzero(rough[row] <= edge[row] + slack[row])
-                        d = np.zeros(len(near))
-                        for c in range(x.shape[1]):
-                            d += (part[row, c] - x[near, c]) ** 2
-                        for n in np.lexsort((ids[near], d))[:k]:
-                            out[0].append(batch.column(0)[at + row].as_py())
-                            out[1].append(ids[near[n]].item())
-                            out[2].append(labels[near[n]])
-                            out[3].append(d[n])
-                yield pa.RecordBatch.from_pydict(dict(zip(("q", "id", "label", "d"), out, strict=True)), schema=pa.schema([("q", batch.schema.field(0).type), ("id", kind_of(id_kind)), ("label", kind_of(label_kind)), ("d", pa.float64())]))
+                    i, j = least(norm - 2 * part @ b.T, k, 1e-12 * (1 + own + norm.max(initial=0)))
+                    d = np.zeros(len(i))  # the few within rounding of the k-th are measured exactly
+                    for u, v in zip(np.ascontiguousarray(part.T), np.ascontiguousarray(b.T), strict=True):
+                        d += (u[i] - v[j]) ** 2
+                    mine = best(i, [d, j], k)  # a block is in order of id
+                    found.append(np.stack([i[mine] + at, j[mine], d[mine]]))
+                i, j, d = np.concatenate(found, axis=1)
+                i, j = i.astype(np.int64), pa.array(j.astype(np.int64))
+                columns = [pa.array(i), pa.array(d), batch.column("id")[r].values.take(j), batch.column("label")[r].values.take(j), *(batch.column(c)[r].values.take(pa.array(i)) for c in others)]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(i)], pa.int32()), c) for c in columns]
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(r, 1), pa.array([batch.column("part")[r].as_py() // BAND], pa.int32()), *lists], names=["block", "band", "q", "d", "id", "label", *others])
+
+    kinds = dict(blocks.dtypes) | dict(asking.dtypes)
+    schema = ", ".join(["block long, band int, q array<long>, d array<double>", *(f"`{c}` {kinds[c]}" for c in ("id", "label", *others))])
+    found = both.mapInArrow(work, schema)
+    if parts > BAND:
+        found = merged(found, ["block", "band"], k, ["d", "id"])
+    return merged(found.drop("band"), ["block"], k, ["d", "id"]) if parts > 1 else found.drop("band")
+
+
+def of_base(base: DataFrame, features: str, id: str, label: str) -> DataFrame:
+    return base.select(F.col(id).alias("id"), F.col(label).alias("label"), doubles(features).alias("x"))
 
-        q_kind = queries.schema[id].dataType.simpleString()
-        part = q.mapInArrow(best, f"q {q_kind}, id {id_kind.simpleString()}, label {label_kind.simpleString()}, d double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return q.select("q", F.lit(1).alias("rank"), F.lit(None).alias("id"), F.lit(None).alias("label"), F.lit(0.0).alias("d")).limit(0)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "id")))
-    return ranked.filter(F.col("rank") <= k).select("q", "rank", "id", "label", "d")
 
+def nearest(queries: DataFrame, base: DataFrame, k: int, features: str = "features", id: str = "id", label: str = "label") -> DataFrame:
+    """(q, rank from 1, id, label, d): the k rows of base nearest to each row of queries, by squared distance and id; q is the query's id.
 
-def kind_of(t) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
+    Rows of equal or null id are rows of their own. Rows without features have none and are nobody's.
+    """
+    rows = queries.select(F.col(id).alias("own"), doubles(features).alias("x"))
+    return opened(nearest_records(rows, of_base(base, features, id, label), k), ["block"]).select(F.col("own").alias("q"), "rank", "id", "label", "d")
 
-    return to_arrow_type(t)
 
+def vote(records: DataFrame) -> DataFrame:
+    """(a, b, prediction) of nearest_records() of queries (a, b, x): the commonest label, of equally common ones that of the nearest."""
 
-def vote(neighbours: DataFrame) -> DataFrame:
-    """(q, prediction): the commonest label, of equally common ones that of the nearest."""
-    by = neighbours.groupBy("q", "label").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"))
-    return by.groupBy("q").agg(F.max_by("label", F.struct("n", -F.col("first"))).alias("prediction"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                q, label = batch.column("q")[r].values.to_numpy(), batch.column("label")[r].values
+                code = numbers(label) if len(label) else np.zeros(0, np.int64)
+                order = np.lexsort((code, q))  # stable: within a label the nearest first
+                changed = np.ones(len(q), bool)
+                changed[1:] = (np.diff(q[order]) != 0) | (code[order][1:] != code[order][:-1])
+                first = np.flatnonzero(changed)
+                count = np.diff(np.append(first, len(q)))
+                place = order[first]
+                winner = pa.array(place[best(q[place], [-count, place], 1)])
+                yield pa.RecordBatch.from_arrays([batch.column(c)[r].values.take(winner) for c in ("a", "b", "label")], names=["a", "b", "prediction"])
+
+    kind = dict(records.dtypes)["label"].removeprefix("array<")[:-1]
+    return records.select("q", "a", "b", "label").mapInArrow(work, f"a long, b long, prediction {kind}")
 
 
 class KNN(Learner):
-    """k nearest neighbours by plurality."""
+    """k nearest neighbours by plurality. Without features a row's prediction is null, as with an empty base."""
 
     def __init__(self, k: int = 1, **columns):
         super().__init__(**columns, k=k)
 
     def _fit(self, dataset: DataFrame) -> KNNModel:
-        return KNNModel(**self._columns(), k=self.k, base=dataset.select(self.id, self.features, self.label))
+        return KNNModel(**self._columns(), k=self.k, matrix=None, base=dataset.select(self.id, self.features, self.label))
 
 
 class KNNModel(Fitted):
+    """Rows of equal features are asked once, and get the answer by a fingerprint of their features, whatever their ids. With a matrix the distances are those of projections."""
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        near = nearest(dataset, self.base, self.k, self.features, self.id, self.label)
-        return dataset.join(vote(near).withColumnRenamed("prediction", self.prediction).withColumnRenamed("q", self.id), self.id)
+        a, b = fingerprint(doubles(self.features))
+        rows = dataset.withColumns({"__a": a, "__b": b})
+        asked = rows.select(F.col("__a").alias("a"), F.col("__b").alias("b"), doubles(self.features).alias("x")).dropDuplicates(["a", "b"])
+        base = of_base(self.base, self.features, self.id, self.label)
+        if self.matrix is not None:
+            asked, base = (df.withColumn("x", project(F.col("x"), self.matrix)) for df in (asked, base))
+        found = vote(nearest_records(asked, base, self.k)).toDF("__a", "__b", self.prediction)
+        return rows.join(found, ["__a", "__b"], "left").select(*dataset.columns, self.prediction)
 
 
 class ApproximateKNN(Learner):
@@ -158,18 +215,11 @@ class ApproximateKNN(Learner):
     def __init__(self, k: int = 1, ndims: int = 8, seed: int = 0, matrix: Sequence[Sequence[float]] | None = None, **columns):
         super().__init__(**columns, k=k, ndims=ndims, seed=seed, matrix=matrix)
 
-    def _fit(self, dataset: DataFrame) -> ApproximateKNNModel:
+    def _fit(self, dataset: DataFrame) -> KNNModel:
         from .preprocess import width
 
         m = self.matrix if self.matrix is not None else np.random.default_rng(self.seed).random((width(dataset, self.features), self.ndims)).tolist()
-        base = dataset.select(self.id, project(F.col(self.features), m).alias(self.features), self.label)
-        return ApproximateKNNModel(**self._columns(), matrix=m, inner=KNNModel(**self._columns(), k=self.k, base=base))
-
-
-class ApproximateKNNModel(Fitted):
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        small = dataset.select(self.id, project(F.col(self.features), self.matrix).alias(self.features))
-        return dataset.join(self.inner.transform(small).select(self.id, self.prediction), self.id)
+        return KNNModel(**self._columns(), k=self.k, matrix=m, base=dataset.select(self.id, self.features, self.label))
 
 
 def project(v: Column, matrix: Sequence[Sequence[float]]) -> Column:

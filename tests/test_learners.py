@@ -198,16 +198,46 @@ def test_task_size_is_checked(spark, monkeypatch):
 # -- unsupervised -------------------------------------------------------------------------------------
 
 
-def test_nearest_goes_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("bytes", "band"), [(2_000_000, 64), (200, 64), (200, 2)])
+def test_nearest_goes_in_blocks(spark, monkeypatch, bytes, band):
     x, y = blobs(8, 50, 4)
     df = frame(spark, x, y)
     want = {k: [int(i) for i in np.lexsort((np.arange(50), ((x - x[k]) ** 2).sum(1)))[:4]] for k in range(50)}
-    for size in (64_000_000, 500):
-        monkeypatch.setattr(pairwise, "BLOCK_BYTES", size)
-        got = {}
-        for r in pairwise.nearest(df, df, 4).orderBy("q", "rank").collect():
-            got.setdefault(r.q, []).append(r.id)
-        assert got == want
+    monkeypatch.setattr(pairwise, "BASE_BYTES", bytes)
+    monkeypatch.setattr(pairwise, "QUERY_BYTES", bytes)
+    monkeypatch.setattr(pairwise, "BAND", band)
+    got = {}
+    for r in pairwise.nearest(df, df, 4).orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append(r.id)
+    assert got == want
+
+
+def test_neighbours_keep_rows_of_equal_and_null_ids(spark):
+    """Every row of the query stays with all its columns; equal features get equal answers; without features there is none."""
+    base = spark.createDataFrame([("b", [0.0, 0.0], "x"), (None, [0.0, 0.0], "y"), ("a", [5.0, 5.0], "z"), (None, None, "w")], "id string, features array<double>, label string")
+    asked = spark.createDataFrame([(None, [0.0, -0.0], 1), (None, [0.1, 0.0], 2), ("q", [4.0, 5.0], 3), ("q", [0.0, 0.0], 4), ("q", None, 5), ("r", [float("nan"), 0.0], 6)], "id string, features array<double>, n int")
+    got = {r.n: (r.id, r.prediction) for r in pairwise.KNN(1).fit(base).transform(asked).collect()}
+    assert {n: v for n, v in got.items() if n < 6} == {1: (None, "y"), 2: (None, "y"), 3: ("q", "z"), 4: ("q", "y"), 5: ("q", None)} and 6 in got
+    assert pairwise.ApproximateKNN(1, matrix=[[1.0], [1.0]]).fit(base).transform(asked).count() == 6
+    near = pairwise.nearest(asked.filter("n = 3"), base, 5).orderBy("rank").collect()
+    assert [(r.id, r.label, r.d) for r in near] == [("a", "z", 1.0), (None, "y", 41.0), ("b", "x", 41.0)]
+    empty = pairwise.KNN(3).fit(base.limit(0)).transform(asked)
+    assert empty.count() == 6 and empty.filter("prediction is not null").count() == 0
+
+
+def test_votes(spark):
+    """The commonest label wins, of equally common ones that of the nearest."""
+    base = spark.createDataFrame([(1, [1.0], 7), (2, [2.0], 5), (3, [3.0], 5), (4, [4.0], 7), (5, [9.0], 3)], "id long, features array<double>, label long")
+    asked = spark.createDataFrame([(1, [0.0]), (2, [3.2])], "id long, features array<double>")
+    at = lambda k: [r.prediction for r in pairwise.KNN(k).fit(base).transform(asked).orderBy("id").collect()]
+    assert at(1) == [7, 5] and at(2) == [7, 5] and at(3) == [5, 5] and at(4) == [7, 5] and at(9) == [7, 5]
+
+
+def test_pairs_of_odd_rows(spark):
+    df = spark.createDataFrame([(None, [1.0, 2.0]), (1, [1.0]), (1, [0.0, 0.0]), (2, None)], "id long, features array<double>")
+    got = sorted((str(r.i), str(r.j), r.d) for r in pairwise.pdist(df).collect())
+    one = [(None, (1, 2)), (1, (1, 0)), (1, (0, 0))]
+    assert got == sorted((str(i), str(j), float((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2)) for i, a in one for j, b in one)
 
 
 @pytest.mark.parametrize("distance", ["euclidean", "seuclidean", "mahalanobis"])
