@@ -105,13 +105,23 @@ def fingerprint(features: Column) -> list[Column]:
     return [F.xxhash64(v), F.xxhash64(F.lit("second"), v)]
 
 
-def nearest_records(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
+def projected(x: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """x times matrix, summed from the first row on, so that equal rows have equal products wherever they lie."""
+    out = np.zeros((len(x), matrix.shape[1]))
+    for u, v in zip(np.ascontiguousarray(x.T), matrix, strict=False):
+        out += u[:, None] * v
+    return out
+
+
+def nearest_records(queries: DataFrame, base: DataFrame, k: int, matrix: Sequence[Sequence[float]] | None = None) -> DataFrame:
     """Records (block, q, d, id, label, the queries' columns as arrays but x): the k rows of base (id, label, x) nearest to each of queries (x, ..), q being its number in the block.
 
     Both are dealt into blocks of bounded bytes, the base by a hash of its rows. Every block of queries goes to each number of a base block; a task measures
     one pair of blocks at a time and leaves the k best of each query; those are merged over the blocks of the base, BAND of them at a time where
     there are more. Distances are equal for equal rows wherever they lie; of equal ones the smaller id comes first, null before all.
+    With a matrix (a row for each feature) distances are those of the products with it.
     """
+    m = None if matrix is None else np.array(matrix, float)
     kept = base.filter("x is not null")
     n, width = kept.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     row = 8 * max(width or 1, 1)
@@ -126,6 +136,8 @@ def nearest_records(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for r in range(len(batch)):
                 a, b = same_width(rows_of(batch, r), rows_of(batch, r, "y"))
+                if m is not None:
+                    a, b = projected(a, m), projected(b, m)
                 norm = (b * b).sum(axis=1)
                 found = [np.zeros((3, 0))]
                 for at in range(0, len(a), TILE):
@@ -202,10 +214,8 @@ class KNNModel(Fitted):
         a, b = fingerprint(doubles(self.features))
         rows = dataset.withColumns({"__a": a, "__b": b})
         asked = rows.select(F.col("__a").alias("a"), F.col("__b").alias("b"), doubles(self.features).alias("x")).dropDuplicates(["a", "b"])
-        base = of_base(self.base, self.features, self.id, self.label)
-        if self.matrix is not None:
-            asked, base = (df.withColumn("x", project(F.col("x"), self.matrix)) for df in (asked, base))
-        found = vote(nearest_records(asked, base, self.k)).toDF("__a", "__b", self.prediction)
+        records = nearest_records(asked, of_base(self.base, self.features, self.id, self.label), self.k, self.matrix)
+        found = vote(records).toDF("__a", "__b", self.prediction)
         return rows.join(found, ["__a", "__b"], "left").select(*dataset.columns, self.prediction)
 
 
