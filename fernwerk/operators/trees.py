@@ -1,19 +1,21 @@
-"""Decision stumps, trees and forests grown level by level from grouped counts; boosting on weighted rows."""
+"""Decision stumps, trees and forests grown level by level from sums over ranges of values; boosting on weighted rows."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
+from ..sources.scratch import forget, stored
 from .base import Fitted, Learner
+from .cuts import Criterion, CutSearch, Drawn, Tree, quantile_edges
 from .preprocess import normalise_labels
 
-#: Of positives and rows left of a cut, and in all, what a split is worth.
-Criterion = Callable[[Column, Column, Column, Column], Column]
+#: Ranges of each feature in which rows are summed up first; rounds of boosting after which rows are written with their weights.
+RANGES, KEEP = 64, 8
 
 
 def xlogx(p: Column) -> Column:
@@ -38,26 +40,16 @@ def neg_z1_loss(pl: Column, nl: Column, pt: Column, nt: Column) -> Column:
     return -(F.least(pl, nl - pl) + F.least(pt - pl, nt - nl - pt + pl))
 
 
-def splits(df: DataFrame, node: list[str], criterion: Criterion, features: str = "features", y: str = "y", w: str = "w", subset: Column | None = None) -> DataFrame:
-    """(node.., feature, cutoff, gain, pl, nl, pt, nt) for every split x < cutoff that leaves rows on both sides.
-
-    Rows are summed up by (node, feature, value) before anything is sorted; running sums then go over distinct values.
-    """
-    long = df.select(*node, F.posexplode(doubles(features)).alias("feature", "x"), F.col(y).cast("double").alias("y"), F.col(w).cast("double").alias("w"))
-    if subset is not None:
-        long = long.filter(subset)
-    g = long.groupBy(*node, "feature", "x").agg(F.sum(F.col("y") * F.col("w")).alias("p"), F.sum("w").alias("n"))
-    own = Window.partitionBy(*node, "feature")
-    before = own.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    run = g.select(*node, "feature", F.col("x").alias("cutoff"), F.sum("p").over(before).alias("pl"), F.sum("n").over(before).alias("nl"), F.sum("p").over(own).alias("pt"), F.sum("n").over(own).alias("nt"))
-    run = run.filter(F.col("nl") > 0)
-    return run.withColumn("gain", criterion(F.col("pl"), F.col("nl"), F.col("pt"), F.col("nt")))
+def table_of(df: DataFrame, features: str = "features", y: str = "y", w: str | None = None, id: str | None = None) -> DataFrame:
+    """What CutSearch reads: rows without features take no part."""
+    key = F.xxhash64(F.col(id), doubles(features)) if id else F.lit(0).cast("long")
+    weight = F.col(w).cast("double") if w else F.lit(1.0)
+    return df.select(doubles(features).alias("x"), F.col(y).cast("double").alias("y"), weight.alias("w"), key.alias("key")).filter("x is not null and y is not null and w > 0")
 
 
-def best_split(found: DataFrame, node: list[str]) -> DataFrame:
-    """The split of highest gain for each node; of equals the lowest feature and cutoff."""
-    keep = F.struct("feature", "cutoff", "gain", "pl", "nl", "pt", "nt")
-    return found.groupBy(*node).agg(F.max_by(keep, F.struct(F.round("gain", 12), -F.col("feature"), -F.col("cutoff"))).alias("s")).select(*node, "s.*")
+def splits(df: DataFrame, criterion: Criterion, features: str = "features", y: str = "y", w: str | None = None, ranges: int = RANGES) -> DataFrame:
+    """(feature, cutoff, gain, pl, nl, pt, nt) for every split x < cutoff that leaves rows on both sides: sums over ranges first, then over the values of each range."""
+    return CutSearch(table_of(df, features, y, w), quantile_edges(df, features, ranges), criterion).every()
 
 
 class Split:
@@ -78,59 +70,35 @@ def tree_value(root, v: Column) -> Column:
     return root.value(v) if isinstance(root, Split) else F.lit(float(root))
 
 
-def bin_edges(df: DataFrame, features: str, bins: int) -> list[list[float]]:
-    n = len(df.first()[features])
-    wide = df.select(*(doubles(features)[k].alias(f"c{k}") for k in range(n)))
-    return [sorted(set(e)) for e in wide.approxQuantile([f"c{k}" for k in range(n)], [q / bins for q in range(bins)], 0.001)]
-
-
-def binned(v: Column, edges: list[list[float]]) -> Column:
-    """Each feature lowered to the highest edge not above it."""
-    lowered = lambda x, e: F.coalesce(F.array_max(F.filter(F.array(*map(F.lit, e)), lambda edge: edge <= x)), x)
-    return F.array(*(lowered(v[k], e) for k, e in enumerate(edges)))
-
+def grow(search: CutSearch, trees: int = 1, min_split: int = 4, max_depth: int = 30, subsample: int | None = None, seed: int = 0) -> list[Split | float]:
+    """The roots of so many trees, grown level by level, all trees' nodes of a level at once; no row is copied or moved for it.
 
-def grow(df: DataFrame, criterion: Criterion, min_split: int = 4, max_depth: int = 30, subsample: int | None = None, seed: int = 0) -> dict[int, Split | float]:
-    """Roots by tree, of df (tree, features, y in 0/1, w): all nodes of a level of all trees at once.
-
-    A level is one grouped count over rows and features. Splits of a level reach the driver: fewer than the
-    nodes there are, each of at least min_split rows. Pure nodes are leaves: to split them would change no prediction.
+    Tasks find each row's node in every tree themselves, so the rows stay as they are. What reaches the driver is a cut for each node of
+    at least min_split rows. Pure nodes are leaves: to split them would change no prediction.
     """
-    now = df.withColumn("node", F.lit(1).cast("long")).withColumn("features", doubles("features")).cache()
-    tops: dict[tuple[int, int], dict] = {}
-    for r in now.groupBy("tree", "node").agg(F.sum(F.col("y").cast("double") * F.col("w")).alias("p"), F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows")).collect():
-        tops[r["tree"], 1] = {"p": r["p"], "n": r["n"]}
-    for depth in range(max_depth):
-        subset = None
-        if subsample:
-            mine = F.xxhash64(F.lit(seed), F.col("tree"), F.col("node"), F.col("feature"))
-            n = len(df.first()["features"])
-            subset = F.pmod(mine, F.lit(n)) < subsample
-        sizes = now.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col("y").cast("double")).alias("mean")).filter((F.col("rows") >= min_split) & (F.col("mean") > 0) & (F.col("mean") < 1))
-        open_rows = now.join(sizes.select("tree", "node"), ["tree", "node"], "left_semi")
-        chosen = best_split(splits(open_rows, ["tree", "node"], criterion, subset=subset), ["tree", "node"]).collect()
-        if not chosen:
+    growing, width = [Tree() for _ in range(trees)], len(search.edges)
+    sums = {(t, 0): v for t, v in search.totals(growing).items()}
+    level = list(sums)
+    for _ in range(max_depth):
+        mixed = [(t, k) for t, k in level if sums[t, k][2] >= min_split and 1e-12 < sums[t, k][0] / sums[t, k][1] < 1 - 1e-12]
+        random = lambda t, k: np.sort(np.random.default_rng((seed, t, k)).permutation(width)[:subsample])  # noqa: E731  all without subsample
+        level = []
+        for r in search.best(growing, [(t, k, random(t, k) if subsample else np.arange(width)) for t, k in mixed]) if mixed else []:
+            left, right = growing[r["tree"]].cut(r["node"], r["feature"], r["cutoff"])
+            sums[r["tree"], left] = (r["pl"], r["nl"], r["cl"])
+            sums[r["tree"], right] = (r["pt"] - r["pl"], r["nt"] - r["nl"], r["ct"] - r["cl"])
+            level += [(r["tree"], left), (r["tree"], right)]
+        if not level:
             break
-        for r in chosen:
-            key = (r["tree"], r["node"])
-            tops[key] |= {"feature": r["feature"], "cutoff": r["cutoff"]}
-            tops[key[0], 2 * key[1]] = {"p": r["pl"], "n": r["nl"]}
-            tops[key[0], 2 * key[1] + 1] = {"p": r["pt"] - r["pl"], "n": r["nt"] - r["nl"]}
-        table = F.broadcast(df.sparkSession.createDataFrame([(r["tree"], r["node"], r["feature"], r["cutoff"]) for r in chosen], "tree int, node long, f int, c double"))
-        moved = now.join(table, ["tree", "node"])
-        nxt = moved.withColumn("node", 2 * F.col("node") + F.when(F.element_at("features", F.col("f") + 1) < F.col("c"), 0).otherwise(1)).drop("f", "c").cache()
-        nxt.count()
-        now.unpersist()
-        now = nxt
-    now.unpersist()
-
-    def build(key):
-        t = tops[key]
-        if "feature" not in t:
-            return t["p"] / t["n"]
-        return Split(t["feature"], t["cutoff"], build((key[0], 2 * key[1])), build((key[0], 2 * key[1] + 1)))
-
-    return {tree: build((tree, node)) for tree, node in tops if node == 1}
+
+    def build(t: int, k: int) -> Split | float:
+        tree = growing[t]
+        if tree.feature[k] < 0:
+            p, n, _ = sums.get((t, k), (0.0, 1.0, 0))
+            return p / n if n else 0.0
+        return Split(tree.feature[k], tree.cutoff[k], build(t, tree.left[k]), build(t, tree.right[k]))
+
+    return [build(t, 0) for t in range(trees)]
 
 
 def two_names(df: DataFrame, label: str) -> tuple[DataFrame, list]:
@@ -142,22 +110,20 @@ def two_names(df: DataFrame, label: str) -> tuple[DataFrame, list]:
     return numbered.withColumn("y", F.col("__y").cast("double")).drop("__y"), names
 
 
-def weighted(df: DataFrame, weight: str | None) -> DataFrame:
-    return df.withColumn("w", F.col(weight).cast("double") if weight else F.lit(1.0))
-
-
 class TreeLearner(Learner):
-    """A binary decision tree by greedy splits x < cutoff; bins lowers features to quantiles first, for many distinct values."""
+    """A binary decision tree by greedy splits x < cutoff, at any value; with bins at that many quantiles only. ranges: of each feature, in which rows are summed up first."""
 
-    def __init__(self, criterion: Criterion = information_gain, min_split: int = 4, return_label: bool = True, subsample: int | None = None, seed: int = 0, weight: str | None = None, max_depth: int = 30, bins: int | None = None, **columns):
-        super().__init__(**columns, criterion=criterion, min_split=min_split, return_label=return_label, subsample=subsample, seed=seed, weight=weight, max_depth=max_depth, bins=bins)
+    def __init__(self, criterion: Criterion = information_gain, min_split: int = 4, return_label: bool = True, subsample: int | None = None, seed: int = 0, weight: str | None = None, max_depth: int = 30, bins: int | None = None, ranges: int = RANGES, edges=None, **columns):
+        super().__init__(**columns, criterion=criterion, min_split=min_split, return_label=return_label, subsample=subsample, seed=seed, weight=weight, max_depth=max_depth, bins=bins, ranges=ranges, edges=edges)
 
     def _fit(self, dataset: DataFrame) -> TreeModel:
         data, names = two_names(dataset, self.label)
-        data = weighted(data, self.weight).select(F.lit(0).alias("tree"), F.col(self.features).alias("features"), "y", "w")
-        if self.bins:
-            data = data.withColumn("features", binned(F.col("features"), bin_edges(data, "features", self.bins)))
-        root = grow(data, self.criterion, self.min_split, self.max_depth, self.subsample, self.seed)[0]
+        table = table_of(data, self.features, "y", self.weight).persist()
+        try:
+            search = CutSearch(table, self.edges or quantile_edges(table, "x", self.bins or self.ranges), self.criterion, binned=bool(self.bins))
+            (root,) = grow(search, 1, self.min_split, self.max_depth, self.subsample, self.seed)
+        finally:
+            table.unpersist()
         return TreeModel(**self._columns(), roots=[root], names=names, return_label=self.return_label, forest=False)
 
 
@@ -178,40 +144,40 @@ class TreeModel(Fitted):
 
 
 class ForestLearner(Learner):
-    """rf trees, each on bootstrap counts of the rows (Poisson of mean frac, what draws with replacement tend to), by majority."""
+    """rf trees, each on bootstrap counts of the rows (Poisson of mean frac, what draws with replacement tend to), by majority.
+
+    A row's count in a tree follows from its id and features, so no row is copied for a tree; rows equal in both have equal counts.
+    """
 
-    def __init__(self, rf: int = 101, frac: float = 0.7, seed: int = 0, return_label: bool = True, min_split: int = 4, subsample: int | None = None, max_depth: int = 12, bins: int | None = 64, **columns):
-        super().__init__(**columns, rf=rf, frac=frac, seed=seed, return_label=return_label, min_split=min_split, subsample=subsample, max_depth=max_depth, bins=bins)
+    def __init__(self, rf: int = 101, frac: float = 0.7, seed: int = 0, return_label: bool = True, min_split: int = 4, subsample: int | None = None, max_depth: int = 12, bins: int | None = 64, ranges: int = RANGES, **columns):
+        super().__init__(**columns, rf=rf, frac=frac, seed=seed, return_label=return_label, min_split=min_split, subsample=subsample, max_depth=max_depth, bins=bins, ranges=ranges)
 
     def _fit(self, dataset: DataFrame) -> TreeModel:
         data, names = two_names(dataset, self.label)
-        if self.bins:
-            data = data.withColumn(self.features, binned(F.col(self.features), bin_edges(data, self.features, self.bins)))
-        trees = data.select(F.col(self.id).alias("__id"), F.col(self.features).alias("features"), "y", F.explode(F.sequence(F.lit(0), F.lit(self.rf - 1))).alias("tree"))
-        u = (F.pmod(F.xxhash64(F.lit(self.seed), "tree", "__id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-        count, term, mass = F.lit(0), math.exp(-self.frac), 0.0
-        for k in range(12):
-            mass += term
-            count = count + F.when(u > mass, 1).otherwise(0)
-            term *= self.frac / (k + 1)
-        drawn = trees.withColumn("w", count.cast("double")).filter("w > 0").select("tree", "features", "y", "w")
-        roots = grow(drawn, information_gain, self.min_split, self.max_depth, self.subsample, self.seed)
-        return TreeModel(**self._columns(), roots=[roots[t] for t in sorted(roots)], names=names, return_label=self.return_label, forest=True)
+        table = table_of(data, self.features, "y", id=self.id).persist()
+        try:
+            search = CutSearch(table, quantile_edges(table, "x", self.bins or self.ranges), information_gain, bool(self.bins), Drawn(self.frac, self.seed))
+            roots = grow(search, self.rf, self.min_split, self.max_depth, self.subsample, self.seed)
+        finally:
+            table.unpersist()
+        return TreeModel(**self._columns(), roots=roots, names=names, return_label=self.return_label, forest=True)
 
 
 class StumpLearner(Learner):
     """The single split that gets least weight wrong, in the direction that does. compat: predicts x > cutoff as it comes."""
 
-    def __init__(self, weight: str | None = None, compat: bool = False, **columns):
-        super().__init__(**columns, weight=weight, compat=compat)
+    def __init__(self, weight: str | None = None, compat: bool = False, ranges: int = RANGES, edges=None, **columns):
+        super().__init__(**columns, weight=weight, compat=compat, ranges=ranges, edges=edges)
 
     def _fit(self, dataset: DataFrame) -> StumpModel:
         data, names = two_names(dataset, self.label)
-        data = weighted(data, self.weight).select(F.lit(0).alias("node"), F.col(self.features).alias("features"), "y", "w")
-        s = best_split(splits(data, ["node"], neg_z1_loss), ["node"]).first()
-        if s is None:
-            row = data.agg(F.sum(F.col("y") * F.col("w")), F.sum("w")).first()
-            return StumpModel(**self._columns(), feature=0, cutoff=float("-inf"), names=names, flipped=2 * (row[0] or 0) <= (row[1] or 0), compat=False)
+        table = table_of(data, self.features, "y", self.weight)
+        edges = self.edges or quantile_edges(table, "x", self.ranges)
+        found = CutSearch(table, edges, neg_z1_loss).best([Tree()], [(0, 0, np.arange(len(edges)))])
+        if not found:
+            p, n, _ = CutSearch(table, edges, neg_z1_loss).totals([Tree()]).get(0, (0.0, 0.0, 0))
+            return StumpModel(**self._columns(), feature=0, cutoff=float("-inf"), names=names, flipped=2 * p <= n, compat=False)
+        s = found[0]
         right = (s["pt"] - s["pl"]) / (s["nt"] - s["nl"])
         flipped = right < s["pl"] / s["nl"] and not self.compat
         return StumpModel(**self._columns(), feature=s["feature"], cutoff=s["cutoff"], names=names, flipped=flipped, compat=self.compat)
@@ -225,6 +191,39 @@ class StumpModel(Fitted):
         return dataset.withColumn(self.prediction, F.when(yes != F.lit(self.flipped), last).otherwise(first))
 
 
+class Weighing:
+    """Rows whose weight __d changes from round to round: an expression over a cached table, which every KEEP rounds is written anew with its weights, so that neither plan nor lineage grows with the rounds."""
+
+    def __init__(self, data: DataFrame, base: Learner, **columns):
+        self.root = data.persist()
+        n = self.root.count()
+        self.now, self.rounds, self.kept = self.root.withColumn("__d", F.lit(1.0 / max(n, 1))), 0, None
+        self.learner = base.with_options(weight="__d", prediction="__h", **columns)
+        if n and hasattr(base, "edges") and not base.edges:  # values don't change, so their ranges are cut once
+            self.learner.edges = quantile_edges(self.root, columns["features"], getattr(base, "bins", None) or base.ranges)
+
+    def fit(self, label: str) -> tuple:
+        """(model, the rows with its prediction __h and whether it is wrong, summed weight of the wrong ones, summed weight)."""
+        model = self.learner.fit(self.now)
+        scored = model.transform(self.now).withColumn("__wrong", F.col("__h") != F.col(label))
+        wrong, whole = scored.agg(F.coalesce(F.sum(F.when(F.col("__wrong"), F.col("__d"))), F.lit(0.0)), F.sum("__d")).first()
+        return model, scored, wrong, whole
+
+    def weigh(self, scored: DataFrame, right: float, wrong: float) -> None:
+        """Factors of the weights of right and wrong rows."""
+        self.now = scored.withColumn("__d", F.col("__d") * F.when(F.col("__wrong"), F.lit(wrong)).otherwise(F.lit(right))).drop("__h", "__wrong")
+        self.rounds += 1
+        if self.rounds % KEEP == 0:
+            before, self.now = self.kept, stored(self.now, "weights")
+            self.kept = self.now
+            (forget(before) if before is not None else self.root.unpersist())
+
+    def close(self) -> None:
+        self.root.unpersist()
+        if self.kept is not None:
+            forget(self.kept)
+
+
 class BoostLearner(Learner):
     """AdaBoost: rounds of a weighted base learner; coefficient ln((1 - E) / E) / 2, by compat that of the older formula."""
 
@@ -233,15 +232,11 @@ class BoostLearner(Learner):
 
     def _fit(self, dataset: DataFrame) -> BoostModel:
         data, names = two_names(dataset, self.label)
-        n = data.count()
-        now = data.withColumn("__d", F.lit(1.0 / max(n, 1))).cache()
+        weighing = Weighing(data.select(*dataset.columns), self.base, label=self.label, features=self.features, id=self.id)
         models, coefs = [], []
-        learner = self.base.with_options(weight="__d", label=self.label, features=self.features, prediction="__h", id=self.id)
         for _ in range(self.max_iters):
-            model = learner.fit(now.drop("y", "w"))
-            scored = model.transform(now)
-            wrong = F.col("__h") != F.col(self.label)
-            e = scored.agg(F.sum(F.when(wrong, F.col("__d")).otherwise(0.0))).first()[0]
+            model, scored, wrong, whole = weighing.fit(self.label)
+            e = wrong / whole
             if e > 0.5:
                 break
             bounded = min(max(e, 1e-10), 1 - 1e-10)
@@ -250,14 +245,9 @@ class BoostLearner(Learner):
             coefs.append(a)
             if e < 1e-10:
                 break
-            d = F.col("__d") * F.exp(F.when(wrong, F.lit(a)).otherwise(F.lit(-a)))
-            moved = scored.withColumn("__d", d).drop("__h")
-            whole = moved.agg(F.sum("__d")).first()[0]
-            nxt = moved.withColumn("__d", F.col("__d") / F.lit(whole)).cache()
-            nxt.count()
-            now.unpersist()
-            now = nxt
-        now.unpersist()
+            whole = wrong * math.exp(a) + (whole - wrong) * math.exp(-a)
+            weighing.weigh(scored, math.exp(-a) / whole, math.exp(a) / whole)
+        weighing.close()
         return BoostModel(**self._columns(), models=models, coefs=coefs, names=names)
 
 
@@ -283,28 +273,20 @@ class WeightedVotingBoost(Learner):
         super().__init__(**columns, base=base, size=size)
 
     def _fit(self, dataset: DataFrame) -> WeightedVotingModel:
-        n = dataset.count()
-        now = dataset.withColumn("__d", F.lit(1.0 / max(n, 1))).cache()
+        weighing = Weighing(dataset, self.base, label=self.label, features=self.features, id=self.id)
         models, coefs = [], []
-        learner = self.base.with_options(weight="__d", label=self.label, features=self.features, prediction="__h", id=self.id)
         for _ in range(self.size):
-            model = learner.fit(now)
-            scored = model.transform(now)
-            wrong = F.col("__h") != F.col(self.label)
-            e = scored.agg(F.sum(F.when(wrong, F.col("__d")).otherwise(0.0))).first()[0]
+            model, scored, wrong, whole = weighing.fit(self.label)
+            e = wrong / whole
             models.append(model)
             if abs(e) < 1e-6:
                 coefs.append(1.0)
                 break
             a = 0.5 * math.log((1 - e) / e) if e < 1 else -10.0
             coefs.append(a)
-            moved = scored.withColumn("__d", F.col("__d") * F.when(wrong, F.lit(math.exp(a))).otherwise(1.0)).drop("__h")
-            whole = moved.agg(F.sum("__d")).first()[0]
-            nxt = moved.withColumn("__d", F.col("__d") / F.lit(whole)).cache()
-            nxt.count()
-            now.unpersist()
-            now = nxt
-        now.unpersist()
+            whole = wrong * math.exp(a) + whole - wrong
+            weighing.weigh(scored, 1 / whole, math.exp(a) / whole)
+        weighing.close()
         return WeightedVotingModel(**self._columns(), models=models, coefs=coefs)
 
 

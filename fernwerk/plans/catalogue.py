@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import cluster, compose, factor, folds, graph, linear, measures, pairwise, preprocess, select, tasks, trees, tuning
+from ..operators import cluster, compose, cuts, factor, folds, graph, linear, measures, pairwise, preprocess, select, tasks, trees, tuning
 from ..sources.tables import assemble, embeddings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -438,14 +439,12 @@ def binary_lines(spark, sf):
 
 @query(f"with {DATA}, {split_sql('s', 'd', GAIN)} select f as feature, x cutoff, round(gain, 6) + 0.0 gain from s_w")
 def info_gain_split(spark, sf):
-    rows = binary_lines(spark, sf).select(F.lit(0).alias("node"), "features", F.col("label").alias("y"), F.lit(1.0).alias("w"))
-    return trees.splits(rows, ["node"], trees.information_gain).select("feature", "cutoff", r6(F.col("gain")).alias("gain"))
+    return trees.splits(binary_lines(spark, sf), trees.information_gain, y="label").select("feature", "cutoff", r6(F.col("gain")).alias("gain"))
 
 
 @query(f"with {DATA}, {split_sql('s', 'd', LOSS)} select f as feature, x cutoff, round(-gain, 6) loss from s_w")
 def z1_loss_split(spark, sf):
-    rows = binary_lines(spark, sf).select(F.lit(0).alias("node"), "features", F.col("label").alias("y"), F.lit(1.0).alias("w"))
-    return trees.splits(rows, ["node"], trees.neg_z1_loss).select("feature", "cutoff", F.round(-F.col("gain"), 6).alias("loss"))
+    return trees.splits(binary_lines(spark, sf), trees.neg_z1_loss, y="label").select("feature", "cutoff", F.round(-F.col("gain"), 6).alias("loss"))
 
 
 DEAR = "d as (select l_orderkey * 10 + l_linenumber id, l_quantity x0, l_extendedprice x1, case when l_extendedprice * (1 - l_discount) > 30000 then 1.0 else 0.0 end y, 1.0::double w from lineitem)"
@@ -493,12 +492,39 @@ def adaboost_rounds(spark, sf):
     return trees.BoostLearner(trees.StumpLearner(), max_iters=2).fit(rows).transform(rows).select("id", F.col("prediction").cast("long").alias("prediction"))
 
 
-@query()
+def vote_sql(rounds: int = 3) -> str:
+    parts = [DEAR, "n as (select cast(count(*) as double) n from d)", "d0 as (select id, x0, x1, y, 1 / n w, 0.0::double v0, 0.0::double v1 from d, n)"]
+    for r in range(rounds):
+        parts.append(split_sql(f"s{r}", f"d{r}", LOSS))
+        parts.append(f"p{r} as (select d.*, case when (case when f = 0 then x0 else x1 end >= x) <> ((pt - pl) / (nt - nl) < pl / nl) then 1.0 else 0.0 end h from d{r} d, s{r})")
+        parts.append(f"a{r} as (select 0.5 * ln((1 - e) / e) a from (select sum(case when h <> y then w else 0.0 end) e from p{r}))")
+        parts.append(f"t{r} as (select id, x0, x1, y, w * case when h <> y then exp(a) else 1.0 end w, v0 + a * (1 - h) v0, v1 + a * h v1 from p{r}, a{r})")
+        parts.append(f"d{r + 1} as (select id, x0, x1, y, w / sum(w) over () w, v0, v1 from t{r})")
+    return "with " + ", ".join(parts) + f" select id, cast(case when v1 > v0 then 1 else 0 end as int) prediction from d{rounds}"
+
+
+@query(vote_sql())
 def weighted_vote(spark, sf):
     rows = dear_lines(spark, sf)
     return trees.WeightedVotingBoost(trees.StumpLearner(), 3).fit(rows).transform(rows).select("id", "prediction")
 
 
+PRICES = [float(p) for p in range(5_000, 100_000, 5_000)]
+
+
+@query(f"""
+with {DEAR}, k as (select case when x0 < 24 then 1 else 2 end node, x0, x1, y from d), p as (select unnest({PRICES}::double[]) e),
+r as (select k.node, 1 feature, (select count(*) from p where p.e <= k.x1) r, y from k union all select node, 0, cast(floor(x0 / 8) as bigint), y from k)
+select cast(node as int) node, cast(feature as int) feature, cast(r as int) r, sum(y) p, cast(count(*) as double) n from r group by node, feature, r
+""")
+def range_sums(spark, sf):
+    """What a level of a tree is grown from: rows and positives of each node, feature and range."""
+    tree = cuts.Tree()
+    left, right = tree.cut(0, 0, 24.0)
+    search = cuts.CutSearch(trees.table_of(dear_lines(spark, sf), y="label"), [np.arange(8.0, 51.0, 8.0), np.array(PRICES)], trees.information_gain)
+    return search.range_sums([tree], [(0, left, np.arange(2)), (0, right, np.arange(2))]).select("node", "feature", "r", "p", "n")
+
+
 @query()
 def random_forest(spark, sf):
     rows = dear_lines(spark, sf)
