@@ -14,8 +14,8 @@ from .base import Fitted, Learner
 from .cuts import Criterion, CutSearch, Drawn, Tree, quantile_edges
 from .preprocess import normalise_labels
 
-#: Ranges of each feature in which rows are summed up first; rounds of boosting after which rows are written with their weights.
-RANGES, KEEP = 64, 8
+#: Ranges of each feature in which rows are summed up first, rows that say where they are cut, and rounds of boosting after which rows are written with their weights.
+RANGES, SAMPLE, KEEP = 64, 50_000, 8
 
 
 def xlogx(p: Column) -> Column:
@@ -49,7 +49,7 @@ def table_of(df: DataFrame, features: str = "features", y: str = "y", w: str | N
 
 def splits(df: DataFrame, criterion: Criterion, features: str = "features", y: str = "y", w: str | None = None, ranges: int = RANGES) -> DataFrame:
     """(feature, cutoff, gain, pl, nl, pt, nt) for every split x < cutoff that leaves rows on both sides: sums over ranges first, then over the values of each range."""
-    return CutSearch(table_of(df, features, y, w), quantile_edges(df, features, ranges), criterion).every()
+    return CutSearch(table_of(df, features, y, w), quantile_edges(df, features, ranges, sample=SAMPLE), criterion).every()
 
 
 class Split:
@@ -120,7 +120,7 @@ class TreeLearner(Learner):
         data, names = two_names(dataset, self.label)
         table = table_of(data, self.features, "y", self.weight).persist()
         try:
-            search = CutSearch(table, self.edges or quantile_edges(table, "x", self.bins or self.ranges), self.criterion, binned=bool(self.bins))
+            search = CutSearch(table, self.edges or quantile_edges(table, "x", self.bins or self.ranges, sample=None if self.bins else SAMPLE), self.criterion, binned=bool(self.bins))
             (root,) = grow(search, 1, self.min_split, self.max_depth, self.subsample, self.seed)
         finally:
             table.unpersist()
@@ -172,7 +172,7 @@ class StumpLearner(Learner):
     def _fit(self, dataset: DataFrame) -> StumpModel:
         data, names = two_names(dataset, self.label)
         table = table_of(data, self.features, "y", self.weight)
-        edges = self.edges or quantile_edges(table, "x", self.ranges)
+        edges = self.edges or quantile_edges(table, "x", self.ranges, sample=SAMPLE)
         found = CutSearch(table, edges, neg_z1_loss).best([Tree()], [(0, 0, np.arange(len(edges)))])
         if not found:
             p, n, _ = CutSearch(table, edges, neg_z1_loss).totals([Tree()]).get(0, (0.0, 0.0, 0))
@@ -200,7 +200,8 @@ class Weighing:
         self.now, self.rounds, self.kept = self.root.withColumn("__d", F.lit(1.0 / max(n, 1))), 0, None
         self.learner = base.with_options(weight="__d", prediction="__h", **columns)
         if n and hasattr(base, "edges") and not base.edges:  # values don't change, so their ranges are cut once
-            self.learner.edges = quantile_edges(self.root, columns["features"], getattr(base, "bins", None) or base.ranges)
+            bins = getattr(base, "bins", None)
+            self.learner.edges = quantile_edges(self.root, columns["features"], bins or base.ranges, sample=None if bins else SAMPLE)
 
     def fit(self, label: str) -> tuple:
         """(model, the rows with its prediction __h and whether it is wrong, summed weight of the wrong ones, summed weight)."""
