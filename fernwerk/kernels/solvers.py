@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -60,47 +61,150 @@ class PairFunction:
 # -- support vector machines ------------------------------------------------------------------------
 
 
-def svm_dual(k: np.ndarray, y: np.ndarray, c: float, eps: float = 1e-4, tau: float = 1e-12, max_iter: int = 100_000) -> tuple[np.ndarray, float]:
+class KernelRows:
+    """Rows of the kernel matrix of x with itself, made when they are asked for; the last used ones are kept, up to so many bytes."""
+
+    def __init__(self, kernel, x, bytes: int = 256_000_000):
+        self.kernel, self.x, self.n = kernel, x, len(x)
+        self.most = max(2, bytes // (8 * max(self.n, 1)))
+        self.diag = np.array([kernel(x[i : i + 1], x[i : i + 1])[0, 0] for i in range(self.n)])
+        self.kept: dict[int, np.ndarray] = {}
+
+    def row(self, i: int) -> np.ndarray:
+        found = self.kept.pop(i, None)
+        if found is None:
+            if len(self.kept) >= self.most:
+                self.kept.pop(next(iter(self.kept)))
+            found = self.kernel(self.x[i : i + 1], self.x)[0]
+        self.kept[i] = found  # the last used comes last
+        return found
+
+
+def movable(a: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows' a * y can go up, and which can go down."""
+    return np.where(y > 0, a < c, a > 0), np.where(y > 0, a > 0, a < c)
+
+
+def greatest_violation(score: np.ndarray, a: np.ndarray, y: np.ndarray, c: np.ndarray) -> float:
+    """By how much a score at most breaks the optimum's conditions: a = 0 above the margin, a = c below it, on it in between."""
+    margin = y * score - 1
+    return float(np.maximum(np.where(a < c, -margin, 0), np.where(a > 0, margin, 0)).max(initial=0))
+
+
+def svm_dual(rows: KernelRows, y: np.ndarray, c: np.ndarray, eps: float = 1e-4, tau: float = 1e-12, max_iter: int = 1_000_000) -> tuple[np.ndarray, float]:
     """min a'Qa/2 - sum(a), 0 <= a <= c, y'a = 0, with Q = yy'K: (a, b) so that a row's score is K @ (a * y) - b.
 
     Decomposition by pairs. The first of a pair violates optimality most, the second promises the greatest
     decrease to second order. Ends when the greatest violation is below eps; warns at max_iter.
     """
-    if not (np.isfinite(c) and set(np.unique(y)) <= {-1.0, 1.0} and len(set(y)) == 2):
-        raise ValueError("two classes, -1 and 1, and a finite c are needed")
-    n, diag = len(y), np.diag(k)
+    n, diag = len(y), rows.diag
     a, grad = np.zeros(n), -np.ones(n)
     for _ in range(max_iter):
         down = -y * grad
-        up = ((y > 0) & (a < c)) | ((y < 0) & (a > 0))
-        low = ((y > 0) & (a > 0)) | ((y < 0) & (a < c))
+        up, low = movable(a, y, c)
         i = int(np.where(up, down, -np.inf).argmax())
         worst = down[i]
         if worst - np.where(low, down, np.inf).min() < eps:
             break
-        gap = worst - down
-        curve = np.maximum(diag[i] + diag - 2 * k[i], tau)
+        gap, k_i = worst - down, rows.row(i)
+        curve = np.maximum(diag[i] + diag - 2 * k_i, tau)
         gain = np.where(low & (gap > 0), gap * gap / curve, -np.inf)
         j = int(gain.argmax())
         step = gap[j] / curve[j]
-        step = min(step, c - a[i] if y[i] > 0 else a[i], a[j] if y[j] > 0 else c - a[j])
+        step = min(step, c[i] - a[i] if y[i] > 0 else a[i], a[j] if y[j] > 0 else c[j] - a[j])
         a[i] += y[i] * step
         a[j] -= y[j] * step
-        grad += step * y * (k[:, i] - k[:, j])
+        grad += step * y * (k_i - rows.row(j))
     else:
-        import warnings
-
         warnings.warn("the solver stopped before it converged", stacklevel=2)
     a = np.clip(a, 0, c)
+    return a, offset(-y * grad, a, y, c)
+
+
+def offset(down: np.ndarray, a: np.ndarray, y: np.ndarray, c: np.ndarray) -> float:
+    """b from the rows on the margin, or where there are none from the middle of what is left for it. down: y less the score without b."""
     free = (a > 1e-12 * c) & (a < c * (1 - 1e-12))
-    down = -y * grad
     if free.any():
-        b = -down[free].mean()
+        return float(-down[free].mean())
+    up, low = movable(a, y, c)
+    return float(-(np.where(up, down, -np.inf).max() + np.where(low, down, np.inf).min()) / 2)
+
+
+def svm_smo(rows: KernelRows, y: np.ndarray, c: np.ndarray, tol: float = 1e-3, least: float = 1e-7, seed: int = 0, max_sweeps: int = 10_000) -> tuple[np.ndarray, float]:
+    """The same problem by sequential minimal optimisation.
+
+    Sweeps look for rows that break the conditions by more than tol: over all rows first, then over those between the bounds until they hold, and over
+    all again. A row's partner is the row between the bounds whose error differs most; where that gives no step, other rows between the bounds, then any
+    row, from a random place on. The errors of all rows are kept up to date. Rows that sit at a bound and are right by far are left out of
+    sweeps (shrunk) until the others hold; then all are looked at again.
+    """
+    n, random = len(y), np.random.default_rng(seed)
+    a, error, b = np.zeros(n), -y.astype(float), 0.0  # error: score less y
+
+    def move(i: int, j: int) -> bool:
+        nonlocal b
+        if i == j:
+            return False
+        same = y[i] == y[j]
+        low, high = (max(0.0, a[i] + a[j] - c[i]), min(c[j], a[i] + a[j])) if same else (max(0.0, a[j] - a[i]), min(c[j], c[i] + a[j] - a[i]))
+        if high - low < 1e-14 * max(c[i], c[j]):
+            return False
+        k_i, k_j = rows.row(i), rows.row(j)
+        curve, slope = k_i[i] + k_j[j] - 2 * k_i[j], y[j] * (error[i] - error[j])
+        if curve > 1e-12:
+            new = min(max(a[j] + slope / curve, low), high)
+        else:  # a line: one of its ends, if they differ
+            worth = [slope * (end - a[j]) - curve * (end - a[j]) ** 2 / 2 for end in (low, high)]
+            new = (low, high)[int(worth[1] > worth[0])] if abs(worth[0] - worth[1]) > 1e-12 else a[j]
+        if abs(new - a[j]) < least * (new + a[j] + least):
+            return False
+        other = a[i] - (new - a[j]) * (1 if same else -1)
+        new, other = (0.0 if v < 1e-10 * m else m if v > m * (1 - 1e-10) else v for v, m in ((new, c[j]), (other, c[i])))
+        by_i, by_j = y[i] * (other - a[i]), y[j] * (new - a[j])
+        a[i], a[j] = other, new
+        error[:] += by_i * k_i + by_j * k_j
+        free = [k for k, v in ((i, other), (j, new)) if 0 < v < c[k]]
+        shift = error[free[0]] if free else (error[i] + error[j]) / 2  # what makes the pair's errors nought
+        error[:] -= shift
+        b += shift
+        return True
+
+    def broken(at: np.ndarray) -> np.ndarray:
+        off = y[at] * error[at]
+        return at[((off < -tol) & (a[at] < c[at])) | ((off > tol) & (a[at] > 0))]
+
+    def partnered(i: int) -> bool:
+        inner = np.flatnonzero((a > 0) & (a < c))
+        if len(inner) and move(i, int(inner[np.abs(error[inner] - error[i]).argmax()])):
+            return True
+        for at in (inner, np.arange(n)):
+            at = np.roll(at, -int(random.integers(len(at)))) if len(at) else at
+            if any(move(i, int(j)) for j in at):
+                return True
+        return False
+
+    looked_at = np.arange(n)
+    for _ in range(max_sweeps):
+        moved = sum(partnered(int(i)) for i in broken(looked_at) if len(broken(np.array([i]))))
+        while moved:
+            inner = np.flatnonzero((a > 0) & (a < c))
+            moved = sum(partnered(int(i)) for i in broken(inner) if len(broken(np.array([i]))))
+        far = (y * error > 10 * tol) & (a == 0) | (y * error < -10 * tol) & (a == c)
+        if len(broken(looked_at)):
+            looked_at = np.flatnonzero(~far)
+        elif len(looked_at) < n:
+            looked_at = np.arange(n)
+        else:
+            break
+        if len(looked_at) == n and not len(broken(looked_at)):
+            break
     else:
-        up = ((y > 0) & (a < c)) | ((y < 0) & (a > 0))
-        low = ((y > 0) & (a > 0)) | ((y < 0) & (a < c))
-        b = -(np.where(up, down, -np.inf).max() + np.where(low, down, np.inf).min()) / 2
-    return a, float(b)
+        warnings.warn("the solver stopped before it converged", stacklevel=2)
+    return a, offset(y - (error + y + b), a, y, c)
+
+
+#: By the option `algorithm`.
+ALGORITHMS = {"pairs": svm_dual, "smo": svm_smo}
 
 
 class SvmModel:
@@ -111,12 +215,22 @@ class SvmModel:
         return (self.kernel(x, self.vectors) @ self.weights if len(self.weights) else np.zeros(len(x))) - self.b
 
 
-def train_svm(x, y: np.ndarray, kernel, c: float, eps: float = 1e-4) -> SvmModel:
+def solved(x, y: np.ndarray, kernel, c: float | np.ndarray, eps: float = 1e-4, algorithm: str = "pairs") -> tuple[np.ndarray, float]:
+    """(a, b) for y of -1 and 1; c one for all or one for each row."""
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"unknown algorithm {algorithm!r}: {', '.join(ALGORITHMS)}")
+    c = np.broadcast_to(np.asarray(c, float), len(y)).copy()
+    if not (np.isfinite(c).all() and set(np.unique(y)) == {-1.0, 1.0}):
+        raise ValueError("two classes, -1 and 1, and a finite c are needed")
+    return ALGORITHMS[algorithm](KernelRows(kernel, x), y, c, eps)
+
+
+def train_svm(x, y: np.ndarray, kernel, c: float | np.ndarray, eps: float = 1e-4, algorithm: str = "pairs") -> SvmModel:
     """y: 0/1 or -1/1."""
     s = np.where(np.asarray(y) > 0, 1.0, -1.0)
     if len(set(s)) < 2:
         return SvmModel(x[:0], np.zeros(0), -float(s[0]) if len(s) else 0.0, kernel)
-    a, b = svm_dual(kernel(x, x), s, c, eps)
+    a, b = solved(x, s, kernel, c, eps, algorithm)
     at = np.flatnonzero(a > 0)
     return SvmModel(x[at] if isinstance(x, np.ndarray) else [x[i] for i in at], (a * s)[at], b, kernel)
 

@@ -762,6 +762,27 @@ def platt(spark, sf):
     return tasks.SigmoidCorrection(features="score").fit(rows).transform(rows).select("doc_id", "prediction")
 
 
+@query(f"""
+with {EMB}, t as (select label, unnest(v) x, generate_subscripts(v, 1) i from e where label < 2), m as (select label, i, avg(x) x from t group by label, i),
+c as (select list(x order by i) filter (where label = 0) z, list(x order by i) filter (where label = 1) p from m),
+s as (select id, v, z, p, list_distance(z, p) ** 2 d2 from e, c)
+select id, a.algorithm, round((list_dot_product(v, p) - list_dot_product(v, z)) * 2 / d2 - (list_dot_product(p, p) - list_dot_product(z, z)) / d2, 4) + 0.0 score from s, (values ('pairs'), ('smo')) a(algorithm)
+""")
+def svm_of_means(spark, sf):
+    """The machine between the means of two labels, whose optimum is known: weight 2 / d^2 on both. By either solver."""
+    e = embeddings(spark, sf)
+    long = e.filter("label < 2").select("label", F.posexplode("features").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    means = long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("features")).withColumn("id", F.col("label"))
+    parts = [tasks.Svm(C=1e6, eps=1e-7, raw=True, algorithm=a).fit(means).transform(e).select("id", F.lit(a).alias("algorithm"), (F.round("prediction", 4) + 0.0).alias("score")) for a in ("pairs", "smo")]
+    return parts[0].union(parts[1])
+
+
+@query()
+def svm_cascade(spark, sf):
+    rows = preprocess.zscore(dear_lines(spark, sf))
+    return tasks.CascadeSvm(C=1.0, raw=True).fit(rows).transform(rows).select("id", "prediction")
+
+
 @query()
 def svm_ovo(spark, sf):
     rows = embeddings(spark, sf)
