@@ -600,7 +600,7 @@ p as (select k, q, any_value(y) y, arg_max(label, (n, -f)) p from c group by k,
 select k, cast(sum(cast(y <> p as int)) as bigint) errors from p group by k
 """)
 def grid_search_knn_k(spark, sf):
-    got = tuning.grid_errors(embeddings(spark, sf), pairwise.KNN(), {"k": [1, 3, 7]}, 3, prune=False)
+    got = tuning.grid_errors(embeddings(spark, sf), pairwise.KNN(), {"k": [1, 3, 7]}, 3)
     return spark.createDataFrame([(o["k"], int(e)) for o, e in got], "k int, errors long")
 
 

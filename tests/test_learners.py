@@ -173,7 +173,7 @@ def test_grid_search(spark):
         assert tuning.cv_error(df, tasks.RbfSvm(**o), 4) == e
     model = tuning.GridSearch(tasks.RbfSvm(), params, 4, annotate=True).fit(df)
     assert model.options == min(errors, key=lambda x: x[1])[0]
-    knn = tuning.grid_errors(df, pairwise.KNN(), {"k": [1, 5]}, 4, prune=False)
+    knn = tuning.grid_errors(df, pairwise.KNN(), {"k": [1, 5]}, 4)
     assert knn[1][1] == tuning.cv_error(df, pairwise.KNN(5), 4)
     with pytest.raises(ValueError):
         tuning.default_learner("quick")
