@@ -9,13 +9,11 @@ which normalisation cannot act across a chunk's border; the library itself does
 from __future__ import annotations
 
 import re
-import unicodedata
 from array import array
 from functools import cache, cached_property
 from itertools import islice
 
 import numpy as np
-import regex
 
 #: Chunks kept by a worker; at about 250 bytes each.
 KEPT = 120_000
@@ -25,10 +23,11 @@ UNSAFE = re.compile("[^\t\n\r -~À-ÖØ-öø-įı-ķĹ-ňŊ-ž]|<\\|")
 #: The vocabulary's pre-tokens, for safe characters in lower case.
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ž]+|[0-9]|[^\\sa-zÀ-ž0-9]+")
 WORD_END = "</w>"
-#: What the vocabulary's patterns call white space (Python's own notion has four control characters more), and its pre-tokens for all scripts.
+#: What the vocabulary's patterns call white space (Python's own notion has four control characters more).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[^{SPACE}]+")
-ANY_PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: Chunks of more code points than this have a stored count every so many.
+STEP = 256
 
 
 def byte_letters() -> list[str]:
@@ -51,6 +50,7 @@ class WordBpe:
         self.known: dict[str, bytes] = {}
         self.counted: dict[str, int] = {}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.lower: dict[str, str] = {}
 
     # -- what only prefix counts need, read when they are first asked for -----------------------------
 
@@ -196,10 +196,25 @@ class WordBpe:
             self.counted[chunk] = total
         return total
 
+    def _normal(self, chunk: str) -> list[str] | None:
+        """What the library makes of each character of a chunk without white space; None where that isn't what it makes of the chunk, or a special token is in it."""
+        known = self.lower
+        if len(known) > KEPT:
+            known.clear()
+        for c in set(chunk) - known.keys():
+            known[c] = self.library.normalizer.normalize_str(c)
+        low = [known[c] for c in chunk]
+        return None if any(t in chunk for t in self.special) or self.library.normalizer.normalize_str(chunk) != "".join(low) else low
+
+    def _pieces(self, low: str) -> list[tuple[str, str]]:
+        """(piece, its letters): the library's own pre-tokens, whose notion of a letter is that of its tables and not of Python's."""
+        return [(low[s:e], letters) for letters, (s, e) in self.library.pre_tokenizer.pre_tokenize_str(low)]
+
     def _odd_count(self, chunk: str) -> int:
-        """Tokens of a chunk with characters that are not safe; the library encodes it once."""
+        """Tokens of a chunk with characters that are not safe; the library encodes it where its characters don't stand for themselves."""
         if (got := self.counted.get(chunk)) is None:
-            got = len(self.library.encode(chunk, add_special_tokens=False).ids)
+            low = self._normal(chunk)
+            got = len(self.library.encode(chunk, add_special_tokens=False).ids) if low is None else sum(self.piece_count(x) for _, x in self._pieces("".join(low)))
             if len(chunk) <= 64:
                 self.counted[chunk] = got
         return got
@@ -223,33 +238,35 @@ class WordBpe:
         np.cumsum(np.fromiter(found, np.int32, len(found)), out=out[1:])
         return out
 
-    def chunk_prefixes(self, chunk: str) -> list[int]:
-        """Tokens of chunk[:i] for i from 0 to the length of a chunk without white space, of any script, by piece_prefixes().
+    def chunk_prefixes(self, chunk: str, first: int = 0, last: int | None = None, before: int = 0) -> list[int]:
+        """Tokens of chunk[:i] for i from `first` to `last` of a chunk without white space, of any script, by piece_prefixes(); `before` are those of chunk[:first].
 
-        Prefixes of a chunk in composed form are composed, and lower case goes character by character, so the pre-tokens of a prefix are
-        the chunk's own, the last cut short. Only chunks that are not composed or hold a special token have their prefixes encoded.
+        Where the library takes a chunk character by character, the pre-tokens of a prefix are the chunk's own, the last cut short, and only the pre-tokens
+        that reach into the range are gone through. Other chunks have these prefixes encoded.
         """
-        if not unicodedata.is_normalized("NFC", chunk) or any(t in chunk for t in self.special):
-            return [len(self.library.encode(chunk[:i], add_special_tokens=False).ids) for i in range(len(chunk) + 1)]
-        low = [c.lower() for c in chunk]
-        at_byte, start, bytes_before = [0], 0, 0
-        counts = {0: 0}
-        for m in ANY_PIECE.finditer("".join(low)):
-            piece = m[0]
-            if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():  # cut short, it is no contraction yet
-                for k in range(1, len(piece)):
-                    counts[bytes_before + k] = start + sum(self._count(x) for x in PIECE.findall(piece[:k]))
-                start += self._count(piece)
-                counts[bytes_before + len(piece)] = start
-            else:
-                of = self.piece_prefixes(self.letters_of(piece))
-                for k in range(1, len(of)):
-                    counts[bytes_before + k] = start + of[k]
+        last = len(chunk) if last is None else last
+        low = self._normal(chunk)
+        if low is None:
+            return [len(self.library.encode(chunk[:i], add_special_tokens=False).ids) for i in range(first, last + 1)]
+        at_byte = np.cumsum([0, *(len(c.encode()) for c in low)])
+        begin, end = at_byte[first], at_byte[last]
+        counts, start, at = {0: 0}, 0, 0
+        for piece, letters in self._pieces("".join(low)):
+            size = len(letters)
+            if at > end:
+                break
+            if at + size >= begin:  # counts from here on are right but for a shift, which the count at `first` gives
+                if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():  # cut short, it is no contraction yet
+                    of = [0, *(sum(self._count(x) for x in PIECE.findall(piece[:k])) for k in range(1, len(piece))), self._count(piece)]
+                else:
+                    of = self.piece_prefixes(letters)
+                counts |= {at + k: start + of[k] for k in range(1, len(of))}
                 start += of[-1]
-            bytes_before += len(piece.encode())
-        for c in low:
-            at_byte.append(at_byte[-1] + len(c.encode()))
-        return [counts[b] for b in at_byte]
+            elif at + size not in counts:
+                counts[at + size] = start
+            at += size
+        shift = before - counts[begin]
+        return [counts[b] + shift for b in at_byte[first : last + 1]]
 
     def prefix_counts(self, text: str) -> list[int]:
         """Tokens of text[:i] for i from 0 to the text's length, exactly as the library counts them."""
@@ -261,16 +278,34 @@ class WordBpe:
             before += counts[-1]
         return out + [before] * (len(text) + 1 - len(out))
 
+    def stored_counts(self, text: str) -> np.ndarray:
+        """Tokens of the text up to each of its stops(), from 0: what a store keeps to answer from."""
+        counts = self.chunk_counts(text)
+        chunks = CHUNK.findall(text)
+        if max(map(len, chunks), default=0) <= STEP:
+            return counts
+        out = [np.zeros(1, np.int32)]
+        for chunk, before, after in zip(chunks, counts[:-1], counts[1:], strict=True):
+            inner = before + np.array(self.chunk_prefixes(chunk)[STEP:-1:STEP], np.int32) if len(chunk) > STEP else []
+            out += [np.asarray(inner, np.int32), after[None]]
+        return np.concatenate(out)
+
     def cut(self, text: str, limit: int, counts: np.ndarray | None = None) -> int:
-        """The length of the longest prefix of at most `limit` tokens: found by its chunk's count, then by the prefixes within the chunk after it."""
-        counts = self.chunk_counts(text) if counts is None else counts
+        """The length of the longest prefix of at most `limit` tokens: between two stops by their stored counts, then by the prefixes between these."""
+        counts = self.stored_counts(text) if counts is None else counts
         if counts[-1] <= limit:
             return len(text)
-        k = int(np.searchsorted(counts, limit, side="right"))  # chunks before the k-th, from 1, fit
-        m = next(islice(CHUNK.finditer(text), k - 1, None))
-        inside = self.chunk_prefixes(m[0])
-        left = limit - int(counts[k - 1])
-        return m.start() + max(i for i, c in enumerate(inside) if c <= left)
+        k = int(np.searchsorted(counts, limit, side="right"))  # the k-th stop, from 1, is the first that doesn't fit
+        chunk, first, last = next(islice(stops(text), k - 1, None))
+        inside = self.chunk_prefixes(chunk[0], first, last, int(counts[k - 1]))
+        return chunk.start() + first + max(i for i, c in enumerate(inside) if c <= limit)
+
+
+def stops(text: str):
+    """(chunk, from, to) for each stretch with a stored count at its end: chunks of characters other than white space, long ones in stretches of STEP."""
+    for m in CHUNK.finditer(text):
+        for first in range(0, len(m[0]), STEP):
+            yield m, first, min(first + STEP, len(m[0]))
 
 
 @cache

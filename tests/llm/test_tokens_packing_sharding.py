@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from fernwerk.llm import counting, packing, sharding, tokens
@@ -52,7 +52,7 @@ def test_token_counts(odd):
         n = len(library_ids(text))
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 50)
         assert len(library_ids(text[: r.cut_chars])) <= 50 or r.cut_chars == 0
-        assert r.prefix_tokens[-1] == n and counting.chunk_end(text, len(r.prefix_tokens) - 1) == len(text.rstrip())
+        assert r.prefix_tokens[-1] == n and counting.stop_end(text, len(r.prefix_tokens) - 1) == len(text.rstrip())
     spread = counting.tokens_between(counting.token_counts(odd, with_prefixes=True).selectExpr("*", "1 i", "3 j"), "i", "j").filter("doc_id = 13").first()
     assert spread.n_between == 2
 
@@ -73,7 +73,8 @@ def test_every_script_is_counted_by_chunks(text):
         assert bpe.cut(text, limit) == max(i for i, c in enumerate(want) if c <= limit)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=2000, deadline=None, derandomize=True)
+@example("¨\U0003d000")
 @given(st.text(st.one_of(st.sampled_from(list("ab 's\n!1é’ñ中Σ\u0301\u00a0<|>İß٣क्")), st.characters(codec="utf-8")), max_size=24))
 def test_any_text_is_counted_as_the_library_does(text):
     bpe = word_bpe(vocabulary())
@@ -81,6 +82,21 @@ def test_any_text_is_counted_as_the_library_does(text):
     assert bpe.prefix_counts(text) == [len(library_ids(text[:i])) for i in range(len(text) + 1)]
 
 
+@pytest.mark.parametrize("text", ["中文字符" * 300, "ab" * 700 + " x " + "é" * 300, "0123456789" * 60, "word " * 400, "¨\U0003d000'sé" * 120, "e\u0301" * 300])
+def test_long_chunks_have_stored_counts_inside(text):
+    """Every 256 code points of a chunk without white space; truncation between two of them is exact and the store says where it is."""
+    bpe = word_bpe(vocabulary())
+    stored = bpe.stored_counts(text)
+    ends = [counting.stop_end(text, k) for k in range(len(stored))]
+    longest = max(map(len, text.split()))
+    assert len(stored) == 1 + sum(-(-len(c) // 256) for c in text.split()) and (longest <= 256 or len(stored) > 2)
+    for end, count in zip(ends, stored, strict=True):
+        assert count == len(library_ids(text[:end]))
+    for limit in {0, 1, int(stored[-1]) // 3, int(stored[-1]) // 2, int(stored[-1]) - 1}:
+        end = bpe.cut(text, limit)
+        assert len(library_ids(text[:end])) <= limit < len(library_ids(text[: end + 1]))
+
+
 def check_packing(rows, docs, capacity):
     lengths, slots = defaultdict(int), defaultdict(list)
     for r in rows:
