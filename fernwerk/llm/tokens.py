@@ -188,7 +188,7 @@ class WordBpe:
         for piece in PIECE.findall(chunk):
             got = self.counted.get(piece)
             if got is None:
-                got = self.piece_count(self.letters_of(piece))
+                got = len(self.model.tokenize(self.letters_of(piece)))
                 if len(piece) <= 64:
                     self.counted[piece] = got
             total += got
@@ -219,24 +219,26 @@ class WordBpe:
                 self.counted[chunk] = got
         return got
 
-    def chunk_counts(self, text: str) -> np.ndarray:
-        """Tokens of the text up to the end of its k-th chunk of characters other than white space, for k from 0.
-
-        White space ends every pre-token, and no normalisation acts across it, so a text's count is the sum of its chunks'.
-        """
+    def _chunks(self, text: str) -> tuple[list[str], list[int]]:
+        """The text's chunks of characters other than white space (in lower case where all are safe) and the tokens of each."""
         if len(self.counted) > KEPT:
             self.counted.clear()
         if UNSAFE.search(text):
-            found = [self._odd_count(c) if UNSAFE.search(c) else self._count(c.lower()) for c in CHUNK.findall(text)]
-        else:
-            chunks = text.lower().split()
-            found = [*map(self.counted.get, chunks)]
-            if None in found:
-                do = self._count
-                found = [do(c) if got is None else got for c, got in zip(chunks, found, strict=True)]
-        out = np.zeros(len(found) + 1, np.int32)
-        np.cumsum(np.fromiter(found, np.int32, len(found)), out=out[1:])
-        return out
+            chunks = CHUNK.findall(text)
+            return chunks, [self._odd_count(c) if UNSAFE.search(c) else self._count(c.lower()) for c in chunks]
+        chunks = text.lower().split()
+        found = [*map(self.counted.get, chunks)]
+        if None in found:
+            do = self._count
+            found = [do(c) if got is None else got for c, got in zip(chunks, found, strict=True)]
+        return chunks, found
+
+    def chunk_counts(self, text: str) -> np.ndarray:
+        """Tokens of the text up to the end of its k-th chunk, for k from 0.
+
+        White space ends every pre-token, and no normalisation acts across it, so a prefix's count is that of the prefix before and its last chunk's.
+        """
+        return up_to(self._chunks(text)[1])
 
     def chunk_prefixes(self, chunk: str, first: int = 0, last: int | None = None, before: int = 0) -> list[int]:
         """Tokens of chunk[:i] for i from `first` to `last` of a chunk without white space, of any script, by piece_prefixes(); `before` are those of chunk[:first].
@@ -247,7 +249,8 @@ class WordBpe:
         last = len(chunk) if last is None else last
         low = self._normal(chunk)
         if low is None:
-            return [len(self.library.encode(chunk[:i], add_special_tokens=False).ids) for i in range(first, last + 1)]
+            counts = [len(self.library.encode(chunk[:i], add_special_tokens=False).ids) for i in range(first, last + 1)]
+            return [c + before - counts[0] for c in counts]
         at_byte = np.cumsum([0, *(len(c.encode()) for c in low)])
         begin, end = at_byte[first], at_byte[last]
         counts, start, at = {0: 0}, 0, 0
@@ -280,10 +283,11 @@ class WordBpe:
 
     def stored_counts(self, text: str) -> np.ndarray:
         """Tokens of the text up to each of its stops(), from 0: what a store keeps to answer from."""
-        counts = self.chunk_counts(text)
-        chunks = CHUNK.findall(text)
+        chunks, found = self._chunks(text)
+        counts = up_to(found)
         if max(map(len, chunks), default=0) <= STEP:
             return counts
+        chunks = CHUNK.findall(text)
         out = [np.zeros(1, np.int32)]
         for chunk, before, after in zip(chunks, counts[:-1], counts[1:], strict=True):
             inner = before + np.array(self.chunk_prefixes(chunk)[STEP:-1:STEP], np.int32) if len(chunk) > STEP else []
@@ -301,6 +305,12 @@ class WordBpe:
         return chunk.start() + first + max(i for i, c in enumerate(inside) if c <= limit)
 
 
+def up_to(found: list[int]) -> np.ndarray:
+    out = np.zeros(len(found) + 1, np.int32)
+    np.cumsum(np.fromiter(found, np.int32, len(found)), out=out[1:])
+    return out
+
+
 def stops(text: str):
     """(chunk, from, to) for each stretch with a stored count at its end: chunks of characters other than white space, long ones in stretches of STEP."""
     for m in CHUNK.finditer(text):
