@@ -6,16 +6,8 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame
 
 
-class Learner(Estimator):
-    """fit(df) -> Fitted. Columns: id (order and ties), features, label, and by option weight."""
-
-    def __init__(self, features: str = "features", label: str = "label", id: str = "id", prediction: str = "prediction", **options):
-        super().__init__()
-        self.features, self.label, self.id, self.prediction = features, label, id, prediction
-        for k, v in options.items():
-            setattr(self, k, v)
-
-    def with_options(self, **options) -> Learner:
+class Varied:
+    def with_options(self, **options):
         """A copy with other options; what grid search varies."""
         out = self.copy()
         for k, v in options.items():
@@ -24,11 +16,21 @@ class Learner(Estimator):
             setattr(out, k, v)
         return out
 
+
+class Learner(Varied, Estimator):
+    """fit(df) -> Fitted. Columns: id (order and ties), features, label, and by option weight."""
+
+    def __init__(self, features: str = "features", label: str = "label", id: str = "id", prediction: str = "prediction", **options):
+        super().__init__()
+        self.features, self.label, self.id, self.prediction = features, label, id, prediction
+        for k, v in options.items():
+            setattr(self, k, v)
+
     def _columns(self) -> dict[str, str]:
         return {"features": self.features, "label": self.label, "id": self.id, "prediction": self.prediction}
 
 
-class Fitted(Model):
+class Fitted(Varied, Model):
     """transform(df) -> df with column `prediction`, or with `features` changed."""
 
     def __init__(self, features: str = "features", label: str = "label", id: str = "id", prediction: str = "prediction", **state):
