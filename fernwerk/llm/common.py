@@ -132,10 +132,34 @@ def ranked(df: DataFrame, keys: Sequence[str], by: Sequence[str], name: str) ->
 
 
 def sliced(batches, rows: int = 1024):
-    """Arrow batches in slices of at most so many rows: what a worker holds of them as Python objects stays small."""
+    """Arrow batches in slices of at most so many rows: what a worker holds of them as Python objects stays small.
+
+    At their end the worker hands freed memory back, which its allocators would keep from task to task and stage to stage.
+    """
     for batch in batches:
         for k in range(0, len(batch), rows):
             yield batch.slice(k, rows)
+    handed_back()
+
+
+def ended(batches):
+    """The batches as they come; at their end freed memory is handed back."""
+    yield from batches
+    handed_back()
+
+
+def handed_back() -> None:
+    """Gives memory that this process has freed back to the system, where the system has a way for it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_of(column: str = "text") -> Column:

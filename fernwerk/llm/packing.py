@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, sliced, text_of, written
+from .common import ended, ranked, sliced, text_of, written
 from .tokens import vocabulary, word_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -101,7 +101,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     where, at_rank = names.index("length"), len(names)
 
     def slots(batches):
-        for batch in batches:
+        for batch in ended(batches):
             length = batch.column(where).to_numpy(zero_copy_only=False)
             rank = batch.column(at_rank).to_numpy(zero_copy_only=False)
             run = plan[np.searchsorted(key, (length << 44) + rank, side="right") - 1]

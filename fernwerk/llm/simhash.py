@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, looked_up, scratch, sliced, text_of, written
+from .common import ended, free_name, looked_up, scratch, sliced, text_of, written
 from .components import components
 
 #: Fingerprints of a bucket that are compared in one task at once; larger buckets are dealt out.
@@ -151,7 +151,7 @@ def bucket_links(rows: DataFrame, words: int, most: int) -> DataFrame:
 
     def work(batches):
         rest = None
-        for batch in batches:
+        for batch in ended(batches):
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None else table
             keys = table.column("bucket").to_numpy()
@@ -248,7 +248,7 @@ def sampled_rows(nodes: DataFrame, chosen: np.ndarray) -> DataFrame:
     first = np.arange(tables, dtype=np.int64) << 48
 
     def work(batches):
-        for batch in batches:
+        for batch in ended(batches):
             for k in range(0, len(batch), 512):
                 part = batch.slice(k, 512)
                 node, root = part.column(0).to_numpy(), part.column(1).to_numpy()
@@ -320,7 +320,7 @@ def alike(pairs: DataFrame, similarity: float, size: int = SKETCH) -> DataFrame:
     margin = 5 * math.sqrt(similarity * (1 - similarity) / size)
 
     def work(batches):
-        for batch in batches:
+        for batch in ended(batches):
             keep, sure = [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -345,7 +345,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def work(batches):
-        for batch in batches:
+        for batch in ended(batches):
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
                 sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column(1).to_pylist()]
@@ -458,7 +458,7 @@ def verified_links(rows: DataFrame, most: int, similarity: float) -> DataFrame:
 
     def work(batches):
         rest = None
-        for batch in batches:
+        for batch in ended(batches):
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None else table
             keys = table.column("bucket").to_numpy()
