@@ -118,6 +118,6 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, end_id: int = 1, token
 
     A null or empty text is the end id alone. Only texts of more than `capacity` ids are cut. Rows that
     repeat, or whose doc_id is null, are packed as rows of their own. Equal lengths take their slots in
-    order of doc_id and piece. Other columns of docs are not read. An empty table gives an empty result.
+    an order that a hash of doc_id and piece and the number of shuffle partitions give. Other columns of docs are not read. An empty table gives an empty result.
     """
     return pack(written(token_pieces(docs, capacity, end_id, tokenizer, with_ids), "pieces"), capacity)
