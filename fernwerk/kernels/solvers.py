@@ -80,6 +80,16 @@ class KernelRows:
         return found
 
 
+class MatrixRows:
+    """Rows of a kernel matrix that is there."""
+
+    def __init__(self, k: np.ndarray):
+        self.k, self.n, self.diag = k, len(k), np.diag(k)
+
+    def row(self, i: int) -> np.ndarray:
+        return self.k[i]
+
+
 def movable(a: np.ndarray, y: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which rows' a * y can go up, and which can go down."""
     return np.where(y > 0, a < c, a > 0), np.where(y > 0, a > 0, a < c)
@@ -91,7 +101,7 @@ def greatest_violation(score: np.ndarray, a: np.ndarray, y: np.ndarray, c: np.nd
     return float(np.maximum(np.where(a < c, -margin, 0), np.where(a > 0, margin, 0)).max(initial=0))
 
 
-def svm_dual(rows: KernelRows, y: np.ndarray, c: np.ndarray, eps: float = 1e-4, tau: float = 1e-12, max_iter: int = 1_000_000) -> tuple[np.ndarray, float]:
+def svm_pairs(rows: KernelRows, y: np.ndarray, c: np.ndarray, eps: float = 1e-4, tau: float = 1e-12, max_iter: int = 1_000_000) -> tuple[np.ndarray, float]:
     """min a'Qa/2 - sum(a), 0 <= a <= c, y'a = 0, with Q = yy'K: (a, b) so that a row's score is K @ (a * y) - b.
 
     Decomposition by pairs. The first of a pair violates optimality most, the second promises the greatest
@@ -204,7 +214,7 @@ def svm_smo(rows: KernelRows, y: np.ndarray, c: np.ndarray, tol: float = 1e-3, l
 
 
 #: By the option `algorithm`.
-ALGORITHMS = {"pairs": svm_dual, "smo": svm_smo}
+ALGORITHMS = {"pairs": svm_pairs, "smo": svm_smo}
 
 
 class SvmModel:
@@ -217,12 +227,17 @@ class SvmModel:
 
 def solved(x, y: np.ndarray, kernel, c: float | np.ndarray, eps: float = 1e-4, algorithm: str = "pairs") -> tuple[np.ndarray, float]:
     """(a, b) for y of -1 and 1; c one for all or one for each row."""
+    return svm_dual(KernelRows(kernel, x), y, c, eps, algorithm)
+
+
+def svm_dual(rows: KernelRows | MatrixRows | np.ndarray, y: np.ndarray, c: float | np.ndarray, eps: float = 1e-4, algorithm: str = "pairs") -> tuple[np.ndarray, float]:
+    """(a, b) from the kernel matrix or its rows on demand."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}: {', '.join(ALGORITHMS)}")
     c = np.broadcast_to(np.asarray(c, float), len(y)).copy()
     if not (np.isfinite(c).all() and set(np.unique(y)) == {-1.0, 1.0}):
         raise ValueError("two classes, -1 and 1, and a finite c are needed")
-    return ALGORITHMS[algorithm](KernelRows(kernel, x), y, c, eps)
+    return ALGORITHMS[algorithm](MatrixRows(rows) if isinstance(rows, np.ndarray) else rows, y, c, eps)
 
 
 def train_svm(x, y: np.ndarray, kernel, c: float | np.ndarray, eps: float = 1e-4, algorithm: str = "pairs") -> SvmModel:
