@@ -11,7 +11,7 @@ from ..functions.vectors import doubles
 from .base import Fitted, Learner
 from .cluster import scatter
 from .linear import matrix, summed
-from .pairwise import pdist, project
+from .pairwise import project
 
 
 class Pca(Learner):
@@ -40,23 +40,88 @@ class PcaModel(Fitted):
         return dataset.withColumn(self.features, project(affine(doubles(self.features), self.mean, self.std), self.components))
 
 
-def mds_dists(distances: DataFrame, ndims: int) -> DataFrame:
-    """(id, features) from squared distances (i, j, d): double centring by means in Spark; the n x n table, of a few thousand rows at most, is solved in one place."""
-    row = distances.groupBy("i").agg(F.avg("d").alias("ri"))
-    col = distances.groupBy("j").agg(F.avg("d").alias("cj"))
-    grand = distances.agg(F.avg("d").alias("g"))
-    b = distances.join(row, "i").join(col, "j").join(F.broadcast(grand), F.lit(True)).select("i", "j", (-(F.col("d") - F.col("ri") - F.col("cj") + F.col("g")) / 2).alias("b"))
-    pdf = b.orderBy("i", "j").toPandas()
-    ids = sorted(pdf["i"].unique().tolist())
-    m = pdf["b"].to_numpy().reshape(len(ids), len(ids))
-    values, vectors = np.linalg.eigh((m + m.T) / 2)
+#: Ids whose whole table of distances is solved; tables of more go by landmarks. Ids among which landmarks are looked for.
+EXACT, CANDIDATES = 1500, 1500
+
+
+def farthest(d: np.ndarray, k: int) -> list[int]:
+    """Places of k rows of a square table of distances: the first, then always the row farthest from those taken."""
+    taken, gap = [0], d[0].copy()
+    while len(taken) < min(k, len(d)):
+        at = int(gap.argmax())
+        if gap[at] <= 0:
+            break  # all others are copies of rows taken
+        taken.append(at)
+        gap = np.minimum(gap, d[at])
+    return taken
+
+
+def square(pairs: DataFrame, ids: list) -> np.ndarray:
+    """The table (i, j, d) as a matrix in the order of ids; an error where a pair is missing."""
+    place = {v: k for k, v in enumerate(ids)}
+    pdf = pairs.select("i", "j", F.col("d").cast("double").alias("d")).toPandas()
+    out = np.full((len(ids), len(ids)), np.nan)
+    out[pdf["i"].map(place), pdf["j"].map(place)] = pdf["d"]
+    if np.isnan(out).any():
+        raise ValueError("the table of distances lacks pairs")
+    return out
+
+
+def scaled(d: np.ndarray, ndims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of squared distances: (coordinates, weights by which a row's squared distances, less their means, are its coordinates). Axes without variance are 0."""
+    centred = d - d.mean(axis=0)
+    centred = centred - centred.mean(axis=1, keepdims=True)
+    values, vectors = np.linalg.eigh(-(centred + centred.T) / 4)
     order = np.argsort(-values, kind="stable")[:ndims]
-    x = vectors[:, order] * np.sqrt(np.maximum(values[order], 0))
-    return distances.sparkSession.createDataFrame([(i, r) for i, r in zip(ids, x.tolist(), strict=True)], "id long, features array<double>")
+    values, vectors = values[order], vectors[:, order]
+    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(order))] < 0, -1, 1)
+    real = values > 1e-9 * max(np.abs(values).max(initial=0), 1e-300)
+    root = np.sqrt(np.where(real, values, 1))
+    pad = np.zeros((len(d), max(0, ndims - len(order))))
+    return np.hstack([vectors * np.where(real, root, 0), pad]), np.hstack([-vectors * np.where(real, 1 / root, 0) / 2, pad])
+
+
+def mds_dists(distances: DataFrame, ndims: int, landmarks: int = 200, exact: int = EXACT) -> DataFrame:
+    """(id, features) of ndims axes from squared distances (i, j, d).
+
+    Up to `exact` ids the whole table is solved on the driver. Beyond, that many landmarks, each the farthest from those before it among CANDIDATES ids drawn by
+    hash, are solved, and every id is placed by its distances to them: a sum over its rows of the table, which Spark groups. Rows of the table without a landmark aren't
+    read again. Distances are then kept as well as by the whole table if landmarks span what the ids span (Euclidean in ndims axes and ndims + 1
+    landmarks in general position: exactly); otherwise what lies off the landmarks' axes is lost. An id without a distance to every landmark gets null.
+    """
+    spark, kind = distances.sparkSession, distances.schema["i"].dataType.simpleString()
+    known = distances.select("i").filter("i is not null").distinct()
+    ids = sorted(r["i"] for r in known.limit(exact + 1).collect())
+    if not ids:
+        return spark.createDataFrame([], f"id {kind}, features array<double>")
+    if len(ids) <= exact:
+        x, _ = scaled(square(distances.filter("i is not null and j is not null"), ids), ndims)
+        return spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), f"id {kind}, features array<double>")
+    drawn = [r["i"] for r in known.orderBy(F.xxhash64("i"), "i").limit(max(CANDIDATES, landmarks)).collect()]
+    some = F.broadcast(spark.createDataFrame([(v,) for v in drawn], f"i {kind}"))
+    among = square(distances.join(some, "i", "left_semi").join(some.withColumnRenamed("i", "j"), "j", "left_semi"), drawn)
+    at = farthest(among, landmarks)
+    d = among[np.ix_(at, at)]
+    _, weights = scaled(d, ndims)
+    marks = spark.createDataFrame([(drawn[k], float(m), w) for k, m, w in zip(at, d.mean(axis=0), weights.tolist(), strict=True)], f"j {kind}, mean double, w array<double>")
+    placed = distances.join(F.broadcast(marks), "j").groupBy("i").agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("d") - F.col("mean")) * F.col("w")[c]).alias(f"c{c}") for c in range(ndims)))
+    every = F.when(F.col("n") == len(at), F.array(*(F.col(f"c{c}") for c in range(ndims))))
+    return known.withColumnRenamed("i", "id").join(placed.select(F.col("i").alias("id"), every.alias("features")), "id", "left")
 
 
 def mds(df: DataFrame, ndims: int, features: str = "features", id: str = "id") -> DataFrame:
-    return mds_dists(pdist(df, features=features, id=id), ndims)
+    """(id, features): ndims axes that keep the squared distances of the rows of df as well as any can.
+
+    Scaling of Euclidean distances is a turn onto the principal axes; so it is exact for any number of rows, with sums of features x features
+    and one projection, and no table of pairs. Rows without features keep null; axes beyond the width are 0.
+    """
+    rows = df.select(F.col(id).alias("id"), doubles(features).alias("features"))
+    some = rows.filter("features is not null")
+    if some.isEmpty():
+        return rows
+    got = Pca(ndims, zscore=False).fit(some).transform(rows)
+    more = F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(ndims) - F.size("features")))
+    return got.withColumn("features", F.when(F.col("features")[0].isNotNull(), F.concat("features", more)))
 
 
 def lee_seung(df: DataFrame, r: int, max_iter: int = 200, tol: float = 1e-8, seed: int = 0, features: str = "features", id: str = "id", cost: str = "norm2", checkpoint_every: int = 10) -> tuple[DataFrame, np.ndarray, list[float]]:
