@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import cluster, compose, cuts, factor, folds, graph, linear, measures, pairwise, preprocess, select, tasks, trees, tuning
+from ..sources.scratch import stored
 from ..sources.tables import assemble, embeddings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -541,13 +542,8 @@ p as (select f.id, any_value(f.label) as real, arg_min(x.label, (round(list_dist
 select real, predicted, count(*) n from p group by real, predicted
 """)
 def cv_nearest_exemplar(spark, sf):
-    cut = folds.fold_assign(embeddings(spark, sf), 10)
-    held = cut.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(9)))).filter("fold <> model")
-    first = held.groupBy("model", "label").agg(F.min_by("features", "id").alias("exemplar"))
-    sets = first.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("label", "exemplar"))).alias("all"))
-    scored_rows = F.transform("all", lambda x: F.struct(V.sqdist(F.col("features"), x["exemplar"]).alias("d"), x["label"].alias("l")))
-    got = cut.join(F.broadcast(sets), cut["fold"] == sets["model"]).select(F.col("label").alias("real"), F.array_min(scored_rows)["l"].alias("predicted"))
-    return measures.confusion_matrix(got)
+    cells, _ = folds.nfold_crossvalidation(embeddings(spark, sf), pairwise.NearestExemplar(), 10)
+    return cells
 
 
 FOUR = "g as (select id, v, label % 4 label from e)"
@@ -706,6 +702,26 @@ def mds(spark, sf):
     return spread(factor.mds(embeddings(spark, sf), 2), "id", n=2)
 
 
+NEXT = f"with {EMB} select a.id, round(list_distance(a.v, b.v) ** 2, 4) + 0.0 d from e a join e b on b.id = a.id + 1"
+
+
+def next_distances(rows: DataFrame) -> DataFrame:
+    """(id, d): of each row the squared distance to the row of the next id."""
+    after = rows.select((F.col("id") - 1).alias("id"), F.col("features").alias("after"))
+    return rows.join(after, "id").select("id", (F.round(V.sqdist(F.col("features"), F.col("after")), 4) + 0.0).alias("d"))
+
+
+@query(NEXT)
+def mds_keeps_distances(spark, sf):
+    return next_distances(factor.mds(embeddings(spark, sf), 64))
+
+
+@query(NEXT)
+def mds_landmarks(spark, sf):
+    """Placed by distances to 100 of the rows alone."""
+    return next_distances(factor.mds_dists(pairwise.pdist(embeddings(spark, sf)), 64, landmarks=100, exact=100))
+
+
 @query()
 def nnmf(spark, sf):
     w, _, _ = factor.lee_seung(lines(spark, sf), 2, max_iter=5)
@@ -800,6 +816,51 @@ def affinity(spark, sf):
     return graph.affinity_frame(embeddings(spark, sf))
 
 
+@query("select vec_id id, true chooses_itself, true is_nearest from embeddings")
+def affinity_sparse(spark, sf):
+    """Of each row, whether its exemplar is its own exemplar and no other exemplar is nearer."""
+    e = embeddings(spark, sf).select("id", "features")
+    got = stored(e.join(graph.sparse_affinity(e, k=20, convit=10, maxit=60, damping=0.7), "id"), "affinity")
+    of = got.select(F.col("id").alias("exemplar"), F.col("exemplar").alias("its"), F.col("features").alias("centre"))
+    exemplars = got.filter("id = exemplar").select("id", "features")
+    near = pairwise.nearest(got.withColumn("label", F.lit(0)), exemplars.withColumn("label", F.lit(0)), 1).select(F.col("q").alias("id"), F.col("d").alias("least"))
+    both = got.join(of, "exemplar").join(near, "id")
+    return both.select("id", (F.col("its") == F.col("exemplar")).alias("chooses_itself"), (V.sqdist(F.col("features"), F.col("centre")) <= F.col("least") + 1e-9).alias("is_nearest"))
+
+
+class Means(tasks.LocalLearner):
+    """A caller's own learner: the label whose mean is nearer."""
+
+    def solve(self, x, y):
+        return MeansModel(x[y == 0].mean(axis=0), x[y == 1].mean(axis=0))
+
+
+class MeansModel:
+    def __init__(self, no, yes):
+        self.no, self.yes = no, yes
+
+    def decide(self, x):
+        return ((x - self.no) ** 2).sum(axis=1) - ((x - self.yes) ** 2).sum(axis=1)
+
+
+@query(f"""
+with {EMB}, h as (select id, v, cast(label < 5 as int) y, (label + 0.5) / 10 p1 from e), t as (select * from h where id % 2 = 0), q as (select * from h where id % 2 = 1),
+u as (select y, unnest(v) x, generate_subscripts(v, 1) i from t), z as (select y, i, sum(x) s, count(*) n from u group by y, i), s as (select y, list(s order by i) s, any_value(n) n from z group by y),
+b as (select a.s s0, a.n n0, b.s s1, b.n n1 from s a join s b on a.y = 0 and b.y = 1),
+w as (select 0 c, id, p1, v, s0, n0, s1, n1 from q, b union all select 1, id, p1, v, s0, n0, s1, n1 from q, b),
+m as (select id, c, p1, list_transform(list_zip(s0, v), lambda k: (k[1] + case when c = 0 then k[2] else 0 end) / (n0 + 1 - c)) m0, list_transform(list_zip(s1, v), lambda k: (k[1] + case when c = 1 then k[2] else 0 end) / (n1 + c)) m1 from w),
+o as (select q.id, list_distance(q.v, list_transform(s0, lambda x: x / n0)) >= list_distance(q.v, list_transform(s1, lambda x: x / n1)) was from q, b),
+r as (select m.id, m.c, any_value(case when m.c = 1 then m.p1 else 1 - m.p1 end) p, sum(cast((list_distance(q.v, m.m0) >= list_distance(q.v, m.m1)) <> o.was as int)) n from m, q join o on o.id = q.id group by m.id, m.c)
+select id, round(sum(n * p), 6) + 0.0 impact from r group by id
+""")
+def impacts(spark, sf):
+    """How far each row without a label would change the others' predictions if its label were known; every other row has one."""
+    rows = embeddings(spark, sf).withColumn("p", (F.col("label") + 0.5) / 10).withColumn("label", (F.col("label") < 5).cast("int"))
+    train, pool = (rows.filter(F.col("id") % 2 == k) for k in (0, 1))
+    p = pool.select("id", F.inline(F.array(*(F.struct(F.lit(c).alias("label"), (F.col("p") if c else 1 - F.col("p")).alias("p")) for c in (0, 1)))))
+    return graph.expected_impacts(train.drop("p"), pool.drop("p"), Means(), p).select("id", (F.round("impact", 6) + 0.0).alias("impact"))
+
+
 @query()
 def som(spark, sf):
     e = embeddings(spark, sf)
