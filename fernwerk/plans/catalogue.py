@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import cluster, compose, cuts, factor, folds, graph, linear, measures, pairwise, preprocess, select, tasks, trees, tuning
+from ..operators import base, cluster, compose, cuts, factor, folds, graph, linear, measures, pairwise, preprocess, select, tasks, trees, tuning
 from ..sources.scratch import stored
 from ..sources.tables import assemble, embeddings, table
 
@@ -600,28 +600,54 @@ def grid_search_knn_k(spark, sf):
     return spark.createDataFrame([(o["k"], int(e)) for o, e in got], "k int, errors long")
 
 
-MEMBERS = "m as (select conv_id, turn, case when length(text) > 400 then 'long' when length(text) > 150 then 'medium' else 'short' end p, cast(length(text) as double) s from conversations)"
+ITEMS = "m as (select l_orderkey o, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey id, row_number() over () r, [round(l_quantity), round(l_discount * 100), round(l_tax * 100)]::double[] v, %s y from lineitem), x as (select y, arg_min(v, id) c from m group by y), p as (select r, any_value(o) o, any_value(id) n, arg_min(x.y, (round(list_distance(v, c) ** 2, 9), x.y)) p from m, x group by r)"
 
 
-def member_rows(spark, sf):
-    n = F.length("text")
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.when(n > 400, "long").when(n > 150, "medium").otherwise("short").alias("prediction"), n.cast("double").alias("score"))
+def items(spark: SparkSession, sf: str, label) -> DataFrame:
+    """Order lines as members of their orders."""
+    rows = table(spark, sf, "lineitem").withColumn("id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey"))
+    v = F.array(*(F.round(F.col(c).cast("double") * k) for c, k in (("l_quantity", 1), ("l_discount", 100), ("l_tax", 100))))
+    return rows.select("id", F.col("l_orderkey").alias("group_id"), F.col("id").alias("member_id"), v.alias("features"), label.alias("label"))
 
 
-@query(f"with {MEMBERS}, c as (select conv_id, p, count(*) n, min(turn) f from m group by conv_id, p) select conv_id, arg_max(p, (n, -f)) prediction from c group by conv_id")
+@query(f"with {ITEMS % 'l_returnflag'}, c as (select o, p, count(*) k, min(n) f from p group by o, p) select o as group_id, arg_max(p, (k, -f)) prediction from c group by o")
 def group_voting(spark, sf):
-    return compose.group_vote(member_rows(spark, sf), "conv_id", "prediction", "turn")
+    rows = items(spark, sf, F.col("l_returnflag"))
+    return compose.Grouped(pairwise.NearestExemplar()).fit(rows).transform(rows)
 
 
-@query(f"with {MEMBERS} select conv_id, round(avg(s), 6) score from m group by conv_id")
+@query(f"with {ITEMS % 'cast(l_returnflag = chr(82) as int)'} select o as group_id, round(avg(p), 6) prediction from p group by o")
 def group_mean(spark, sf):
-    return compose.group_mean(member_rows(spark, sf), "conv_id", "score").select("conv_id", F.round("score", 6).alias("score"))
+    rows = items(spark, sf, (F.col("l_returnflag") == "R").cast("int"))
+    return compose.Grouped(pairwise.NearestExemplar(), how="mean").fit(rows).transform(rows).select("group_id", F.round("prediction", 6).alias("prediction"))
 
 
-@query("select c_custkey, case when a <= 0 or b <= 0 then false when a >= 1 or b >= 1 then true else ln(a / (1 - a)) + ln(b / (1 - b)) > 0 end prediction from (select c_custkey, (c_custkey % 11) / 10.0::double a, (c_custkey % 7) / 7.0::double + 0.01 b from customer)")
+class Odds(base.Learner):
+    """A caller's own probabilistic learner: the distances to the means of label 0 and 1, as a share."""
+
+    def _fit(self, dataset):
+        v = V.doubles(self.features)
+        width = dataset.select(F.size(v)).first()[0]
+        means = dataset.groupBy(self.label).agg(F.array(*(F.avg(v[k]) for k in range(width))).alias("m"))
+        return OddsModel(**self._columns(), means={r[0]: r[1] for r in means.collect()})
+
+
+class OddsModel(base.Fitted):
+    def _transform(self, dataset):
+        no, yes = (V.sqdist(V.doubles(self.features), V.lit_vector(self.means[k])) for k in (0, 1))
+        return dataset.withColumn(self.prediction, no / (no + yes))
+
+
+@query(f"""
+with {EMB}, h as (select id, v, cast(label < 5 as int) y from e), w as (select 1 k, id, y, v[1:32] v from h union all select 2, id, y, v[33:64] from h),
+u as (select k, y, unnest(v) x, generate_subscripts(v, 1) i from w), a as (select k, y, i, avg(x) x from u group by k, y, i), m as (select k, y, list(x order by i) c from a group by k, y),
+o as (select w.id, ln(list_distance(w.v, n.c) ** 2 / list_distance(w.v, p.c) ** 2) o from w join m n on n.k = w.k and n.y = 0 join m p on p.k = w.k and p.y = 1)
+select id, sum(o) > 0 prediction from o group by id
+""")
 def multi_view(spark, sf):
-    a, b = (F.col("c_custkey") % 11) / F.lit(10.0), (F.col("c_custkey") % 7) / F.lit(7.0) + 0.01
-    return table(spark, sf, "customer").select("c_custkey", compose.product_rule(a, b).alias("prediction"))
+    """Halves of an embedding as views."""
+    rows = halves(spark, sf).select("id", "label", F.slice("features", 1, 32).alias("first"), F.slice("features", 33, 32).alias("second"))
+    return compose.MultiView([Odds(), Odds()], ["first", "second"]).fit(rows).transform(rows).select("id", "prediction")
 
 
 # -- selection, scatter, uncertainty ----------------------------------------------------------------
