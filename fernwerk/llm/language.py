@@ -17,6 +17,8 @@ UNKNOWN = "und"
 #: Languages of country suffixes, each worth COUNTRY pages of evidence.
 COUNTRIES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl"}
 COUNTRY = 5.0
+#: Bytes of a looked-up table of one array a row up to which it is broadcast.
+BROADCAST_BYTES = 64_000_000
 #: A language's own name as a declaration is worth so many pages of it.
 DECLARED = 5.0
 
@@ -43,15 +45,17 @@ def suffix_of(host: Column) -> Column:
     return F.lower(F.regexp_extract(host, r"\.([A-Za-z]+)(?::\d+)?$", 1))
 
 
-def train(docs: DataFrame, declared: str = "lang", sample: int = 400) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, declared: str = "lang", sample: int = 400, languages: int = 200) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (one row each) of triples, from at most `sample` declared texts of every declared language.
 
-    The texts are different ones with the smallest hashes. The last row, of UNKNOWN, gives every bucket the same.
+    Declared languages are the `languages` declarations with the most different texts (of equals the first in alphabetical order), so that junk in the declared column
+    can't grow the table; other declarations are no languages, but evidence like all declarations. The texts are different ones with the smallest hashes. The last row, of UNKNOWN, gives every bucket the same.
     """
     l = F.col(declared).cast("string")  # noqa: E741
     known = docs.filter(F.col(declared).isNotNull() & F.col("text").isNotNull()).select(l.alias("l"), "text").filter(F.col("l") != UNKNOWN)
     # hashes below a bound that leaves some more than needed, by the number of different texts; of these the smallest
     sizes = known.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("text"), 0.05).alias("n"))
+    sizes = sizes.orderBy(F.desc("n"), "l").limit(languages)
     bounds = written(sizes.select("l", F.least(F.lit(1.0), 3.0 * (sample + 20) / F.greatest("n", F.lit(1))).alias("bound")), "bounds")
     names = sorted(r["l"] for r in bounds.select("l").collect())
     if not names:
@@ -79,9 +83,10 @@ def train(docs: DataFrame, declared: str = "lang", sample: int = 400) -> tuple[l
 def likelihoods(docs: DataFrame, logs: np.ndarray, declared: str, host: str) -> DataFrame:
     """(doc_id, text_hash, declared, host, suffix, n triples, said: log likelihood of each language, and its best language's number)."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("declared", pa.string()), ("host", pa.string()), ("suffix", pa.string()), ("n", pa.int64()), ("said", pa.list_(pa.float64())), ("best", pa.int32())])
-    by_bucket = np.ascontiguousarray(logs.T)
+    shared = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs.T))
 
     def work(batches):
+        by_bucket = shared.value
         for batch in sliced(batches):
             sizes, said, best = [], [], []
             for text in batch.column(5).to_pylist():
@@ -138,20 +143,21 @@ def fused(said: DataFrame, names: list[str], smoothing: float = 10.0) -> DataFra
     none = F.array(*[F.lit(0.0)] * size)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     score = add(add(F.col("said"), F.coalesce(F.col("prior"), none)), F.coalesce(F.col("says"), none))
-    out = looked_up(looked_up(said, hosts, "host"), says, "declared").withColumn("score", score)
+    most = BROADCAST_BYTES // (8 * size + 100)
+    out = looked_up(looked_up(said, hosts, "host", most=most), says, "declared", most=most).withColumn("score", score)
     top = F.array_max("score")
     out = out.withColumn("confidence", 1 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - top)))
     return out.withColumn("language", F.element_at(F.array(*map(F.lit, names)), F.array_position("score", top).cast("int")))
 
 
-def identify(docs: DataFrame, declared: str = "lang", host: str = "source", least: float = 0.5, sample: int = 400) -> DataFrame:
+def identify(docs: DataFrame, declared: str = "lang", host: str = "source", least: float = 0.5, sample: int = 400, languages: int = 200) -> DataFrame:
     """Language of each row, its posterior, and kept: whether it is a known language with at least that posterior.
 
-    Null and empty texts, and texts without a letter, are UNKNOWN with confidence 1 and not kept. Null or
+    Languages are the `languages` commonest declarations. Null and empty texts, and texts without a letter, are UNKNOWN with confidence 1 and not kept. Null or
     unseen declarations and null hosts say nothing of their own (a null host is a host like others).
     Ties go to the language first in alphabetical order. Repeated rows are judged as they come.
     """
-    names, logs = train(docs, declared, sample)
+    names, logs = train(docs, declared, sample, languages)
     said = written(likelihoods(docs, logs, declared, host), "said")
     empty = F.col("n") == 0
     out = fused(said, names)

@@ -219,6 +219,16 @@ def test_every_declared_language_is_trained(spark):
     assert all(got[d] == x for d, _, x, _ in rows)
 
 
+def test_junk_declarations_are_no_languages(spark):
+    rows = [(k, sentence(x, k), x, "h.example") for x in ("aa", "bb") for k in range(20 if x == "aa" else 30)]
+    rows += [(100 + k, sentence("aa" if k % 2 else "bb", 500 + k), f"junk{k}", "h.example") for k in range(60)] + [(200, sentence("bb", 7) * 3000, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names, logs = language.train(docs, languages=2)
+    assert names == ["aa", "bb", language.UNKNOWN] and logs.shape == (3, language.BUCKETS)
+    got = {r.doc_id: r for r in language.identify(docs, languages=2).collect()}
+    assert all(got[100 + k].language == ("aa" if k % 2 else "bb") and got[100 + k].kept for k in range(60)) and got[200].language == "bb"
+
+
 def posterior(names, rows, smoothing=10.0):
     """(language, confidence) of each (declared, host, suffix, n, said, best) by the formula, row by row."""
     size = len(names)
