@@ -17,6 +17,7 @@ from .blocks import best, least, merged, numbers, opened, packed, rows_of
 BASE_BYTES, QUERY_BYTES, TILE = 2_000_000, 1_000_000, 256
 #: Blocks of the base whose results a task merges before it hands them on.
 BAND = 64
+
 #: Up to so many bytes a side of an explicit pair table is broadcast.
 BROADCAST_BYTES = 64_000_000
 
@@ -74,6 +75,49 @@ def pdist(x: DataFrame, y: DataFrame | None = None, distance: str = "euclidean2"
     return pairs(x, y, squared if distance == "euclidean2" else lambda a, b: np.sqrt(squared(a, b)), **columns)
 
 
+def tiles(x: DataFrame, y: DataFrame, value: Callable[[np.ndarray, np.ndarray, dict, dict], dict], schema: str) -> DataFrame:
+    """What value(p, q, own, others) makes of every tile of rows of x and y: p and q are their columns x as matrices, own and others their other columns as arrays.
+
+    Sums over pairs are taken in the tile, so that no pair becomes a row. Rows without x have no part.
+    """
+    left = packed(x.filter("x is not null").repartition(x.sparkSession.sparkContext.defaultParallelism), TILE)
+    right = packed(y.filter("x is not null"), 8 * TILE)
+    names = [[c for c in df.columns if c != "x"] for df in (x, y)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                p, q = same_width(rows_of(batch, r), rows_of(batch, r, "other_x"))
+                own, others = ({c: batch.column(prefix + c)[r].values for c in of} for prefix, of in zip(("", "other_"), names, strict=True))
+                yield pa.RecordBatch.from_pydict(value(p, q, own, others))
+
+    return left.crossJoin(right.select(*(F.col(c).alias("other_" + c) for c in right.columns))).mapInArrow(work, schema)
+
+
+def near(a: np.ndarray, b: np.ndarray, scale: float) -> np.ndarray:
+    """Squared distances by products where those are off by less than 1e-11 of scale, else from differences."""
+    own, other = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    if not 3e-16 * max(a.shape[1], 1) * (own.max(initial=0) + other.max(initial=0)) <= 1e-11 * scale:  # also where any is not a number
+        return squared(a, b)
+    d = a @ b.T
+    d *= -2
+    d += own[:, None]
+    d += other
+    return np.maximum(d, 0, out=d)
+
+
+def window(d: np.ndarray, scale: float) -> np.ndarray:
+    """exp(-d / scale), in the place of d."""
+    d /= -scale
+    return np.exp(d, out=d)
+
+
+def equal_ids(own: pa.Array, others: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the pairs of a tile whose ids are equal."""
+    a, b = own.to_numpy(zero_copy_only=False), others.to_numpy(zero_copy_only=False)
+    return np.nonzero(a[:, None] == b) if len(np.intersect1d(a, b)) else (np.zeros(0, int), np.zeros(0, int))
+
+
 def plike(x: DataFrame, sigma2: float | None = None, **columns) -> DataFrame:
     """exp(-d^2 / sigma2) for all pairs; sigma2 is by default the median of all d^2, the diagonal included."""
     d = pdist(x, **columns)
@@ -258,20 +302,26 @@ class NearestExemplarModel(Fitted):
 def fisher_criterion(df: DataFrame, sigmas: Sequence[float], label: str = "label", features: str = "features", id: str = "id") -> DataFrame:
     """(sigma, f): separability of two classes (0 and 1) under the RBF kernel of each sigma; lower is better.
 
-    Squared distances are taken once; the sums over pairs for all sigmas are one aggregate.
+    Squared distances are taken once; tiles of pairs send their sums by classes for all sigmas.
     """
-    x = df.select(F.col(id).alias("i"), doubles(features).alias("a"), F.col(label).cast("int").alias("yi"))
-    y = x.toDF("j", "b", "yj")
-    y = F.broadcast(y) if matrix_bytes(df, features) <= BROADCAST_BYTES else y
-    d = x.crossJoin(y).select("yi", "yj", sqdist(F.col("a"), F.col("b")).alias("d"))
-    s = d.groupBy("yi", "yj").agg(*(F.sum(F.exp(-F.col("d") / F.lit(float(v)))).alias(f"s{k}") for k, v in enumerate(sigmas)), F.count(F.lit(1)).cast("double").alias("n"))
-    cell = lambda c, a, b: F.max(F.when((F.col("yi") == a) & (F.col("yj") == b), F.col(c)))
-    one = s.agg(F.sqrt(cell("n", 0, 0)).alias("n1"), F.sqrt(cell("n", 1, 1)).alias("n2"), *(cell(f"s{k}", a, b).alias(f"c{k}_{a}{b}") for k in range(len(sigmas)) for a, b in ((0, 0), (1, 1), (0, 1))))
+    rows = df.select(doubles(features).alias("x"), F.col(label).cast("int").alias("y")).filter("y in (0, 1)")
+    scales = [float(v) for v in sigmas]
+
+    def sums(p, q, own, others):
+        d = near(p, q, min(scales))
+        left, right = (np.stack([y == 0, y == 1]).astype(float) for y in (c["y"].to_numpy() for c in (own, others)))
+        found = [left @ window(d.copy(), v) @ right.T for v in scales]
+        return {f"c{k}_{a}{b}": pa.array([float(m[a, b])]) for k, m in enumerate(found) for a, b in cells}
+
+    cells = ((0, 0), (1, 1), (0, 1))
+    names = [f"c{k}_{a}{b}" for k in range(len(scales)) for a, b in cells]
+    n = rows.agg(*(F.sum(F.when(F.col("y") == c, 1.0)).alias(f"n{c + 1}") for c in (0, 1)))
+    one = tiles(rows, rows, sums, ", ".join(f"{c} double" for c in names)).agg(*(F.sum(c).alias(c) for c in names)).crossJoin(n)
     n1, n2 = F.col("n1"), F.col("n2")
     values = []
-    for k, v in enumerate(sigmas):
+    for k, v in enumerate(scales):
         c1, c2, c12 = F.col(f"c{k}_00") / n1, F.col(f"c{k}_11") / n2, F.col(f"c{k}_01") / (n1 * n2)
-        values.append(F.struct(F.lit(float(v)).alias("sigma"), ((n1 + n2 - c1 - c2) / (c1 / n1 + c2 / n2 - 2 * c12)).alias("f")))
+        values.append(F.struct(F.lit(v).alias("sigma"), ((n1 + n2 - c1 - c2) / (c1 / n1 + c2 / n2 - 2 * c12)).alias("f")))
     return one.select(F.inline(F.array(*values)))
 
 
