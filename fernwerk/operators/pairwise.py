@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, doubles, sqdist
+from ..sources.scratch import stored
 from .base import Fitted, Learner
 from .blocks import best, least, merged, numbers, opened, packed, rows_of
 
@@ -18,18 +19,10 @@ BASE_BYTES, QUERY_BYTES, TILE = 2_000_000, 1_000_000, 256
 #: Blocks of the base whose results a task merges before it hands them on.
 BAND = 64
 
-#: Up to so many bytes a side of an explicit pair table is broadcast.
-BROADCAST_BYTES = 64_000_000
-
 #: Of two matrices with a row for each example, the value of every pair.
 PairValue = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def matrix_bytes(df: DataFrame, features: str) -> int:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("d")).first()
-    return 8 * row["n"] * (row["d"] or 0)
-
-
 def same_width(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both with zeros up to the wider one's columns."""
     width = max(a.shape[1], b.shape[1])
@@ -325,13 +318,36 @@ def fisher_criterion(df: DataFrame, sigmas: Sequence[float], label: str = "label
     return one.select(F.inline(F.array(*values)))
 
 
+#: Share of a row's summed weights below which its vote is taken again from differences.
+CLOSE_VOTE = 1e-8
+
+
 def parzen_loocv(df: DataFrame, sigma: float, label: str = "label", features: str = "features", id: str = "id") -> DataFrame:
-    """(id, label, prediction): by the RBF-weighted vote of all other rows of labels 0 and 1."""
-    x = df.select(F.col(id).alias("i"), doubles(features).alias("a"), F.col(label).cast("int").alias("yi"))
-    y = x.toDF("j", "b", "yj")
-    y = F.broadcast(y) if matrix_bytes(df, features) <= BROADCAST_BYTES else y
-    w = x.join(y, F.col("i") != F.col("j")).select("i", "yi", (F.exp(-sqdist(F.col("a"), F.col("b")) / F.lit(float(sigma))) * (2 * F.col("yj") - 1)).alias("w"))
-    return w.groupBy("i", "yi").agg(F.sum("w").alias("w")).select(F.col("i").alias("id"), F.col("yi").alias("label"), (F.col("w") > 0).cast("int").alias("prediction"))
+    """(id, label, prediction): by the RBF-weighted vote of all other rows of labels 0 and 1. Votes within rounding are counted again from exact distances."""
+    rows = df.select(F.col(id).alias("i"), F.col(label).cast("int").alias("y"), doubles(features).alias("x")).filter("i is not null")
+    voters = rows.filter("y is not null").withColumn("y", (2 * F.col("y") - 1).cast("double"))
+    kind = rows.schema["i"].dataType.simpleString()
+
+    def votes(distance):
+        def sums(p, q, own, others):
+            w = window(distance(p, q), sigma)
+            w[equal_ids(own["i"], others["i"])] = 0
+            y = others["y"].to_numpy()
+            return {"i": own["i"], "y": own["y"], "w": pa.array(w @ y), "size": pa.array(w @ np.abs(y))}
+
+        return sums
+
+    def counted(some, distance):
+        return tiles(some, voters, votes(distance), f"i {kind}, y int, w double, size double").groupBy("i", "y").agg(F.sum("w").alias("w"), F.sum("size").alias("size"))
+
+    first = stored(counted(rows, lambda p, q: near(p, q, sigma)), "votes")
+    close = F.abs("w") <= CLOSE_VOTE * F.col("size")
+    found = first
+    if not first.filter(close).isEmpty():
+        again = counted(rows.join(first.filter(close).select("i").distinct(), "i", "left_semi"), squared)
+        found = first.join(first.filter(close).select("i").distinct(), "i", "left_anti").unionByName(again)
+    unknown = rows.filter("x is null").select("i", "y", F.lit(None).cast("double").alias("w"))
+    return found.select("i", "y", "w").unionByName(unknown).groupBy("i", "y").agg(F.sum("w").alias("w")).select(F.col("i").alias("id"), F.col("y").alias("label"), (F.col("w") > 0).cast("int").alias("prediction"))
 
 
 def parzen_1class(df: DataFrame, h: float, features: str = "features", id: str = "id") -> DataFrame:

@@ -470,3 +470,15 @@ def test_string_ids_and_multi_label_folds(spark):
     counts, predictions = folds.nfold_crossvalidation(rows, Same(label="labels"), 5, multi_label=True)
     assert predictions.count() == 30
     assert sorted(map(tuple, counts.collect())) == [(1, True, True, 30), (2, True, False, 10)]
+
+
+def test_votes_within_rounding_are_exact(spark):
+    """Two voters of either label in equal places: no vote, whatever products round to. Null features have no prediction, equal ids no vote on each other."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9, 7))
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(x)] + [(100 + k, v.tolist(), 1) for k, v in enumerate(x)] + [(500, rng.normal(size=7).tolist(), 1), (501, None, 1)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, label int")
+    got = {r.id: r.prediction for r in pairwise.parzen_loocv(df.filter("id <> 501"), 5.0).collect()}
+    alone = spark.createDataFrame([*rows[:18], (500, rows[18][1], None)], df.schema)
+    assert {r.id: r.prediction for r in pairwise.parzen_loocv(alone, 5.0).collect()}[500] == 0
+    assert len(got) == 19 and {r.id: r.prediction for r in pairwise.parzen_loocv(df, 5.0).collect()} == got | {501: None}
