@@ -362,4 +362,10 @@ def parzen_density(queries: DataFrame, base: DataFrame, h: float) -> DataFrame:
     from .preprocess import width
 
     n = width(base, "features")
-    return pdist(queries, base).groupBy("i").agg((F.avg(F.exp(-F.col("d") / (2 * h))) / F.lit((2 * np.pi * h) ** (n / 2))).alias("density"))
+    rows, others = queries.select(F.col("id").alias("i"), doubles("features").alias("x")), base.select(doubles("features").alias("x"))
+
+    def sums(p, q, own, others):
+        return {"i": own["i"], "s": pa.array(window(near(p, q, 2 * h), 2 * h).sum(axis=1)), "m": pa.array(np.full(len(p), len(q)), pa.int64())}
+
+    found = tiles(rows, others, sums, f"i {rows.schema['i'].dataType.simpleString()}, s double, m long").groupBy("i")
+    return found.agg((F.sum("s") / F.sum("m") / F.lit((2 * np.pi * h) ** (n / 2))).alias("density"))
