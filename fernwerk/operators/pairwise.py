@@ -352,9 +352,19 @@ def parzen_loocv(df: DataFrame, sigma: float, label: str = "label", features: st
 
 def parzen_1class(df: DataFrame, h: float, features: str = "features", id: str = "id") -> DataFrame:
     """(f, fprime): the leave-one-out criterion of a one-class Parzen window of width h, and its derivative."""
-    d = pdist(df, features=features, id=id).filter("i <> j")
-    k = F.exp(-F.col("d") / (2 * h)) / F.sqrt(F.lit(2 * h * np.pi))
-    return d.agg(F.sum(k).alias("f"), F.sum(k * (F.col("d") / (2 * h * h) - 1 / (2 * h))).alias("fprime"))
+    rows = df.select(F.col(id).alias("i"), doubles(features).alias("x")).filter("i is not null")
+
+    def sums(p, q, own, others):
+        d = near(p, q, 2 * h)
+        k = window(d.copy(), 2 * h)
+        equal = equal_ids(own["i"], others["i"])
+        k[equal] = 0
+        d[equal] = 0
+        n = k.size - len(equal[0])
+        return {"f": pa.array([k.sum() if n else None], pa.float64()), "kd": pa.array([(k * d).sum() if n else None], pa.float64())}
+
+    f, kd = F.sum("f") / F.sqrt(F.lit(2 * h * np.pi)), F.sum("kd") / F.sqrt(F.lit(2 * h * np.pi))
+    return tiles(rows, rows, sums, "f double, kd double").agg(f.alias("f"), (kd / (2 * h * h) - f / (2 * h)).alias("fprime"))
 
 
 def parzen_density(queries: DataFrame, base: DataFrame, h: float) -> DataFrame:

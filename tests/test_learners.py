@@ -472,6 +472,22 @@ def test_string_ids_and_multi_label_folds(spark):
     assert sorted(map(tuple, counts.collect())) == [(1, True, True, 30), (2, True, False, 10)]
 
 
+def test_sums_over_pairs_are_taken_in_tiles(spark):
+    """No pair becomes a row: what a tile of pairs hands on is a row of sums, or one for each of its rows."""
+    x, y = blobs(12, 30, 2, 3, 1.5)
+    df = frame(spark, x, y)
+    for got in (pairwise.fisher_criterion(df, [0.5]), pairwise.parzen_1class(df, 0.5), pairwise.parzen_density(df, df, 0.5), pairwise.parzen_loocv(df, 0.5)):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "zip_with" not in plan and "aggregate(" not in plan
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    got = {r.i: r.density for r in pairwise.parzen_density(df, df, 0.5).collect()}
+    assert np.allclose([got[k] for k in range(len(x))], np.exp(-d).mean(axis=1) / np.pi ** (x.shape[1] / 2))
+    one = pairwise.parzen_1class(df, 0.5).first()
+    k = np.exp(-d) / np.sqrt(np.pi)
+    np.fill_diagonal(k, 0)
+    assert one.f == pytest.approx(k.sum()) and one.fprime == pytest.approx((k * (2 * d - 1)).sum())
+
+
 def test_votes_within_rounding_are_exact(spark):
     """Two voters of either label in equal places: no vote, whatever products round to. Null features have no prediction, equal ids no vote on each other."""
     rng = np.random.default_rng(3)
