@@ -498,3 +498,15 @@ def test_votes_within_rounding_are_exact(spark):
     alone = spark.createDataFrame([*rows[:18], (500, rows[18][1], None)], df.schema)
     assert {r.id: r.prediction for r in pairwise.parzen_loocv(alone, 5.0).collect()}[500] == 0
     assert len(got) == 19 and {r.id: r.prediction for r in pairwise.parzen_loocv(df, 5.0).collect()} == got | {501: None}
+
+
+def test_median_distance(spark, monkeypatch):
+    """Counted by ranges that are looked at closer: exact, also of many equal distances."""
+    rng = np.random.default_rng(4)
+    for x, sizes in ((rng.normal(size=(40, 3)), (256, 3)), (np.repeat(np.eye(2), 6, axis=0), (65_536, 20)), (np.ones((1, 2)), (65_536, 500_000))):
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+        rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
+        monkeypatch.setattr(pairwise, "MEDIAN_RANGES", sizes[0])
+        monkeypatch.setattr(pairwise, "MEDIAN_HELD", sizes[1])
+        assert pairwise.median_distance(rows) == pytest.approx(np.median(d), abs=1e-12)
+    assert pairwise.median_distance(rows.limit(0)) is None
