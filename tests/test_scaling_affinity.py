@@ -63,3 +63,18 @@ def test_expected_impacts_in_one_job_equal_the_loop(spark):
     assert one == pytest.approx(want) and any(want.values())
     with pytest.raises(Exception, match="label"):
         graph.expected_impacts(train, pool, learner, p.withColumn("label", F.lit(7))).collect()
+
+
+def test_messages_in_blocks_equal_those_in_one_place(spark, monkeypatch):
+    """More rows than one place takes: the same exemplars, with blocks of a few rows that are written every few rounds."""
+    x = np.random.default_rng(8).normal(size=(45, 3))
+    x[7] = x[3]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, features array<double>")
+    of = lambda **options: [r.exemplar for r in graph.affinity_frame(df, **options).orderBy("id").collect()]
+    cases = ({"damping": 0.7, "maxit": 30}, {"damping": 0.7, "preference": -60.0, "convit": 5, "maxit": 30}, {"maxit": 1})
+    whole = [of(**options) for options in cases]
+    assert 1 < len(set(whole[0])) < 45
+    monkeypatch.setattr(graph, "WHOLE_ROWS", 10)
+    monkeypatch.setattr(graph, "BLOCK_CELLS", 45 * 7)
+    monkeypatch.setattr(graph, "WRITTEN_ROUNDS", 12)
+    assert [of(**options) for options in cases] == whole
