@@ -78,3 +78,21 @@ def test_messages_in_blocks_equal_those_in_one_place(spark, monkeypatch):
     monkeypatch.setattr(graph, "BLOCK_CELLS", 45 * 7)
     monkeypatch.setattr(graph, "WRITTEN_ROUNDS", 12)
     assert [of(**options) for options in cases] == whole
+
+
+def test_impacts_of_sums_take_any_number_of_rows(spark, monkeypatch):
+    """More rows than one task's learner takes: models of added sums change what models trained anew change."""
+    from fernwerk.plans.catalogue import Means
+
+    x, y = blobs(23, 30, 2, 2, 1.0)
+    df = frame(spark, x, y)
+    p = spark.createDataFrame([(k, c, 0.3 + 0.4 * c) for k in range(1, len(x), 3) for c in (0, 1)], "id long, label int, p double")
+    monkeypatch.setattr(graph, "MOST_ROWS", 5)
+    monkeypatch.setattr(graph, "MOST_POOL", 5)
+    train, pool = df.filter("id % 3 = 0"), df.filter("id % 3 = 1")
+    got = {r.id: r.impact for r in graph.expected_impacts(train, pool, Means(), p).collect()}
+    known, z = np.arange(0, len(x), 3), x[1::3]
+    said = lambda u, v: Means().solve(u, v).decide(z) >= 0
+    was = said(x[known], y[known])
+    want = {k: sum((0.3 + 0.4 * c) * (said(np.vstack([x[known], x[k]]), np.append(y[known], c)) != was).sum() for c in (0, 1)) for k in range(1, len(x), 3)}
+    assert got == pytest.approx(want) and any(want.values())
