@@ -382,6 +382,17 @@ def tables_for(p: float, bits: int, most: int, recall: float, width: int = 64 *
     return tables
 
 
+def rounds_of(tables: int) -> list[tuple[int, int]]:
+    """All tables in three rounds: the first, up to the square root of all, and the others."""
+    ends = sorted({0, 1, math.isqrt(tables), tables})
+    return list(zip(ends, ends[1:], strict=False))
+
+
+def one_link_each(links: DataFrame) -> DataFrame:
+    """Of links (a, b), a < b, the one of each b to its least a, a written table: fewer than there are nodes, however many tables link a group."""
+    return written(links.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
+
+
 def linked(nodes: DataFrame, chosen: np.ndarray, most: int) -> DataFrame:
     """The different links of nodes, a written table, a < b."""
     return written(sampled_links(nodes, chosen, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "found")
@@ -483,8 +494,8 @@ def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, recall:
     keep buckets of unrelated texts small: 20, and beyond 8 million texts so many that a bucket has eight on average. There are as
     many tables as find a pair at the very limit with about the given recall (closer pairs are found more surely; pairs
     linked through others need not be). In a bucket, pivots and then 128 of the bits discard what differs by more than p plus three standard deviations;
-    shingle sketches discard, and all shingles decide. Tables are searched in two rounds, the square root of them first: the second searches only for
-    links between different classes of the first, so a large group is not linked anew by each table. Candidates of a bucket are first a spanning forest; where a link of it is refused, the classes that candidates join are
+    shingle sketches discard, and all shingles decide. Tables are searched in three rounds, one of them, then up to the square root of all, then the others: a round searches only for
+    links between different classes of those before, so a large group is not linked anew by each table. Of a round's candidates one link a text is tested, so that a group linked by every table costs what its texts do; where others are left, or one is refused, the classes that candidates join are
     taken together, in blocks of BUCKET texts, and their pairs that are not yet joined are tested there, so none is lost to the forest. Null text counts as empty. Equal texts are near copies, thus of all empty
     texts one stays. The row with the smallest doc_id stays (null last).
     """
@@ -513,21 +524,19 @@ def representatives(docs: DataFrame, words: int, similarity: float, recall: floa
     most = round(128 * p + 3 * math.sqrt(128 * p * (1 - p)))
     tables = tables_for(p, bits, most, recall)
     chosen = sampled_bits(tables, bits)
-    first = math.isqrt(tables)
-    found = linked(nodes.withColumn("root", F.col("node")), chosen[:first], most)
-    edges = confirmed(found, docs, nodes, rows, words, similarity)
-    roots = written(components(edges), "classes")
-    refused = edges.count() < found.count()
-    candidates = found.union(roots.select("node", "root"))
-    if first < tables:
-        classed = nodes.select("node", "f").join(sent(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        found = linked(written(classed, "classed"), chosen[first:], most)
-        edges = confirmed(found, docs, nodes, rows, words, similarity)
+    roots = refused = candidates = None
+    for start, end in rounds_of(tables):
+        classed = nodes.withColumn("root", F.col("node"))
+        if roots is not None:
+            classed = nodes.select("node", "f").join(sent(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            classed = written(classed, "classed")
+        found = linked(classed, chosen[start:end], most)
+        edges = confirmed(one_link_each(found), docs, nodes, rows, words, similarity)
         refused = refused or edges.count() < found.count()
-        candidates = candidates.union(found)
-        roots = written(components(roots.toDF("a", "b").union(edges)), "classes")
+        candidates = found if candidates is None else candidates.union(roots.select("node", "root")).union(found)
+        roots = written(components(edges if roots is None else roots.toDF("a", "b").union(edges)), "classes")
     if refused:
-        # a refused link may have stood in for others: what candidates join but edges don't is compared in all pairs
+        # a link refused or left out may have stood in for others: what candidates join but edges don't is compared in all pairs
         torn = components(candidates).toDF("node", "whole").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         torn = written(torn, "torn")
         wholes = torn.groupBy("whole").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("whole")

@@ -157,6 +157,22 @@ def test_refused_links_do_not_hide_others(spark):
     assert want <= got <= want + 3  # a spanning forest of unverified pairs alone leaves about ten more
 
 
+def test_a_group_linked_by_every_table_is_tested_once_a_text(spark, monkeypatch):
+    base = words(200, 78)
+    texts = [" ".join(edited(base, 3, 6000 + k)) for k in range(120)]
+    tested, confirmed = [], simhash.confirmed
+
+    def spy(found, *rest):
+        tested.append(found.count())
+        return confirmed(found, *rest)
+
+    monkeypatch.setattr(simhash, "confirmed", spy)
+    got = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    want = plain_groups(texts)
+    assert want <= got <= want + 3
+    assert max(tested) < len(texts)
+
+
 def test_similarity_is_exact_on_short_texts(spark):
     a, b = " ".join(words(60, 1)), " ".join(edited(words(60, 1), 2, 5))
     docs = spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string")
