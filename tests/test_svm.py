@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fernwerk.kernels import solvers
-from fernwerk.operators import tasks
+from fernwerk.operators import compose, tasks
 
 EIGHT = np.array([[1, 0], [2, 1], [2, 0], [4, 2], [0, 1], [0, 2], [1, 2], [2, 8]], float)
 SIGNS = np.array([1, 1, 1, 1, -1, -1, -1, -1.0])
@@ -86,3 +87,45 @@ def test_cascade_of_odd_rows(spark):
     assert got.filter("prediction is null").count() == 0
     with pytest.raises(Exception, match="support vectors"):
         tasks.CascadeSvm(rows=100, most_vectors=5).fit(df)
+
+
+def noisy(spark, n=400, d=3, seed=5):
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((n, d))
+    y = (x[:, 0] + 0.5 * x[:, 1] + r.standard_normal(n) > 0).astype(int)
+    return x, y, spark.createDataFrame([(k, v, int(c)) for k, (v, c) in enumerate(zip(x.tolist(), y, strict=True))], "id long, features array<double>, label int")
+
+
+@pytest.mark.parametrize("kernel", [solvers.Dot(), solvers.Rbf(2.0)], ids=["dot", "rbf"])
+def test_more_rows_than_a_task_takes_give_the_same_machine(spark, monkeypatch, kernel):
+    x, y, df = noisy(spark)
+    want = solvers.train_svm(x, y, kernel, 1.0, 1e-6).decide(x)
+    monkeypatch.setattr(tasks, "TASK_ROWS", 100)
+    got = tasks.Svm(kernel, eps=1e-6, raw=True).fit(df).transform(df).orderBy("id").toPandas()["prediction"].to_numpy()
+    assert np.abs(got - want).max() < 2e-3
+
+
+def test_members_of_more_rows_than_a_task_takes(spark, monkeypatch):
+    x, y, df = noisy(spark)
+    rows = df.withColumn("label", F.col("label") + F.when(F.col("features")[2] > 0.5, 2).otherwise(0))
+    want = compose.OneAgainstRest(tasks.Svm(eps=1e-6)).fit(rows).transform(rows).orderBy("id").toPandas()["prediction"]
+    monkeypatch.setattr(tasks, "TASK_ROWS", 100)
+    got = compose.OneAgainstRest(tasks.Svm(eps=1e-6)).fit(rows).transform(rows).orderBy("id").toPandas()["prediction"]
+    assert (got == want).mean() >= 0.99
+
+
+@pytest.mark.parametrize("kernel", [solvers.Dot(), solvers.Rbf(2.0)], ids=["dot", "rbf"])
+def test_cascade_of_too_many_vectors_for_a_task(spark, monkeypatch, kernel):
+    x, y, df = noisy(spark)
+    want = solvers.train_svm(x, y, kernel, 1.0, 1e-6).decide(x)
+    monkeypatch.setattr(tasks, "TASK_ROWS", 60)
+    got = tasks.CascadeSvm(kernel, eps=1e-6, tol=1e-4, rows=100, raw=True).fit(df).transform(df).orderBy("id").toPandas()["prediction"].to_numpy()
+    assert np.abs(got - want).max() < 2e-3
+
+
+def test_perceptron_of_more_rows_than_a_task_takes(spark, monkeypatch):
+    x, _, df = noisy(spark)
+    df = df.withColumn("label", (F.col("features")[0] > F.col("features")[1]).cast("int")).filter("abs(features[0] - features[1]) > 0.3")
+    monkeypatch.setattr(tasks, "TASK_ROWS", 100)
+    got = tasks.Perceptron(max_iters=60).fit(df).transform(df)
+    assert got.filter("prediction <> label").count() == 0
