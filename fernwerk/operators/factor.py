@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +13,7 @@ from ..functions.vectors import doubles
 from .base import Fitted, Learner
 from .cluster import scatter
 from .linear import matrix, summed
-from .pairwise import project
+from .pairwise import pdist, project
 
 
 class Pca(Learner):
@@ -89,22 +91,40 @@ def mds_dists(distances: DataFrame, ndims: int, landmarks: int = 200, exact: int
     read again. Distances are then kept as well as by the whole table if landmarks span what the ids span (Euclidean in ndims axes and ndims + 1
     landmarks in general position: exactly); otherwise what lies off the landmarks' axes is lost. An id without a distance to every landmark gets null.
     """
-    spark, kind = distances.sparkSession, distances.schema["i"].dataType.simpleString()
-    known = distances.select("i").filter("i is not null").distinct()
+    def onto(js: DataFrame) -> DataFrame:
+        return distances.join(js, "j", "left_semi")
+
+    return _scaled_by(distances.select("i"), onto, ndims, landmarks, exact)
+
+
+def mds_rows(df: DataFrame, ndims: int, landmarks: int = 200, exact: int = EXACT, features: str = "features", id: str = "id") -> DataFrame:
+    """mds_dists() of the squared distances of the rows of df, which are made to the drawn ids and the landmarks only: never between all rows."""
+    some = df.filter(F.col(features).isNotNull())
+
+    def onto(js: DataFrame) -> DataFrame:
+        return pdist(some, some.join(js.withColumnRenamed("j", id), id, "left_semi"), features=features, id=id)
+
+    return _scaled_by(some.select(F.col(id).alias("i")), onto, ndims, landmarks, exact)
+
+
+def _scaled_by(ids_of: DataFrame, onto: Callable[[DataFrame], DataFrame], ndims: int, landmarks: int, exact: int) -> DataFrame:
+    """ids_of: rows with every i; onto(js): the distances (i, j, d) of all i to the j of js."""
+    spark, kind = ids_of.sparkSession, ids_of.schema["i"].dataType.simpleString()
+    known = ids_of.select("i").filter("i is not null").distinct()
     ids = sorted(r["i"] for r in known.limit(exact + 1).collect())
     if not ids:
         return spark.createDataFrame([], f"id {kind}, features array<double>")
     if len(ids) <= exact:
-        x, _ = scaled(square(distances.filter("i is not null and j is not null"), ids), ndims)
+        x, _ = scaled(square(onto(known.withColumnRenamed("i", "j")).filter("i is not null"), ids), ndims)
         return spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), f"id {kind}, features array<double>")
     drawn = [r["i"] for r in known.orderBy(F.xxhash64("i"), "i").limit(max(CANDIDATES, landmarks)).collect()]
     some = F.broadcast(spark.createDataFrame([(v,) for v in drawn], f"i {kind}"))
-    among = square(distances.join(some, "i", "left_semi").join(some.withColumnRenamed("i", "j"), "j", "left_semi"), drawn)
+    among = square(onto(some.withColumnRenamed("i", "j")).join(some, "i", "left_semi"), drawn)
     at = farthest(among, landmarks)
     d = among[np.ix_(at, at)]
     _, weights = scaled(d, ndims)
     marks = spark.createDataFrame([(drawn[k], float(m), w) for k, m, w in zip(at, d.mean(axis=0), weights.tolist(), strict=True)], f"j {kind}, mean double, w array<double>")
-    placed = distances.join(F.broadcast(marks), "j").groupBy("i").agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("d") - F.col("mean")) * F.col("w")[c]).alias(f"c{c}") for c in range(ndims)))
+    placed = onto(F.broadcast(marks.select("j"))).join(F.broadcast(marks), "j").groupBy("i").agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col("d") - F.col("mean")) * F.col("w")[c]).alias(f"c{c}") for c in range(ndims)))
     every = F.when(F.col("n") == len(at), F.array(*(F.col(f"c{c}") for c in range(ndims))))
     return known.withColumnRenamed("i", "id").join(placed.select(F.col("i").alias("id"), every.alias("features")), "id", "left")
 

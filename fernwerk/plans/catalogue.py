@@ -745,7 +745,7 @@ def mds_keeps_distances(spark, sf):
 @query(NEXT)
 def mds_landmarks(spark, sf):
     """Placed by distances to 100 of the rows alone."""
-    return next_distances(factor.mds_dists(pairwise.pdist(embeddings(spark, sf)), 64, landmarks=100, exact=100))
+    return next_distances(factor.mds_rows(embeddings(spark, sf), 64, landmarks=100, exact=100))
 
 
 @query()
