@@ -41,6 +41,26 @@ def test_ids_and_prefix_counts_are_the_librarys(sf_dir):
         assert bpe.prefix_counts(text) == [len(library_ids(text[:i])) for i in range(len(text) + 1)]
 
 
+def test_common_words_stay_known_while_rare_ones_go(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 100)
+    bpe, asked = tokens.WordBpe(vocabulary()), []
+    tokenize = bpe.model.tokenize
+
+    class Model:
+        def tokenize(self, letters):
+            asked.append(letters)
+            return tokenize(letters)
+
+    bpe.model = Model()
+    rng = random.Random(5)
+    for _ in range(40):
+        text = "common words, come again: " + " ".join("".join(rng.choices("abcdefgh", k=9)) + rng.choice(["", ".", "!?"]) for _ in range(30))
+        ids = library_ids(text)
+        assert bpe.ids(text) == struct.pack(f"<{len(ids)}I", *ids)
+    assert asked.count("common") == asked.count("words") == 1
+    assert len(bpe.known) + len(bpe.older) < 2 * 100
+
+
 def test_token_counts(odd):
     got = sorted(counting.token_counts(odd, limit=50, with_prefixes=True).collect(), key=str)
     assert len(got) == len(ODD) + 1
