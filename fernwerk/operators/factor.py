@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
+from ..sources.scratch import forget, stored
 from .base import Fitted, Learner
 from .cluster import scatter
+from .folds import rank_within
 from .linear import matrix, summed
 from .pairwise import pdist, project
 
@@ -44,6 +46,8 @@ class PcaModel(Fitted):
 
 #: Ids whose whole table of distances is solved; tables of more go by landmarks. Ids among which landmarks are looked for.
 EXACT, CANDIDATES = 1500, 1500
+#: Steps of sparse factors after which rows are written with their w.
+KEEP = 8
 
 
 def farthest(d: np.ndarray, k: int) -> list[int]:
@@ -216,20 +220,20 @@ def project_sparse(x: np.ndarray, l1: float, l2: float) -> np.ndarray:
     return np.maximum(s, 0)
 
 
+def _shaped(rows: np.ndarray, s: float) -> np.ndarray:
+    """The rows projected to sparseness s and length 1."""
+    return np.stack([project_sparse(x, np.sqrt(len(x)) - s * (np.sqrt(len(x)) - 1), 1.0) for x in rows])
+
+
 def sparse_nnmf(v: np.ndarray, r: int, sparse_w: float | None = None, sparse_h: float | None = None, max_iter: int = 500, seed: int = 0, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
     """V = W H, columns of W and rows of H of given sparseness, for a matrix that fits one task: each column of W needs all rows at once."""
     rng = np.random.default_rng(seed)
     n, m = v.shape
     w, h = rng.random((n, r)), rng.random((r, m))
-    norms = lambda size, s: np.sqrt(size) - s * (np.sqrt(size) - 1)
-
-    def shaped(rows: np.ndarray, s: float) -> np.ndarray:
-        return np.stack([project_sparse(x, norms(len(x), s), 1.0) for x in rows])
-
     if sparse_w is not None:
-        w = shaped(w.T, sparse_w).T
+        w = _shaped(w.T, sparse_w).T
     if sparse_h is not None:
-        h = shaped(h, sparse_h)
+        h = _shaped(h, sparse_h)
     loss = lambda: float(((v - w @ h) ** 2).sum())
     rw = rh = rate
     for _ in range(max_iter):
@@ -238,7 +242,7 @@ def sparse_nnmf(v: np.ndarray, r: int, sparse_w: float | None = None, sparse_h:
         else:
             old, was = w, loss()
             for _ in range(30):
-                w = shaped((old - rw * (old @ h - v) @ h.T).T, sparse_w).T
+                w = _shaped((old - rw * (old @ h - v) @ h.T).T, sparse_w).T
                 if loss() <= was + 1e-12:
                     break
                 rw /= 2
@@ -249,7 +253,7 @@ def sparse_nnmf(v: np.ndarray, r: int, sparse_w: float | None = None, sparse_h:
         else:
             old, was = h, loss()
             for _ in range(30):
-                h = shaped(old - rh * w.T @ (w @ old - v), sparse_h)
+                h = _shaped(old - rh * w.T @ (w @ old - v), sparse_h)
                 if loss() <= was + 1e-12:
                     break
                 rh /= 2
@@ -258,10 +262,77 @@ def sparse_nnmf(v: np.ndarray, r: int, sparse_w: float | None = None, sparse_h:
     return w, h
 
 
-def sparse_nnmf_frame(df: DataFrame, r: int, features: str = "features", id: str = "id", **options) -> tuple[DataFrame, np.ndarray]:
-    """sparse_nnmf() of a frame's rows, gathered in id order: for frames of up to 20 000 rows."""
-    rows = df.select(F.col(id).alias("id"), doubles(features).alias("v")).orderBy("id").limit(20_001).collect()
-    if len(rows) > 20_000:
-        raise ValueError("sparse factors need whole columns in one place: 20 000 rows at most; lee_seung() is distributed")
-    w, h = sparse_nnmf(np.array([x["v"] for x in rows]), r, **options)
-    return df.sparkSession.createDataFrame([(x["id"], y) for x, y in zip(rows, w.tolist(), strict=True)], "id long, w array<double>"), h
+def sparse_nnmf_frame(df: DataFrame, r: int, features: str = "features", id: str = "id", sparse_w: float | None = None, sparse_h: float | None = None, max_iter: int = 500, seed: int = 0, rate: float = 0.15) -> tuple[DataFrame, np.ndarray]:
+    """sparse_nnmf() of a frame's rows in id order, (id, w) and H, for any number of rows.
+
+    A step of H needs W^T W and W^T V only, which tasks sum up, and a step of a row's w only the row. A row makes its w from its place in the order and the
+    H of the steps since w was last written, every KEEP steps. With sparse_w a column of W needs all rows at once: they are gathered, 20 000 at most.
+    """
+    data = df.select(F.col(id).alias("id"), doubles(features).alias("v"))
+    if sparse_w is not None:
+        rows = data.orderBy("id").limit(20_001).collect()
+        if len(rows) > 20_000:
+            raise ValueError("sparse columns of W are needed whole in one place: 20 000 rows at most")
+        w, h = sparse_nnmf(np.array([x["v"] for x in rows]), r, sparse_w, sparse_h, max_iter, seed, rate)
+        return df.sparkSession.createDataFrame([(x["id"], y) for x, y in zip(rows, w.tolist(), strict=True)], "id long, w array<double>"), h
+    n, m = data.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    h = np.random.Generator(np.random.PCG64(seed).advance(n * r)).random((r, m))
+    if sparse_h is not None:
+        h = _shaped(h, sparse_h)
+
+    def start(batches):
+        bits = np.random.PCG64(seed)
+        first = bits.state
+        for b in batches:
+            w = []
+            for k in b.column(2).to_pylist():
+                bits.state = first
+                w.append(np.random.Generator(bits.advance(k * r)).random(r))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(w, pa.list_(pa.float64()))], names=["id", "v", "w"])
+
+    def stepped(now: DataFrame, hs: list[np.ndarray]) -> DataFrame:
+        def step(batches):
+            for b in batches:
+                if len(b):
+                    w = _moved(matrix(b.column(1)), matrix(b.column(2)), hs)
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(w.tolist(), pa.list_(pa.float64()))], names=["id", "v", "w"])
+
+        return now.mapInArrow(step, now.schema)
+
+    kind = data.schema["id"].dataType.simpleString()
+    now = stored(rank_within(data, [], ["id"], "at").select("id", "v", "at").mapInArrow(start, f"id {kind}, v array<double>, w array<double>"), "factors")
+    hs, rh = [], rate
+    for _ in range(max_iter):
+        hs.append(h)
+
+        def sums(batch, hs=tuple(hs)):
+            v = matrix(batch.column(0))
+            w = _moved(v, matrix(batch.column(1)), hs)
+            return np.concatenate([(w.T @ w).ravel(), (w.T @ v).ravel(), [(v * v).sum()]])
+
+        got = summed(now.select("v", "w"), sums, r * r + r * m + 1)
+        ww, wv, vv = got[: r * r].reshape(r, r), got[r * r : -1].reshape(r, m), got[-1]
+        if sparse_h is None:
+            h = h * wv / (ww @ h + 1e-8)
+        else:
+            loss = lambda h: float(vv - 2 * (wv * h).sum() + ((ww @ h) * h).sum())  # noqa: B023, E731
+            old, was, slope = h, loss(h), ww @ h - wv
+            for _ in range(30):
+                h = _shaped(old - rh * slope, sparse_h)
+                if loss(h) <= was + 1e-12:
+                    break
+                rh /= 2
+                h = old
+            rh *= 1.2
+        if len(hs) == KEEP:
+            before, now = now, stored(stepped(now, hs), "factors")
+            forget(before)
+            hs = []
+    return stepped(now, hs).select("id", "w"), h
+
+
+def _moved(v: np.ndarray, w: np.ndarray, hs: Sequence[np.ndarray]) -> np.ndarray:
+    """The rows' w after a step with each of hs."""
+    for h in hs:
+        w = w * (v @ h.T) / (w @ h @ h.T + 1e-8)
+    return w

@@ -294,6 +294,21 @@ def test_nonnegative_factors(spark):
         factor.lee_seung(frame(spark, v), 3, cost="i-div")
 
 
+@pytest.mark.parametrize("sparse_h", [None, 0.4])
+def test_sparse_factors_of_a_frame_are_those_of_its_matrix(spark, sparse_h):
+    rng = np.random.default_rng(8)
+    v = rng.random((50, 3)) @ rng.random((3, 9))
+    w, h = factor.sparse_nnmf(v, 3, sparse_h=sparse_h, max_iter=19)
+    table, found = factor.sparse_nnmf_frame(frame(spark, v).repartition(3), 3, sparse_h=sparse_h, max_iter=19)
+    assert np.allclose(found, h, atol=1e-8) and np.allclose([x.w for x in table.orderBy("id").collect()], w, atol=1e-8)
+
+
+def test_sparse_factors_of_more_rows_than_one_place_takes(spark):
+    v = spark.range(20_050).select("id", F.array(*(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(7)).cast("double") for k in range(3))).alias("features"))
+    w, h = factor.sparse_nnmf_frame(v, 2, sparse_h=0.4, max_iter=2)
+    assert w.count() == 20_050 and np.allclose([factor.sparseness(x) for x in h], 0.4, atol=0.02)
+
+
 def test_affinity_and_map(spark):
     x = np.concatenate([np.random.default_rng(k).normal(size=(15, 2)) * 0.2 + 5 * k for k in range(3)])
     got = graph.affinity_frame(frame(spark, x), damping=0.8).orderBy("id").collect()
