@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.vectors import affine, doubles, known, pick
 from .base import Fitted, Learner
 
+#: Distinct labels that are sent to all tasks.
+SENT = 100_000
+
 
 def width(df: DataFrame, features: str) -> int:
     row = df.select(F.size(features).alias("n")).first()
@@ -84,10 +87,12 @@ def center(df: DataFrame, features: str = "features", axis: int = 0) -> tuple[Da
 
 
 def normalise_labels(df: DataFrame, label: str = "label", out: str = "number") -> tuple[DataFrame, DataFrame]:
-    """(df with numbers from 0 in label order, the names); the distinct labels alone are ranked, never all rows."""
+    """(df with numbers from 0 in label order, the names); the distinct labels alone are ranked, never all rows. Up to SENT labels go to the rows: a join by label would put each into one task."""
     names = df.select(F.col(label).alias("name")).filter(F.col("name").isNotNull()).distinct()
+    few = names.limit(SENT + 1).count() <= SENT
     names = names.withColumn(out, F.dense_rank().over(Window.orderBy("name")).cast("long") - 1)
     marks = names.toDF("__name", "__number")
+    marks = F.broadcast(marks) if few else marks
     numbered = df.join(marks, F.col(label) == F.col("__name"), "left").withColumn(out, F.col("__number"))
     return numbered.drop("__name", "__number"), names
 

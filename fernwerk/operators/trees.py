@@ -12,10 +12,11 @@ from ..functions.vectors import doubles
 from ..sources.scratch import forget, stored
 from .base import Fitted, Learner
 from .cuts import Criterion, CutSearch, Drawn, Tree, quantile_edges
-from .preprocess import normalise_labels
 
 #: Ranges of each feature in which rows are summed up first, rows that say where they are cut, and rounds of boosting after which rows are written with their weights.
 RANGES, SAMPLE, KEEP = 64, 50_000, 8
+#: Distinct labels that are counted where two are needed.
+MOST_NAMED = 1000
 
 
 def xlogx(p: Column) -> Column:
@@ -102,12 +103,13 @@ def grow(search: CutSearch, trees: int = 1, min_split: int = 4, max_depth: int =
 
 
 def two_names(df: DataFrame, label: str) -> tuple[DataFrame, list]:
-    """df with y, 1.0 for the second of two labels in order; the labels."""
-    numbered, names = normalise_labels(df, label, "__y")
-    names = [r[0] for r in names.orderBy("name").select("name").collect()]
+    """df with y, 1.0 for the second of two labels in order; the labels. Rows stay where they are: to join them by label would put each class into one task."""
+    found = F.col(label)
+    names = [r[0] for r in df.select(found.alias("name")).filter("name is not null").distinct().limit(MOST_NAMED).orderBy("name").collect()]
     if len(names) > 2:
-        raise ValueError(f"two classes are needed, not {len(names)}")
-    return numbered.withColumn("y", F.col("__y").cast("double")).drop("__y"), names
+        raise ValueError(f"two classes are needed, not {len(names)}{' or more' if len(names) == MOST_NAMED else ''}")
+    of = df.schema[label].dataType
+    return df.withColumn("y", F.coalesce(*(F.when(found == F.lit(n).cast(of), float(k)) for k, n in enumerate(names)), F.lit(None).cast("double"))), names
 
 
 class TreeLearner(Learner):

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from fernwerk.operators import factor, folds, pairwise, select
+from fernwerk.operators import factor, folds, pairwise, preprocess, select, trees
 from fernwerk.plans import catalogue
 
 
@@ -49,3 +49,22 @@ def test_the_kernel_query_makes_its_own_pairs_only(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(pairwise, "dot_kernel", spy)
     got = catalogue.QUERIES["precomputed_kernel"](spark, sf_dir).count()
     assert made == [got]
+
+
+def in_places(df):
+    return sorted((r.id, r.p) for r in df.select("*", F.spark_partition_id().alias("p")).collect())
+
+
+def test_rows_stay_where_they_are_when_labels_are_numbered(spark):
+    """A join by label puts each class into one task."""
+    rows = vectors(spark).repartition(8, "id").persist()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered, names = preprocess.normalise_labels(rows)
+        two, found = trees.two_names(rows.withColumn("label", F.when(F.col("label") < 2, F.col("label").cast("string"))), "label")
+        assert in_places(numbered) == in_places(rows) == in_places(two)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        rows.unpersist()
+    assert [r.number for r in numbered.orderBy("id").limit(4).collect()] == [0, 1, 2, 0] and names.count() == 3
+    assert found == ["0", "1"] and [r.y for r in two.orderBy("id").limit(4).collect()] == [0.0, 1.0, None, 0.0]
