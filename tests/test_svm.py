@@ -129,3 +129,13 @@ def test_perceptron_of_more_rows_than_a_task_takes(spark, monkeypatch):
     monkeypatch.setattr(tasks, "TASK_ROWS", 100)
     got = tasks.Perceptron(max_iters=60).fit(df).transform(df)
     assert got.filter("prediction <> label").count() == 0
+
+
+def test_pairs_just_below_what_a_task_takes_go_over_tasks_too(spark, monkeypatch):
+    """The solver by pairs takes minutes for a pair of classes of nearly TASK_ROWS rows."""
+    x, y, df = noisy(spark)
+    want = tasks.Svm(eps=1e-6, raw=True).fit(df).transform(df).orderBy("id").toPandas()["prediction"].to_numpy()
+    monkeypatch.setattr(tasks, "DOT_ROWS", 300)
+    monkeypatch.setattr(tasks.Svm, "solve", None)
+    got = tasks.Svm(raw=True).fit(df).transform(df).orderBy("id").toPandas()["prediction"].to_numpy()
+    assert np.abs(got - want).max() < 2e-3
