@@ -131,6 +131,19 @@ def test_perceptron_of_more_rows_than_a_task_takes(spark, monkeypatch):
     assert got.filter("prediction <> label").count() == 0
 
 
+@pytest.mark.parametrize("passes", [1, 3])
+def test_perceptron_does_not_depend_on_how_many_rows_a_task_takes(spark, monkeypatch, passes):
+    x, y, df = noisy(spark)
+    learner = tasks.Perceptron(max_iters=passes, raw=True)
+    raw = lambda rows: rows.orderBy("id").toPandas()["prediction"].to_numpy()
+    rest = compose.OneAgainstRest(tasks.Perceptron(max_iters=passes))
+    rows = df.withColumn("label", F.col("label") + F.when(F.col("features")[2] > 0.5, 2).otherwise(0)).repartition(5)
+    want, all_of = raw(learner.fit(df).transform(df)), raw(rest.fit(rows).transform(rows))
+    monkeypatch.setattr(tasks, "TASK_ROWS", 100)
+    assert np.allclose(raw(learner.fit(df.repartition(3)).transform(df)), want, rtol=0, atol=1e-9)
+    assert (raw(rest.fit(rows).transform(rows)) == all_of).all()
+
+
 def test_pairs_just_below_what_a_task_takes_go_over_tasks_too(spark, monkeypatch):
     """The solver by pairs takes minutes for a pair of classes of nearly TASK_ROWS rows."""
     x, y, df = noisy(spark)
