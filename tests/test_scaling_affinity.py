@@ -80,6 +80,25 @@ def test_messages_in_blocks_equal_those_in_one_place(spark, monkeypatch):
     assert [of(**options) for options in cases] == whole
 
 
+@pytest.mark.parametrize("held", [0, 600_000_000])
+def test_messages_held_by_tasks_equal_those_in_tables(spark, monkeypatch, held):
+    """All rounds of what the tasks can hold are one job, whatever their number."""
+    x = np.random.default_rng(8).normal(size=(45, 3))
+    x[7] = x[3]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, features array<double>")
+    of = lambda **options: [r.exemplar for r in graph.affinity_frame(df, **options).orderBy("id").collect()]
+    cases = ({"damping": 0.7, "maxit": 30}, {"damping": 0.7, "preference": -60.0, "convit": 5, "maxit": 30}, {"maxit": 1})
+    whole, stores, store = [of(**options) for options in cases], [], graph.stored
+    monkeypatch.setattr(graph, "WHOLE_ROWS", 10)
+    monkeypatch.setattr(graph, "BLOCK_CELLS", 45 * 7)
+    monkeypatch.setattr(graph, "HELD_CELLS", 45 * 4)
+    monkeypatch.setattr(graph, "HELD_BYTES", held)
+    monkeypatch.setattr(graph, "WRITTEN_ROUNDS", 12)
+    monkeypatch.setattr(graph, "stored", lambda *a: stores.append(a) or store(*a))
+    assert [of(**options) for options in cases] == whole
+    assert bool(stores) == (held == 0)
+
+
 def test_impacts_of_sums_take_any_number_of_rows(spark, monkeypatch):
     """More rows than one task's learner takes: models of added sums change what models trained anew change."""
     from fernwerk.plans.catalogue import Means
