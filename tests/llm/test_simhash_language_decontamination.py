@@ -6,7 +6,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from fernwerk.llm import components, decontamination, language, simhash
+import corpus_pipeline
+from fernwerk.llm import components, decontamination, language, queries, simhash
 
 rng = random.Random(8)
 VOCABULARY = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(3000)]
@@ -429,6 +430,25 @@ def test_repeated_words_and_short_items(spark):
     assert sorted((r.doc_id, i.item_id) for r in got for i in r["items"]) == [(1, 1), (2, 3), (5, 3)]
 
 
+def test_the_query_and_the_pipeline_search_for_short_items(spark, tmp_path):
+    items = [(1, "quince marmalade forever"), (2, "walrus"), (3, "..."), (4, "quince forever")]
+    rows = [(1, "Some quince marmalade, forever!"), (2, "the walrus " * 40), (3, "quince marmalade for ever, walruses"), (4, " ".join(words(60, 4)) + " Walrus."), *((k, " ".join(words(50, k))) for k in range(20, 40))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = queries.QUERIES["op8_decontamination"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id, r.share) for r in got) == [(1, 1, 1.0), (2, 2, 1.0), (4, 2, 1.0)]
+    kept = corpus_pipeline.without_benchmark(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [3, *range(20, 40)]
+
+
+def test_all_known_words_are_summed_where_unknown_ones_end_the_text():
+    table, row = decontamination.unfolded(np.array([5], np.int32), np.ones((1, 4), np.float16))
+    for n in (1, 16, 17, 700, 1100):
+        ids = np.full(n + 40, 9, np.uint16)
+        ids[:n] = 5
+        assert decontamination.step_sums(ids, table, row).sum() == 4 * n
+
+
 def test_recall_of_paraphrases_against_all_passages(spark, sf_dir):
     """Items with up to 35 % of their words replaced, by the latent search and by judging every passage for every item."""
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
