@@ -18,6 +18,8 @@ from .blocks import best, least, merged, numbers, opened, packed, rows_of
 BASE_BYTES, QUERY_BYTES, TILE = 2_000_000, 1_000_000, 256
 #: Blocks are larger by the times that the base is of so many bytes, up to LARGER: queries are sent to fewer blocks.
 LARGE, LARGER = 32_000_000, 4
+#: Rows of a tile whose windows are summed at once.
+STRIP = 32
 #: Blocks of the base whose results a task merges before it hands them on.
 BAND = 64
 
@@ -107,6 +109,20 @@ def window(d: np.ndarray, scale: float) -> np.ndarray:
     return np.exp(d, out=d)
 
 
+def windows(d: np.ndarray, scales: Sequence[float]) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the scale, exp(-d / scale)) from the widest scale on; each is gone when the next is asked for. One that the scale before is 2, 4 .. 256 times of is that one's square, or the square of this."""
+    w = before = None
+    for k in sorted(range(len(scales)), key=lambda k: -scales[k]):
+        turns = np.log2(before / scales[k]) if w is not None and scales[k] > 0 else -1
+        if turns in range(9):
+            for _ in range(int(turns)):
+                np.multiply(w, w, out=w)
+        else:
+            w = window(d.copy(), scales[k])
+        before = scales[k]
+        yield k, w
+
+
 def equal_ids(own: pa.Array, others: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the pairs of a tile whose ids are equal."""
     a, b = own.to_numpy(zero_copy_only=False), others.to_numpy(zero_copy_only=False)
@@ -368,9 +384,11 @@ def fisher_criterion(df: DataFrame, sigmas: Sequence[float], label: str = "label
     scales = [float(v) for v in sigmas]
 
     def sums(p, q, own, others):
-        d = near(p, q, min(scales))
         left, right = (np.stack([y == 0, y == 1]).astype(float) for y in (c["y"].to_numpy() for c in (own, others)))
-        found = [left @ window(d.copy(), v) @ right.T for v in scales]
+        found = np.zeros((len(scales), 2, 2))
+        for at in range(0, len(p), STRIP):  # what is held of a strip of pairs stays in the caches
+            for k, w in windows(near(p[at : at + STRIP], q, min(scales)), scales):
+                found[k] += left[:, at : at + STRIP] @ (w @ right.T)
         return {f"c{k}_{a}{b}": pa.array([float(m[a, b])]) for k, m in enumerate(found) for a, b in cells}
 
     cells = ((0, 0), (1, 1), (0, 1))

@@ -68,3 +68,13 @@ def test_rows_stay_where_they_are_when_labels_are_numbered(spark):
         rows.unpersist()
     assert [r.number for r in numbered.orderBy("id").limit(4).collect()] == [0, 1, 2, 0] and names.count() == 3
     assert found == ["0", "1"] and [r.y for r in two.orderBy("id").limit(4).collect()] == [0.0, 1.0, None, 0.0]
+
+
+def test_windows_of_doubled_widths_are_squares(monkeypatch):
+    made, window = [], pairwise.window
+    monkeypatch.setattr(pairwise, "window", lambda d, scale: made.append(scale) or window(d, scale))
+    d = np.random.default_rng(4).uniform(0, 4, (5, 7))
+    scales = [0.25, 2.0, 0.5, 0.5, 0.3, 1.0]
+    got = {k: w.copy() for k, w in pairwise.windows(d, scales)}
+    assert all(np.allclose(got[k], np.exp(-d / v), rtol=1e-13, atol=0) for k, v in enumerate(scales)) and len(got) == 6
+    assert made == [2.0, 0.3, 0.25]
